@@ -1,9 +1,9 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
 Unigrams and bigrams of whitespace words are hashed into ``buckets`` buckets.
-Two smoothed multinomials over the buckets are counted over whole tables: the
-trusted target (documents labelled ``quality = 1`` and not toxic) and the raw
-corpus (all documents). A document's score is the mean over its n-grams of
+Two smoothed multinomials over the buckets are counted: the
+trusted target (a bounded sample of the documents labelled ``quality = 1`` and
+not toxic) and the raw corpus (all documents). A document's score is the mean over its n-grams of
 log p_target - log p_raw; it is kept when the score reaches ``threshold``.
 The only thing that reaches the driver is the table of ``buckets`` ratios.
 """
@@ -57,13 +57,16 @@ def repeated_words(tri: Column) -> Column:
     return F.when(F.size(F.array_distinct(tri)) == F.size(tri), F.lit(0).cast("long")).otherwise(let(packed, covered))
 
 
-def fit_ratios(documents: DataFrame, labels: DataFrame, buckets: int, smoothing: float) -> DataFrame:
+def fit_ratios(documents: DataFrame, labels: DataFrame, buckets: int, smoothing: float, target_documents: int) -> DataFrame:
     """One row, one array ``ratio`` of ``buckets`` log-likelihood ratios.
 
     A document is trusted if some label row calls it good and none calls it bad
-    or toxic. With no trusted document every ratio is zero.
+    or toxic. The target is counted over the ``target_documents`` trusted ones
+    whose id has the least hash, so that their ids can be broadcast and no text
+    has to be shuffled. With no trusted document every ratio is zero.
     """
     trusted = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).filter("good = 1 AND toxic = 0")
+    trusted = F.broadcast(trusted.select("label_id").filter("label_id IS NOT NULL").orderBy(F.xxhash64("label_id"), "label_id").limit(target_documents))
     words = documents.join(trusted, documents["doc_id"] == trusted["label_id"], "left").select(F.col("label_id").isNotNull().cast("int").alias("t"), documents["text"])
     grams = words.select("t", F.explode(let(word_hashes(ascii_words(F.col("text"))), lambda h: F.concat(h, paired(h, h, 2)))).alias("h")).select("t", bucket_of(F.col("h"), buckets).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
@@ -75,17 +78,18 @@ def fit_ratios(documents: DataFrame, labels: DataFrame, buckets: int, smoothing:
     return array.select(F.when(F.col("n_target") > 0, ratio).otherwise(F.transform("c", lambda x: F.lit(0.0))).alias("ratio"))
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, *, buckets: int = 8192, smoothing: float = 1.0, threshold: float = -0.3, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def quality_scores(documents: DataFrame, labels: DataFrame, *, carry: list[str] | None = None, buckets: int = 8192, smoothing: float = 1.0, threshold: float = -0.3, target_documents: int = 10_000, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Adds counts, score and verdict to every document.
 
-    Returns ``doc_id, text, n_words, word_chars, n_symbols, n_dup_lines,
+    Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, score, base_failed, kept`` (one row per input row). Null and
     empty texts have zero words and so fail the base rule; ties and repeated
     rows are judged alike; empty tables give empty results; other columns of
-    the inputs are ignored.
+    the inputs are ignored, unless ``carry`` names those to return: they come in
+    a struct ``carried`` in place of doc_id, so that their names cannot clash.
     """
-    docs = documents.select("doc_id", "text")
-    ratio = fit_ratios(docs, labels.select("doc_id", "quality", "toxic"), buckets, smoothing).scalar()
+    carry = ["doc_id"] if carry is None else carry
+    ratio = fit_ratios(documents.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic"), buckets, smoothing, target_documents).scalar()
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
@@ -107,7 +111,11 @@ def quality_scores(documents: DataFrame, labels: DataFrame, *, buckets: int = 81
 
     dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
     symbols = (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long")
-    out = docs.withColumn("ratio", ratio).select("doc_id", "text", let(ascii_words(F.col("text")), measured).alias("m"), symbols.alias("n_symbols"), dup_lines.alias("n_dup_lines"))
-    out = out.select("doc_id", "text", "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "m.score")
+    judged = F.struct(let(ascii_words(F.col("text")), measured).alias("m"), symbols.alias("n_symbols"), dup_lines.alias("n_dup_lines"))
+    # The input's columns travel in a struct of their own, so none can clash with a name used here.
+    out = documents.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"), "text").withColumn("ratio", ratio).select("carried", judged.alias("j"))
+    out = out.select("carried", "j.m.n_words", "j.m.word_chars", "j.n_symbols", "j.n_dup_lines", "j.m.n_repeat_words", "j.m.score")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    results = [c for c in out.columns if c != "carried"]
+    return out.select("carried.*", *results) if carry == ["doc_id"] else out.select("carried", *results)

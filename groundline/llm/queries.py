@@ -4,19 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .chunk_encode import encode_documents
+from .exact_dedup import exact_duplicates
+from .mixing import mix
 from .quality import quality_scores
+from .simhash import hex_fingerprint, near_duplicates
+from .token_count import count_tokens
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts, score and verdict of every document."""
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of near duplicates of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document, and whether the document stays."""
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document by the 32k piece vocabulary."""
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text of every document, by the 50k byte-level BPE."""
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the temperature mixture uses every document."""
+    return mix(table(spark, sf_dir, "documents")).drop("row")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules,)}
+    found = (op1_quality_rules, op2_simhash_near_dedup, op4_exact_dedup, op6_token_counts, op8_bpe_encoding, op10_temperature_mixing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
