@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from .common import table
 from .chunk_encode import encode_documents
 from .exact_dedup import exact_duplicates
+from .language_id import held_out, identify
+from .license_scan import scan_licenses
 from .mixing import mix
 from .quality import quality_scores
 from .simhash import hex_fingerprint, near_duplicates
 from .token_count import count_tokens
+from .url_filter import judge_urls
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +31,23 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, docs.filter(~held_out(F.col("doc_id"))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document, and whether the document stays."""
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document by the 32k piece vocabulary."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -43,13 +58,18 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the temperature mixture uses every document."""
     return mix(table(spark, sf_dir, "documents")).drop("row")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_simhash_near_dedup, op4_exact_dedup, op6_token_counts, op8_bpe_encoding, op10_temperature_mixing)
+    found = (op1_quality_rules, op2_simhash_near_dedup, op3_language_id, op4_exact_dedup, op5_url_filters, op6_token_counts, op8_bpe_encoding, op9_license_scans, op10_temperature_mixing)
     return {f.__name__: f for f in found}
 
 
