@@ -15,10 +15,12 @@ and are small enough to be sent to the workers. Every text is scored whole.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -161,10 +163,10 @@ def identify(documents: DataFrame, training: DataFrame, *, order: int = 3, per_c
     wins. Repeated rows stay; other columns are ignored.
     """
     model = fit(training.select("doc_id", "lang", "text"), order=order, per_cell=per_cell)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm = shared.value
+        ppm = pickle.loads(shared.value)
         for batch in it:
             langs, scores = [], []
             for text, letters in zip(batch.column(1), batch.column(2)):

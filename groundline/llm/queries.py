@@ -15,6 +15,7 @@ from .language_id import held_out, identify
 from .license_scan import scan_licenses
 from .mixing import mix
 from .quality import quality_scores
+from .repeats import remove_repeats
 from .simhash import hex_fingerprint, near_duplicates
 from .token_count import count_tokens
 from .url_filter import judge_urls
@@ -53,6 +54,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that strings of 100 bytes repeat from earlier."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document, by the 50k byte-level BPE."""
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -69,7 +75,7 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_simhash_near_dedup, op3_language_id, op4_exact_dedup, op5_url_filters, op6_token_counts, op8_bpe_encoding, op9_license_scans, op10_temperature_mixing)
+    found = (op1_quality_rules, op2_simhash_near_dedup, op3_language_id, op4_exact_dedup, op5_url_filters, op6_token_counts, op7_suffix_array_dedup, op8_bpe_encoding, op9_license_scans, op10_temperature_mixing)
     return {f.__name__: f for f in found}
 
 
