@@ -6,13 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function (spark, sf_dir) under its own name, with SQL for DuckDB where SQL can say it."""
+
+    def register(f: Query) -> Query:
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
+        _QUERIES[f.__name__] = f
+        if oracle is not None:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from groundline.plans import audits, evidence, ingest, lifecycle, ranking  # noqa: F401  (they register themselves)
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
