@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from . import oracle
 from .chunk_encode import encode_documents
 from .exact_dedup import exact_duplicates
 from .language_id import held_out, identify
@@ -80,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": oracle.EXACT_DEDUP, "op5_url_filters": oracle.url_filters(), "op9_license_scans": oracle.license_scans()}
