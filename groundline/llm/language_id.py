@@ -169,14 +169,14 @@ def identify(documents: DataFrame, training: DataFrame, *, order: int = 3, per_c
         ppm = pickle.loads(shared.value)
         for batch in it:
             langs, scores = [], []
-            for text, letters in zip(batch.column(1), batch.column(2)):
-                lang, score = ppm.predict(text.as_py().encode()) if letters.as_py() and ppm.langs else ("und", 0.0)
+            for value in batch.column(1):
+                text = value.as_py() or ""
+                lang, score = ppm.predict(text.encode()) if ppm.langs and any(map(str.isalpha, text)) else ("und", 0.0)
                 langs.append(lang)
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return docs.mapInArrow(scored, "doc_id long, lang_pred string, score double")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
