@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from groundline.operators.evidence import bundle_state, entry_json, pack, resolution_code
 from groundline.operators.ingest import pages
@@ -166,7 +167,7 @@ def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.length(prompt).alias("prompt_chars"), F.sha2(prompt, 256).alias("prompt_sha256"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def hashed_embedding(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A stand-in for an embedding model at its boundary: unit vectors of 16 letter-pair counts, batch by batch."""
     for texts in batches:
