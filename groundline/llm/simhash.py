@@ -46,15 +46,15 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(documents: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) of every row."""
+    """``doc_id, row, fp`` of every row: fp is the fingerprint as a signed long, row numbers the rows of this run."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fps = np.fromiter((fingerprint(t.as_py(), width, seed) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width, seed) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(batches, "doc_id long, fp long")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    return docs.mapInArrow(batches, "doc_id long, row long, fp long")
 
 
 def _ball(fp: Column) -> Column:
@@ -78,22 +78,24 @@ def links(unique: DataFrame, max_distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, *, width: int = 3, seed: int = 42, max_distance: int = 2) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row of ``documents``.
+    """``doc_id, row, fp, component_id, kept`` of every row of ``documents``.
 
     component_id is the least doc_id that the row reaches over links, itself
-    included. Null and empty texts have fingerprint zero and are linked like
-    any other; repeated rows stay; null ids count for no component (a component
-    of null ids only has a null id); an empty table gives an empty result.
+    included; the first row with that id is the one of the group to keep. Null
+    and empty texts have fingerprint zero and are linked like any other;
+    repeated rows stay; null ids come after all others (a group of null ids
+    only has a null id); an empty table gives an empty result.
     """
     if not 0 <= max_distance <= 2:
         raise ValueError("the radius-1 balls of the segments cover distances up to 2")
     docs = cut(fingerprints(documents, width, seed))
-    unique = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+    unique = cut(docs.groupBy("fp").agg(F.min(first).alias("least")))
     labels = connected_components(links(unique, max_distance))
-    rooted = unique.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("label", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    component = rooted.join(roots, "root").select("fp", "component_id")
-    return docs.join(component, "fp").select("doc_id", "fp", "component_id")
+    rooted = unique.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
+    roots = rooted.groupBy("root").agg(F.min("least").alias("group"))
+    component = rooted.join(roots, "root").select("fp", "group")
+    return docs.join(component, "fp").select("doc_id", "row", "fp", F.col("group.doc_id").alias("component_id"), (F.col("row") == F.col("group.row")).alias("kept"))
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -15,7 +15,10 @@ def test_fingerprints_and_components_match_brute_force(odd):
     want = sorted((rows[k][0], f"{fps[k]:016x}", rows[roots[k]][0]) for k in range(len(rows)))
     found = near_duplicates(odd.filter("doc_id IS NOT NULL")).select("doc_id", hex_fingerprint("fp"), "component_id")
     assert sorted(map(tuple, found.collect())) == want
-    assert near_duplicates(odd).count() == odd.count()  # null ids stay
+    every = near_duplicates(odd).collect()
+    assert len(every) == odd.count()  # null ids stay
+    kept = [r["component_id"] for r in every if r["kept"]]
+    assert len(kept) == len(set(kept)) == len({r["component_id"] for r in every})
 
 
 def test_links_join_what_all_pairs_join(spark):
