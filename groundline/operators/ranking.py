@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundline.functions.text import tokens
+from groundline.functions.text import TOKEN, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 NO_RANK = 2**31 - 1
@@ -26,13 +26,15 @@ def bm25(documents: DataFrame, queries: DataFrame, *, query_key: str, eligible:
     ``queries`` has ``query_key, term``; a repeated term counts again. Statistics
     are those of all ``documents``; ``eligible`` restricts only what is returned.
     """
-    docs = documents.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"), *([eligible.alias("eligible")] if eligible is not None else []))
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
+    more = ["eligible"] if eligible is not None else []
+    docs = documents.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"), *([eligible.alias("eligible")] if more else []))
+    sizes = documents.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN))).alias("mean"))
     n, mean = sizes.select(F.col("n").cast("double")).scalar(), sizes.select("mean").scalar()
     vocabulary = queries.select("term").distinct()
-    each = docs.select("doc_id", F.size("t").alias("dl"), *(["eligible"] if eligible is not None else []), F.explode("t").alias("term"))
+    # An outer explode: for an inner one, Spark would add a filter that tokenises every text once more.
+    each = docs.select("doc_id", *more, F.size("t").alias("dl"), "t").select("doc_id", *more, "dl", F.explode_outer("t").alias("term"))
     found = each.join(vocabulary, "term", "left_semi")
-    tf = found.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), *([F.first("eligible").alias("eligible")] if eligible is not None else []))
+    tf = found.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), *(F.first(c).alias(c) for c in more))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)).alias("idf"))
     if eligible is not None:
