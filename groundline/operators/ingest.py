@@ -80,3 +80,32 @@ def budget_spans(word_array: Column, cost, budget: int) -> Column:
         )
 
     return F.aggregate(word_array, start, step, lambda acc: F.when(acc["i"] > acc["open"], F.concat(acc["done"], made(acc["open"], acc["i"], True))).otherwise(acc["done"]))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once (inside a lambda Spark evaluates outer expressions anew)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def line_order(placed: Column, tolerance: float = 3.0) -> Column:
+    """Positioned words (top, x0, w) as lines in reading order.
+
+    Words go by their top; one within ``tolerance`` of the first top of the
+    current line belongs to it, else it starts a line. Within a line words go
+    by x0, then by top. Only the different tops of a page are folded.
+    """
+
+    def starts(words: Column) -> Column:
+        tops = F.sort_array(F.array_distinct(F.transform(words, lambda w: w["top"].cast("double"))))
+        step = lambda acc, t: F.when((F.size(acc) > 0) & (t - F.get(acc, F.size(acc) - 1) <= tolerance), acc).otherwise(F.concat(acc, F.array(t)))
+        return F.aggregate(tops, F.array().cast("array<double>"), step)
+
+    def lines(words: Column, first: Column) -> Column:
+        def line(top: Column, i: Column) -> Column:
+            below = F.get(first, i + 1)
+            mine = F.filter(words, lambda w: (w["top"] >= top) & (below.isNull() | (w["top"] < below)))
+            return F.sort_array(F.transform(mine, lambda w: F.struct(w["x0"].alias("x0"), w["top"].alias("top"), w["w"].alias("w"))))
+
+        return F.transform(first, line)
+
+    return _let(placed, lambda words: _let(starts(words), lambda first: lines(words, first)))

@@ -48,9 +48,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, vec_id, score`` of every vector for every query; the query side is a stated small set."""
+    """``query_id, vec_id, score`` of every vector for every vector of a stated query set.
+
+    Every query meets every vector; Spark does so in blocks (partition by
+    partition) unless one side is small enough to broadcast.
+    """
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    return vectors.crossJoin(F.broadcast(q)).select("query_id", *vectors.columns, F.round(dot(F.col("embedding"), F.col("q")) / F.col("norm"), 9).alias("score"))
+    return vectors.crossJoin(q).select("query_id", *vectors.columns, F.round(dot(F.col("embedding"), F.col("q")) / F.col("norm"), 9).alias("score"))
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, keys: list[str], *, offset: int = 40) -> DataFrame:

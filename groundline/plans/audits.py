@@ -10,19 +10,19 @@ from groundline.plans.ingest import CHUNKS_SQL
 from groundline.plans.registry import query
 from groundline.sources.tables import table
 
-#: Anchors: every seventh word of a page, where it stands in the page.
+#: Anchors: every word of a page, where it stands in the page.
 ANCHORS_SQL = """,
 anchors AS (
   SELECT doc_id, page_index, i AS word_index, CASE WHEN i = 0 THEN 0 ELSE length(array_to_string(page_words[1:i], ' ')) + 1 END AS a_start, page_words[i + 1] AS word
-  FROM (SELECT doc_id, page_index, page_words, unnest(range(0, len(page_words), 7)) AS i FROM pages_)
+  FROM (SELECT doc_id, page_index, page_words, unnest(range(0, len(page_words))) AS i FROM pages_)
 )
 """
 
 
 def _anchors(page_rows: DataFrame) -> DataFrame:
-    each = page_rows.withColumn("starts", offsets(F.col("page_words"))).select("doc_id", "page_index", "starts", F.posexplode("page_words").alias("word_index", "word")).filter("word_index % 7 = 0")
+    each = page_rows.withColumn("starts", offsets(F.col("page_words"))).select("doc_id", "page_index", "starts", F.posexplode("page_words").alias("word_index", "word"))
     begin = F.get("starts", F.col("word_index"))
-    return each.select("doc_id", "page_index", "word_index", begin.alias("a_start"), (begin + F.length("word")).alias("a_end"))
+    return each.select("doc_id", "page_index", "word_index", "word", begin.alias("a_start"), (begin + F.length("word")).alias("a_end"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -46,11 +46,11 @@ def anchors_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("doc_id", "page_index", "ordinal").agg(F.count("*").alias("n_anchors"))
 
 
-@query(CHUNKS_SQL + ANCHORS_SQL + ", far AS (SELECT * FROM anchors WHERE word_index % 49 = 0) SELECT doc_id, page_index::INT AS page_index, ordinal::INT AS ordinal FROM chunks_ c WHERE NOT EXISTS (SELECT 1 FROM far a WHERE a.doc_id = c.doc_id AND a.page_index = c.page_index AND a.a_start < c.start_offset + length(c.chunk_text) AND a.a_start + length(a.word) > c.start_offset)")
+@query(CHUNKS_SQL + ANCHORS_SQL + ", far AS (SELECT * FROM anchors WHERE word LIKE '%.') SELECT doc_id, page_index::INT AS page_index, ordinal::INT AS ordinal FROM chunks_ c WHERE NOT EXISTS (SELECT 1 FROM far a WHERE a.doc_id = c.doc_id AND a.page_index = c.page_index AND a.a_start < c.start_offset + length(c.chunk_text) AND a.a_start + length(a.word) > c.start_offset)")
 def chunks_without_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that no anchor of a sparser set overlaps (anti join on a range)."""
+    """Chunks in which no sentence ends: no such anchor overlaps them (anti join on a range)."""
     c, a = _parts(spark, sf_dir)
-    far = a.filter("word_index % 49 = 0").select(F.col("doc_id").alias("d"), F.col("page_index").alias("p"), "a_start", "a_end")
+    far = a.filter(F.col("word").endswith(".")).select(F.col("doc_id").alias("d"), F.col("page_index").alias("p"), "a_start", "a_end")
     return c.join(far, (c["doc_id"] == far["d"]) & (c["page_index"] == far["p"]) & (far["a_start"] < c["end_offset"]) & (far["a_end"] > c["start_offset"]), "left_anti").select("doc_id", "page_index", "ordinal")
 
 

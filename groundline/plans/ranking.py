@@ -1,7 +1,7 @@
 """Queries of planning, ranking, fusion and evaluation.
 
-Search queries are the texts of ``benchmark``; the vector of a search is the
-one with the same id. Documents and vectors with one id are one parent.
+Search queries are the texts of ``benchmark``; the vector of search i is the
+one with id 50 i. Documents and vectors with one id are one parent.
 """
 
 from __future__ import annotations
@@ -27,15 +27,14 @@ idf AS (SELECT term, greatest(ln((any_value(s.n) - count(*) + 0.5) / (count(*) +
 scored AS (SELECT item_id, doc_id, any_value(source) AS source, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / s.mean))), 9) AS score FROM tf JOIN idf USING (term) JOIN q USING (term), s GROUP BY item_id, doc_id),
 lexical AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score, doc_id)::INT AS rank FROM scored) WHERE rank <= {DEPTH})
 """
-#: Eight stated query vectors.
+#: The stated query set: every vector whose id is divisible by 50.
 SEMANTIC_SQL = f"""
-qv AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 8),
+qv AS (SELECT vec_id // 50 AS item_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 cos_ AS (SELECT item_id, vec_id AS doc_id, label, round(list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(q, q)), 9) AS score FROM embeddings, qv),
 semantic AS (SELECT * FROM (SELECT item_id, doc_id, label, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM cos_) WHERE rank <= {DEPTH})
 """
 FUSED_SQL = f"""
-lex8 AS (SELECT * FROM lexical WHERE item_id < 8),
-joined AS (SELECT coalesce(l.item_id, s.item_id) AS item_id, coalesce(l.doc_id, s.doc_id) AS doc_id, l.rank AS lexical_rank, s.rank AS semantic_rank FROM lex8 l FULL JOIN semantic s ON l.item_id = s.item_id AND l.doc_id = s.doc_id),
+joined AS (SELECT coalesce(l.item_id, s.item_id) AS item_id, coalesce(l.doc_id, s.doc_id) AS doc_id, l.rank AS lexical_rank, s.rank AS semantic_rank FROM lexical l FULL JOIN semantic s ON l.item_id = s.item_id AND l.doc_id = s.doc_id),
 fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, least(coalesce(lexical_rank, 2147483647), coalesce(semantic_rank, 2147483647)), channels DESC, coalesce(lexical_rank, 2147483647), coalesce(semantic_rank, 2147483647), doc_id)::INT AS fused_rank FROM (
   SELECT *, CASE WHEN semantic_rank IS NULL THEN 1 / (lexical_rank + 40)::DOUBLE WHEN lexical_rank IS NULL THEN 1 / (semantic_rank + 40)::DOUBLE ELSE (lexical_rank + semantic_rank + 80)::DOUBLE / ((lexical_rank + 40) * (semantic_rank + 40)) END AS score,
     (CASE WHEN lexical_rank IS NULL THEN 0 ELSE 1 END + CASE WHEN semantic_rank IS NULL THEN 0 ELSE 1 END) AS channels FROM joined))
@@ -53,8 +52,8 @@ def lexical(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> DataFrame:
 
 def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    scored = cosine(vectors, vectors.filter("vec_id < 8"))
-    return scored.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "label", "score")
+    scored = cosine(vectors, vectors.filter("vec_id % 50 = 0"))
+    return scored.select(F.floor(F.col("query_id") / 50).alias("item_id"), F.col("vec_id").alias("doc_id"), "label", "score")
 
 
 def semantic(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> DataFrame:
@@ -62,7 +61,7 @@ def semantic(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuse(lexical(spark, sf_dir).filter("item_id < 8"), semantic(spark, sf_dir), ["item_id", "doc_id"])
+    return fuse(lexical(spark, sf_dir), semantic(spark, sf_dir), ["item_id", "doc_id"])
 
 
 @query("WITH " + LEXICAL_SQL + f"SELECT item_id, doc_id, rank, round(score, 6) AS score FROM lexical WHERE rank <= {TOP}")
@@ -88,8 +87,8 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact cosine among the vectors of one label; the filter comes before any score."""
     vectors = table(spark, sf_dir, "embeddings")
-    scored = cosine(vectors.filter("label = 3"), vectors.filter("vec_id < 8"))
-    return top_k(scored, "query_id", [F.desc("score"), F.col("vec_id")], TOP).select(F.col("query_id").alias("item_id"), "vec_id", "rank", F.round("score", 6).alias("score"))
+    scored = cosine(vectors.filter("label = 3"), vectors.filter("vec_id % 50 = 0"))
+    return top_k(scored, "query_id", [F.desc("score"), F.col("vec_id")], TOP).select(F.floor(F.col("query_id") / 50).alias("item_id"), "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -276,12 +275,12 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     + LEXICAL_SQL
     + ","
     + SEMANTIC_SQL
-    + """, l AS (SELECT DISTINCT item_id, doc_id FROM lexical WHERE item_id < 8), v AS (SELECT DISTINCT item_id, doc_id FROM semantic)
+    + """, l AS (SELECT DISTINCT item_id, doc_id FROM lexical), v AS (SELECT DISTINCT item_id, doc_id FROM semantic)
     SELECT 'overlap' AS part, count(*) AS n FROM (SELECT * FROM l INTERSECT SELECT * FROM v) UNION ALL SELECT 'lexical only', count(*) FROM (SELECT * FROM l EXCEPT SELECT * FROM v) UNION ALL SELECT 'semantic only', count(*) FROM (SELECT * FROM v EXCEPT SELECT * FROM l)"""
 )
 def channel_complementarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that both channels gave, or one alone, as set operations."""
-    a = lexical(spark, sf_dir).filter("item_id < 8").select("item_id", "doc_id")
+    a = lexical(spark, sf_dir).select("item_id", "doc_id")
     b = semantic(spark, sf_dir).select("item_id", "doc_id")
     parts = {"overlap": a.intersect(b), "lexical only": a.subtract(b), "semantic only": b.subtract(a)}
     out = None

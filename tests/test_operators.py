@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundline.functions.text import collapse, content_id, normalized, query_terms, tokens, variants
 from groundline.operators.evidence import EMPTY_BYTES, bundle_state, entry_json, pack, resolution_code
-from groundline.operators.ingest import budget_spans, chunk_cuts, chunks, offsets, pages
+from groundline.operators.ingest import budget_spans, chunk_cuts, chunks, line_order, offsets, pages
 from groundline.operators.ranking import bm25, cosine, fuse, pareto_layers, ranking_metrics, top_k
 
 
@@ -48,6 +48,13 @@ def test_budget_spans(spark):
     assert got == [(0, 3, True), (3, 4, False), (4, 7, True)]
 
 
+def test_lines_go_by_their_first_top(spark):
+    placed = [(10.0, 5.0, "b"), (13.0, 1.0, "a"), (13.1, 1.0, "c"), (16.0, 0.0, "d"), (9.9, 50.0, "x")]
+    df = spark.createDataFrame([(placed,)], "p array<struct<top:double,x0:double,w:string>>")
+    got = [[w["w"] for w in line] for line in df.select(line_order(F.col("p"))).first()[0]]
+    assert got == [["b", "x"], ["d", "a", "c"]]  # 13.0 is over 3 below 9.9, 12.9 would not be
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("été  x y \n z ",), ("plain  text",), (None,)], "t string")
     assert sorted(r["n"] for r in normalized(df, "t", "n").collect()) == ["", "plain text", "été x y z"]
