@@ -179,9 +179,7 @@ def _buffers(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, bytes
         yield begin, at, b"".join(data), np.cumsum([len(x) for x in data])
 
 
-def _run_tuples(span: int, gram: int, buffer_bytes: int, most: int) -> Callable:
-    longest = (1 << 24) - 1
-
+def _run_tuples(span: int, gram: int, buffer_bytes: int, most: int, longest: int = (1 << 24) - 1) -> Callable:
     def parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         names = _hashers(2 * buffer_bytes)
         for batch in it:

@@ -2,11 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from groundline.llm.repeats import _merge_intervals, remove_repeats, sliding_min
+from groundline.llm.repeats import _merge_intervals, _run_tuples, _scan, remove_repeats, sliding_min
 
 
 def slow(rows, span):
@@ -75,3 +76,39 @@ def test_merged_intervals_cover_the_same(parts):
     cover = lambda r, b, e: {(x, k) for x, p, q in zip(r.tolist(), b.tolist(), e.tolist()) for k in range(p, q)}
     assert cover(r, b, e) == cover(row, begin, end)
     assert sum((e - b).tolist()) == len(cover(r, b, e)) and all(p < n for x, y, p, n in zip(r, r[1:], e, b[1:]) if x == y)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 2), st.integers(0, 9), st.sampled_from([-5, 1, 3])), max_size=40), st.integers(1, 7))
+def test_scan_does_not_depend_on_batches(tuples, width):
+    names = ["k", "b", "doc", "row", "start", "size"]
+    rows = sorted((k, b, doc, doc, i, size) for i, (k, b, doc, size) in enumerate(tuples))
+    blocks = {}
+    for k, b, *_, size in rows:
+        if size > 0:
+            blocks.setdefault(k, set()).add(b)
+    want, seen = [], set()
+    for k, b, doc, row, start, size in rows:
+        if size < 0:
+            want.append((doc, row, start, size))
+        elif (k, b) in seen:
+            want.append((doc, row, start, -(size + 9)))
+        elif len(blocks[k]) > 1:
+            want.append((doc, row, start, size))
+        if size > 0:
+            seen.add((k, b))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + width]], pa.int64()) for c in range(6)], names=names) for i in range(0, len(rows), width)]
+    got = [tuple(r.values()) for out in _scan(10)(iter(batches)) for r in out.to_pylist()]
+    assert sorted(got) == sorted(want)
+
+
+def test_sections_of_a_long_text_cover_every_start_once():
+    rng = random.Random(2)
+    data = [bytes(rng.choices(b"abc ", k=n)) for n in (5000, 40, 0, 700)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([10, 20, 30, 40]), pa.array(data, pa.binary())], names=["doc", "row", "data"])
+    for longest in (150, 601, 1 << 20):
+        starts = []
+        for out in _run_tuples(100, 40, 256, 10_000, longest)(iter([batch])):
+            for r in out.to_pylist():
+                starts += [(r["row"], p) for p in range(r["start"], r["start"] + (r["size"] if r["size"] > 0 else -r["size"] - 99))]
+        assert sorted(set(starts)) == [(10, p) for p in range(4901)] + [(40, p) for p in range(601)]
