@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _scanned(documents: DataFrame) -> bool:
+    """Whether every row is one row of a file: a plain scan, with columns and rows left out at most."""
+    plan = documents._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.children().isEmpty() and plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def numbered(documents: DataFrame, name: str = "row") -> DataFrame:
+    """Adds a number to every row that is the same whenever the result is read.
+
+    Rows of stored tables are numbered by file and place in the file, which do
+    not depend on how Spark packs files into partitions. Other rows are written
+    to the checkpoint folder with their numbers.
+    """
+    if _scanned(documents):
+        try:
+            places = documents.select("*", F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(f"{name}_at"))
+        except AnalysisException:  # a format that does not number its rows
+            places = None
+        if places is not None:
+            files = sorted(r[0] for r in places.select(f"{name}_file").distinct().collect())
+            index = documents.sparkSession.createDataFrame(list(enumerate(files)), f"{name}_file_index long, {name}_file string")
+            number = F.shiftleft(f"{name}_file_index", 40).bitwiseOR(F.col(f"{name}_at")).alias(name)
+            return places.join(F.broadcast(index), f"{name}_file").select(*(F.col(f"`{c}`") for c in documents.columns if c != name), number)
+    return cut(documents.select(*(F.col(f"`{c}`") for c in documents.columns if c != name), F.monotonically_increasing_id().alias(name)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
