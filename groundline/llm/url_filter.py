@@ -53,13 +53,29 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return best["rule"], best["verdict"]
 
 
+def _mean_and_upper(a: Column, b: Column, z: float) -> Column:
+    mean, deviation = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    return F.struct(F.round(mean, 6).alias("mean"), F.round(mean + z * deviation, 6).alias("upper"))
+
+
 def host_reputation(labelled: DataFrame, *, z: float = 2.0, least: float = 2.0, most: float = 200.0) -> DataFrame:
     """``host, mean, upper`` for every host of ``labelled`` (``host, good``: one row per labelled page)."""
+    return reputations(labelled, z=z, least=least, most=most)["host"].select("host", "mean", "upper")
+
+
+def reputations(labelled: DataFrame, *, z: float = 2.0, least: float = 2.0, most: float = 200.0) -> dict[str, DataFrame]:
+    """By level, ``mean`` and ``upper`` of every unit, and ``new``: mean and upper of a host without labels for which this unit is the nearest known.
+
+    Such a host has no count of its own, so its posterior is the prior: the
+    unit's mean with the strength of the level below it; for an unknown domain
+    or suffix, the strength is that of the first level below the known one.
+    Level ``overall`` is one row with ``new`` alone; null where there are no labels.
+    """
     units = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("g"))
     units = units.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
     overall = units.agg(F.sum("n").alias("n"), F.sum("g").alias("g")).select(F.when(F.col("n") > 0, (F.col("g") + 1) / (F.col("n") + 2)).otherwise(F.lit(0.5)).alias("above"))
     above, key = overall.scalar(), None
-    result = None
+    result, found, strengths = None, {}, {}
     for level in LEVELS:
         counted = units if level == "host" else units.groupBy(level, *(["suffix"] if level == "domain" else [])).agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
         counted = counted.withColumn("above", above) if key is None else counted.join(result.select(key, F.col("mean").alias("above")), key)
@@ -70,9 +86,15 @@ def host_reputation(labelled: DataFrame, *, z: float = 2.0, least: float = 2.0,
         strength = counted.agg(F.when(spread > noise, F.round((size * noise / F.count("*") - spread) / (spread - noise), 3)).otherwise(F.lit(most)).alias("k")).select(F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce("k", F.lit(most)))).alias("k")).scalar()
         a, b = F.col("k") * F.col("above") + F.col("g"), F.col("k") * (1 - F.col("above")) + F.col("n") - F.col("g")
         result = counted.withColumn("k", strength).withColumn("a", a).withColumn("b", b).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
+        found[level], strengths[level] = result, strength
         key = level
-    deviation = F.sqrt(F.col("a") * F.col("b") / ((F.col("a") + F.col("b")) * (F.col("a") + F.col("b")) * (F.col("a") + F.col("b") + 1)))
-    return result.select("host", F.round("mean", 6).alias("mean"), F.round(F.col("mean") + z * deviation, 6).alias("upper"))
+    levels = {}
+    for level, below in zip(LEVELS, [*LEVELS[1:], None]):
+        new = _mean_and_upper(strengths[below] * F.col("mean"), strengths[below] * (1 - F.col("mean")), z) if below else F.lit(None)
+        levels[level] = found[level].select(level, new.alias("new"), _mean_and_upper(F.col("a"), F.col("b"), z).alias("own")).select(level, "new", "own.*")
+    overall = units.agg(F.sum("n").alias("n")).filter("n > 0").select(above.alias("mean"))
+    levels["overall"] = overall.select(_mean_and_upper(strengths["suffix"] * F.col("mean"), strengths["suffix"] * (1 - F.col("mean")), z).alias("new"))
+    return levels
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, *, rules=RULES, least_good: float = 0.5, z: float = 2.0) -> DataFrame:
@@ -80,15 +102,22 @@ def judge_urls(pages: DataFrame, labels: DataFrame, *, rules=RULES, least_good:
 
     Labels are matched by page_id = doc_id: a page is good with quality 1 and
     not toxic. Null urls and urls without ``://`` have an empty host and path.
-    A host without labelled pages (as all, where there are no labels) is
-    allowed: nothing speaks against it. Repeated rows stay (and repeated labels
+    A host without labelled pages is judged by the prior that its registered
+    domain gives, else its suffix, else all labels; where there are no labels,
+    every host is allowed, and so is an empty host. Repeated rows stay (and repeated labels
     count again); empty tables give empty results; other columns are ignored.
     """
     host, path = split_url(F.col("url"))
     urls = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
     outcome = labels.select(F.col("doc_id").alias("label_id"), ((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good"))
-    reputation = host_reputation(urls.join(outcome, F.col("page_id") == F.col("label_id")).select("host", "good"), z=z)
+    levels = reputations(urls.join(outcome, F.col("page_id") == F.col("label_id")).select("host", "good"), z=z)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    ruled = urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    by_host = F.when(F.col("upper") < least_good, F.lit("block")).otherwise(F.lit("allow"))
-    return ruled.join(reputation, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"))
+    ruled = urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"))
+    for level in ("domain", "suffix"):
+        ruled = ruled.join(levels[level].select(level, F.col("new.upper").alias(f"{level}_upper")), level, "left")
+    # One row at most: no label at all gives none.
+    ruled = ruled.join(F.broadcast(levels["overall"].select(F.col("new.upper").alias("overall_upper"))), F.lit(True), "left")
+    ruled = ruled.join(levels["host"].select("host", F.col("upper").alias("host_upper")), "host", "left")
+    unlabelled = F.when(F.col("host") != "", F.coalesce("domain_upper", "suffix_upper", "overall_upper"))
+    by_host = F.when(F.coalesce("host_upper", unlabelled) < least_good, F.lit("block")).otherwise(F.lit("allow"))
+    return ruled.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"))

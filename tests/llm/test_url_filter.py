@@ -45,3 +45,15 @@ def test_odd_rows_and_empty_tables(spark):
     assert ("bad.x.io", "block") in verdicts and ("ok0.y.io", "allow") in verdicts and ("", "allow") in verdicts
     assert {r[4] for r in judge_urls(pages, labels.limit(0)).collect()} == {"allow"}
     assert judge_urls(pages.limit(0), labels).count() == 0
+
+
+def test_hosts_without_labels_are_judged_by_domain_suffix_and_overall(spark):
+    hosts = [f"h{k % 20}.bad{k % 4}.io" for k in range(400)] + [f"h{k % 20}.good{k % 4}.net" for k in range(400)]
+    new = {"new.bad1.io": "block", "bad1.io": "block", "x.unseen.io": "block", "new.good1.net": "allow", "x.unseen.net": "allow", "x.y.zz": "allow"}
+    pages = spark.createDataFrame([(k, f"http://{h}/a") for k, h in enumerate([*hosts, *new])], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int("good" in h), 0) for k, h in enumerate(hosts)], "doc_id long, quality int, toxic int")
+    rows = judge_urls(pages, labels).collect()
+    assert len(rows) == len(hosts) + len(new)
+    assert {r["host"]: r["verdict"] for r in rows if r["host"] in new} == new
+    bad = spark.createDataFrame([(k, 0, 0) for k in range(len(hosts))], "doc_id long, quality int, toxic int")
+    assert {r["verdict"] for r in judge_urls(pages, bad).filter("host = 'x.y.zz'").collect()} == {"block"}
