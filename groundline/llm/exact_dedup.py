@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 
 class CuckooIndex:
@@ -154,10 +154,10 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
     Null counts as the empty text. Of equal texts the row with the greatest
     doc_id stays (null ids are below all others); of repeated rows with that id
     just one stays, so each group keeps exactly one row. Empty tables give an
-    empty result; other columns are ignored. ``row`` numbers the rows of this run.
+    empty result; other columns are ignored. ``row`` is the number that ``numbered`` gives.
     """
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    rows = cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.monotonically_increasing_id().alias("row")))
+    rows = cut(numbered(documents.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), "row"))
     groups = cut(digest_groups(rows))
     several = groups.filter("group_size > 1").withColumnRenamed("digest", "group_digest")
     joined = rows.join(several, rows["digest"] == several["group_digest"], "left")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, let
+from .common import cut, let, numbered
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 
@@ -87,11 +87,11 @@ def mix(documents: DataFrame, *, target_entropy: float = 0.93, max_epochs: float
     the source's budget pays for, and one more if the document lies before the
     cut of the last, partial pass. Null sources are a source of their own; null
     and empty texts have no tokens and come once a whole pass; repeated rows
-    count as rows; an empty table gives an empty result. ``row`` numbers the
-    rows of this run.
+    count as rows; an empty table gives an empty result. ``row`` is the
+    number that ``numbered`` gives.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = cut(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("n_tokens")))
+    base = cut(numbered(documents.select("doc_id", "source", "text")).select("row", "doc_id", "source", F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("n_tokens")))
     base = base.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")))
     totals = base.groupBy(F.col("key").alias("source")).agg(F.sum("n_tokens").alias("tokens"))
     weights = cut(source_weights(totals, target_entropy=target_entropy, max_epochs=max_epochs, budget=budget)).withColumnRenamed("source", "key")

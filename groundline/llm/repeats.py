@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 _TUPLE = "k long, b long, doc long, row long, start long, size long"
 _NAMES = ["k", "b", "doc", "row", "start", "size"]
@@ -324,18 +324,17 @@ def remove_repeats(documents: DataFrame, *, span: int = 100, gram: int = 40) ->
     earlier: in a smaller doc_id (null ids come first, repeated ids in the order
     of the rows) or earlier in the same text. Strings are judged on the input.
     Null counts as the empty text; texts of any length are treated whole; an
-    empty table gives an empty result; other columns are ignored. ``documents``
-    must be a stored table, whose rows come in the same order on every read.
+    empty table gives an empty result; other columns are ignored.
     """
     if not 0 < gram < span:
         raise ValueError("gram must be shorter than span")
     least = F.lit(-(1 << 63)).cast("long")
-    numbered = documents.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), F.monotonically_increasing_id().alias("row"))
-    docs = numbered.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc"), "row", "data")
+    rows = numbered(documents.select("doc_id", "text")).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), "row")
+    docs = rows.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc"), "row", "data")
     gone = cut(removed_intervals(docs, span, gram))
     touched = _among(F.col("row"), gone.select("row"))
     spans = gone.groupBy("row").agg(F.collect_list("begin").alias("begins"), F.collect_list("stop").alias("stops"))
-    marked = numbered.withColumn("touched", touched)
+    marked = rows.withColumn("touched", touched)
     changed = marked.filter("touched").join(spans, "row", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "data", "begins", "stops")
     zero = F.lit(0).cast("long")
     whole = marked.filter("NOT touched").select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"))
