@@ -32,16 +32,20 @@ def paired(left: Column, h: Column, width: int) -> Column:
     return F.zip_with(F.slice(left, 1, n), F.slice(h, width, n), lambda a, b: F.xxhash64(a, b))
 
 
-def repeated_words(tri: Column) -> Column:
+def repeated_words(tri: Column, bits: int = 24) -> Column:
     """Words covered by the 3-word windows whose hash occurs twice or more in ``tri``.
 
     Window hashes and positions packed into longs are sorted first; only those
-    whose upper 40 bits meet again are compared in full.
+    whose upper 40 bits meet again are compared in full. Where there are more
+    windows than ``bits`` can number, all are compared in full.
     """
 
     def covered(packed: Column) -> Column:
-        near = F.filter(packed, lambda e, i: (F.shiftright(e, 24) == F.shiftright(F.get(packed, i - 1), 24)) | (F.shiftright(e, 24) == F.shiftright(F.get(packed, i + 1), 24)))
-        at = F.transform(near, lambda e: e.bitwiseAND(F.lit(0xFFFFFF)).cast("int"))
+        near = F.filter(packed, lambda e, i: (F.shiftright(e, bits) == F.shiftright(F.get(packed, i - 1), bits)) | (F.shiftright(e, bits) == F.shiftright(F.get(packed, i + 1), bits)))
+        at = F.transform(near, lambda e: e.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
+        return in_full(at)
+
+    def in_full(at: Column) -> Column:
         full = F.sort_array(F.transform(at, lambda i: F.struct(F.get(tri, i).alias("x"), i.alias("i"))))
         return let(let(full, marked), total)
 
@@ -53,8 +57,8 @@ def repeated_words(tri: Column) -> Column:
     def total(pos: Column) -> Column:
         return F.aggregate(F.transform(pos, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(pos, i + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda acc, g: acc + g)
 
-    packed = F.sort_array(F.transform(tri, lambda x, i: F.shiftleft(x, 24).bitwiseOR(i.cast("long"))))
-    return F.when(F.size(F.array_distinct(tri)) == F.size(tri), F.lit(0).cast("long")).otherwise(let(packed, covered))
+    packed = F.sort_array(F.transform(tri, lambda x, i: F.shiftleft(x, bits).bitwiseOR(i.cast("long"))))
+    return F.when(F.size(F.array_distinct(tri)) == F.size(tri), F.lit(0).cast("long")).when(F.size(tri) > 1 << bits, in_full(F.sequence(F.lit(0), F.size(tri) - 1))).otherwise(let(packed, covered))
 
 
 def fit_ratios(documents: DataFrame, labels: DataFrame, buckets: int, smoothing: float, target_documents: int) -> DataFrame:
@@ -103,7 +107,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, *, carry: list[str]
             return F.struct(
                 F.size(h).cast("long").alias("n_words"),
                 F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-                let(paired(pairs, h, 3), repeated_words).alias("n_repeat_words"),
+                let(paired(pairs, h, 3), lambda tri: repeated_words(tri)).alias("n_repeat_words"),
                 F.round(total / F.greatest(F.lit(1), F.size(h) + F.size(pairs)), 6).alias("score"),
             )
 

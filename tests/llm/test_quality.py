@@ -80,3 +80,14 @@ def test_empty_tables_and_no_target(odd, empty, labels):
 def test_carried_columns_keep_clashing_names(odd, labels):
     carried = quality_scores(odd, labels, carry=odd.columns).select("carried.*")
     assert carried.columns == odd.columns and carried.count() == odd.count()
+
+
+def test_repeated_words_beyond_the_packed_positions(spark):
+    from pyspark.sql import functions as F
+
+    from groundline.llm.quality import repeated_words
+
+    tri = [*range(50), 7, 8, 9, *range(100, 140), 3]
+    found = spark.createDataFrame([(tri,), (tri[:16],), (tri[:8] * 2,), (tri[:8] * 2 + [0],)], "tri array<long>")
+    got = [tuple(r) for r in found.select(repeated_words(F.col("tri"), 4), repeated_words(F.col("tri"))).collect()]
+    assert got == [(16, 16), (0, 0), (18, 18), (19, 19)]
