@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Verdict, host, path. Fixed by the contract.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -73,12 +75,15 @@ def reputations(labelled: DataFrame, *, z: float = 2.0, least: float = 2.0, most
     """
     units = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("g"))
     units = units.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+    # One row per host; cut here and at each level, as every level is read several times.
+    units = cut(units)
     overall = units.agg(F.sum("n").alias("n"), F.sum("g").alias("g")).select(F.when(F.col("n") > 0, (F.col("g") + 1) / (F.col("n") + 2)).otherwise(F.lit(0.5)).alias("above"))
     above, key = overall.scalar(), None
     result, found, strengths = None, {}, {}
     for level in LEVELS:
         counted = units if level == "host" else units.groupBy(level, *(["suffix"] if level == "domain" else [])).agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
         counted = counted.withColumn("above", above) if key is None else counted.join(result.select(key, F.col("mean").alias("above")), key)
+        counted = cut(counted)
         # Method of moments: the spread of rates beyond what binomial noise explains.
         noise = F.sum(F.col("above") * (1 - F.col("above")))
         spread = F.sum(F.col("n") * (F.col("g") / F.col("n") - F.col("above")) * (F.col("g") / F.col("n") - F.col("above")))
@@ -86,7 +91,8 @@ def reputations(labelled: DataFrame, *, z: float = 2.0, least: float = 2.0, most
         strength = counted.agg(F.when(spread > noise, F.round((size * noise / F.count("*") - spread) / (spread - noise), 3)).otherwise(F.lit(most)).alias("k")).select(F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce("k", F.lit(most)))).alias("k")).scalar()
         a, b = F.col("k") * F.col("above") + F.col("g"), F.col("k") * (1 - F.col("above")) + F.col("n") - F.col("g")
         result = counted.withColumn("k", strength).withColumn("a", a).withColumn("b", b).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
-        found[level], strengths[level] = result, strength
+        result = cut(result)
+        found[level], strengths[level] = result, result.agg(F.max("k")).scalar()
         key = level
     levels = {}
     for level, below in zip(LEVELS, [*LEVELS[1:], None]):
