@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from .license_scan import PHRASES, TEMPLATES, words_of
+from .license_scan import PHRASES, TEMPLATES, needed, word_list
 from .url_filter import RULES
 
 EXACT_DEDUP = """
@@ -48,14 +46,17 @@ def license_scans(threshold: float = 0.8) -> str:
         same = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p))
         places.append(f"list_filter(range(len(w) - {len(p) - 1}), lambda i: {same})")
         parts.append(f"CASE WHEN len({places[-1]}) > 0 THEN ['{label}'] ELSE []::VARCHAR[] END")
-    templates = ", ".join(f"('{label}', {words_of(text)}, {math.ceil(threshold * len(words_of(text)) - 1e-9)})" for label, text in TEMPLATES)
+    rows = [(label, *needed(word_list(text), threshold)) for label, text in TEMPLATES]
+    templates = ", ".join(f"({k}, '{label}', {t}, {need}, {length})" for k, (label, t, need, length) in enumerate(rows))
     return rf"""
-WITH templates(label, t, need) AS (VALUES {templates}),
+WITH templates(k, label, t, need, length) AS (VALUES {templates}),
 d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(low, '{word}') AS w FROM d),
 base AS (SELECT doc_id, len(w) AS n_words, list_concat(list_concat({places[0]}, {places[1]}), {places[2]}) AS spots, list_concat(list_concat({parts[0]}, {parts[1]}), {parts[2]}) AS labels FROM w),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS b FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
-found AS (SELECT doc_id, label, len(list_intersect(t, b)) / len(t)::DOUBLE AS c FROM blocks, templates WHERE len(list_intersect(t, b)) >= need),
+hits AS (SELECT doc_id, k, word, pos FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w) JOIN (SELECT k, unnest(t) AS word FROM templates) USING (word)),
+likely AS (SELECT doc_id, k, label, length, need, len(t) AS size FROM (SELECT doc_id, k, count(DISTINCT word) AS n FROM hits GROUP BY ALL) JOIN templates USING (k) WHERE n >= need),
+blocks AS (SELECT a.doc_id, a.k, a.pos, any_value(label) AS label, any_value(need) AS need, any_value(size) AS size, count(DISTINCT b.word) AS n FROM likely JOIN hits a USING (doc_id, k) JOIN hits b ON b.doc_id = a.doc_id AND b.k = a.k AND b.pos BETWEEN a.pos AND a.pos + length - 1 GROUP BY a.doc_id, a.k, a.pos),
+found AS (SELECT doc_id, label, n / size::DOUBLE AS c FROM blocks WHERE n >= need),
 best AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM found GROUP BY doc_id)
 SELECT doc_id, n_words, len(spots) AS n_base, list_min(spots) AS first_word, list_max(spots) AS last_word, array_to_string(list_sort(base.labels), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(base.labels, coalesce(best.labels, []::VARCHAR[])))), ',') AS labels, CASE WHEN len(base.labels) > 0 THEN 1.0::DOUBLE ELSE coalesce(round(c, 6), 0)::DOUBLE END AS score

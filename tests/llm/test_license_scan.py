@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 
 from groundline.llm.license_scan import PHRASES, TEMPLATES, frequency_order, scan_licenses
 
@@ -17,12 +18,13 @@ def slow(text, threshold=0.8):
         at += here
         base |= {label} if here else set()
     found = []
-    for line in lower.split("\n"):
-        block = set(WORD.findall(line))
-        for label, template in TEMPLATES:
-            t = set(WORD.findall(template.translate(LOWER)))
-            if len(t & block) >= math.ceil(threshold * len(t) - 1e-9):
-                found.append((label, len(t & block) / len(t)))
+    for label, template in TEMPLATES:
+        t = WORD.findall(template.translate(LOWER))
+        length = math.ceil(len(t) / threshold - 1e-9)
+        t = set(t)
+        best = max((len(t & set(words[i : i + length])) for i in range(max(1, len(words) - length + 1))), default=0)
+        if best >= math.ceil(threshold * len(t) - 1e-9):
+            found.append((label, best / len(t)))
     score = 1.0 if base else round(max((c for _, c in found), default=0.0), 6)
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in found})), score
 
@@ -37,9 +39,31 @@ CASES = [
     "Licensed CC BY-NC 4.0 x",
     "rights all all reserved",
     "é" * 50 + " MIT License " + "word " * 3000 + "mit license",
+    "all of the\nrights of mine are\nreserved",
+    "All rights\n * reserved.",
 ]
 
 
+def wrapped(text, width=72, lead=" * "):
+    return "\n".join(lead + line for line in textwrap.wrap(text, width))
+
+
+def test_wrapped_texts_are_found(spark):
+    """Published texts wrapped in comments, whole and with a few words changed, far into other text."""
+    noise = "some other words of a program " * 40
+    rows = []
+    for k, (label, text) in enumerate(TEMPLATES):
+        words = text.split()
+        words[len(words) // 2 : len(words) // 2 + len(words) // 12] = ["other"] * (len(words) // 12)
+        rows += [(2 * k, noise + "\n" + wrapped(text) + "\n" + noise, label), (2 * k + 1, wrapped(" ".join(words), 40, "# "), label)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: slow(t) for i, t, _ in rows}
+    assert all(label in got[i][5].split(",") for i, _, label in rows)
+    mit = next(t for label, t in reversed(TEMPLATES) if label == "mit")
+    spread = " ".join(f"{w} a b c d e" for w in mit.split())
+    assert scan_licenses(spark.createDataFrame([(1, spread)], "doc_id long, text string")).first()["labels"] == ""
+
+
 def test_matches_brute_force(spark, odd):
     texts = CASES + [r["text"] for r in odd.collect()]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
