@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import PHRASES, TEMPLATES, needed, word_list
-from .url_filter import RULES
+from .url_filter import RULES, SUFFIXES
 
 EXACT_DEDUP = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -13,6 +13,9 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def url_filters(z: float = 2.0, least_good: float = 0.5) -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    suffixes = ", ".join(f"'{x}'" for x in SUFFIXES)
+    # The upper bound of a host without labels: the prior that the nearest known level gives.
+    prior = lambda k, mean: f"round({mean} + {z} * sqrt({mean} * (1 - {mean}) / ({k} + 1)), 6)"
     level = """
 {name}_ AS (SELECT c.*, a.above FROM {counts} c JOIN {above} a ON {on}),
 {name}_k AS (SELECT greatest(2.0, least(200.0, coalesce(CASE WHEN spread > noise THEN round((size * noise / units - spread) / (spread - noise), 3) ELSE 200.0 END, 200.0))) AS k
@@ -24,7 +27,9 @@ rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, ins
 raw AS (SELECT page_id, regexp_extract(r, '(?s)^([^/?#]*)', 1) AS h, r FROM rest),
 urls AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(r, length(h) + 1), '(?s)^([^?#]*)', 1) AS path FROM raw),
 good AS (SELECT host, CASE WHEN coalesce(quality, 0) = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END AS good FROM urls JOIN labels ON doc_id = page_id),
-hosts AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS g FROM good GROUP BY host),
+named AS (SELECT host, array_to_string(list_slice(labels, -1 - depth, -1), '.') AS domain, array_to_string(list_slice(labels, -depth, -1), '.') AS suffix
+  FROM (SELECT host, labels, CASE WHEN array_to_string(list_slice(labels, -2, -1), '.') IN ({suffixes}) THEN 2 ELSE 1 END AS depth FROM (SELECT DISTINCT host, string_split(host, '.') AS labels FROM urls))),
+hosts AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS g FROM good JOIN named USING (host) GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(g) AS g FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM hosts GROUP BY ALL),
 overall AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(g) + 1) / (sum(n) + 2) ELSE 0.5 END AS above FROM hosts),
@@ -32,9 +37,11 @@ overall AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(g) + 1) / (sum(n) + 2) ELSE 0.
 {level.format(name="d", counts="domains", above="(SELECT suffix, mean AS above FROM s_p)", on="a.suffix = c.suffix").strip()},
 {level.format(name="h", counts="hosts", above="(SELECT domain, mean AS above FROM d_p)", on="a.domain = c.domain").strip()},
 reputation AS (SELECT host, round(mean + {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS upper FROM h_p),
+priors AS (SELECT named.host, coalesce({prior("h_k.k", "d_p.mean")}, {prior("d_k.k", "s_p.mean")}, {prior("s_k.k", "o.mean")}) AS upper FROM named LEFT JOIN d_p USING (domain) LEFT JOIN s_p ON s_p.suffix = named.suffix
+  LEFT JOIN (SELECT above AS mean FROM overall WHERE EXISTS (SELECT 1 FROM hosts)) o ON true, h_k, d_k, s_k WHERE named.host <> ''),
 fits AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict FROM urls, rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
-SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE WHEN p.upper < {least_good} THEN 'block' ELSE 'allow' END) AS verdict
-FROM urls u LEFT JOIN fits f USING (page_id) LEFT JOIN reputation p ON p.host = u.host
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE WHEN coalesce(r.upper, p.upper) < {least_good} THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls u LEFT JOIN fits f USING (page_id) LEFT JOIN reputation r ON r.host = u.host LEFT JOIN priors p ON p.host = u.host
 """
 
 

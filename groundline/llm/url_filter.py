@@ -1,7 +1,8 @@
 """URL filters: explicit rules, and an empirical-Bayes reputation of hosts for the rest.
 
-Labelled pages are counted per host, registered domain (the last two labels)
-and suffix (the last label). Each level's rate is shrunk to the level above
+Labelled pages are counted per host, registered domain (the suffix and one
+label) and suffix (the last label, or one of ``SUFFIXES`` under which names are
+registered, too). Each level's rate is shrunk to the level above
 through a beta prior: with g good of n pages, prior mean m and prior strength
 k, the posterior is Beta(k m + g, k (1 - m) + n - g). The strength of a level
 is estimated from the spread of its units' rates around the level above
@@ -22,6 +23,9 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 LEVELS = ("suffix", "domain", "host")
 
+#: Suffixes of two labels under which names are registered. Fixed values.
+SUFFIXES = tuple("ac.uk co.uk gov.uk org.uk com.au net.au org.au co.nz co.jp ne.jp or.jp co.kr co.in com.br com.cn com.mx com.tr com.tw co.za".split())
+
 
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
@@ -36,12 +40,14 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return lower_ascii(host), F.regexp_extract(F.substr(rest, F.length(host) + 1), r"(?s)^([^?#]*)", 1)
 
 
-def registered_domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def suffix(host: Column) -> Column:
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(list(SUFFIXES)), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def registered_domain(host: Column) -> Column:
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(list(SUFFIXES)), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -110,8 +116,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, *, rules=RULES, least_good:
     not toxic. Null urls and urls without ``://`` have an empty host and path.
     A host without labelled pages is judged by the prior that its registered
     domain gives, else its suffix, else all labels; where there are no labels,
-    every host is allowed, and so is an empty host. Repeated rows stay (and repeated labels
-    count again); empty tables give empty results; other columns are ignored.
+    every host is allowed, and so is an empty host. Urls of any length are judged
+    whole. Repeated rows stay (and repeated labels count again); empty tables
+    give empty results; other columns are ignored.
     """
     host, path = split_url(F.col("url"))
     urls = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))

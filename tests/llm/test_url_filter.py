@@ -1,6 +1,8 @@
+import duckdb
 from pyspark.sql import functions as F
 
-from groundline.llm.url_filter import host_reputation, judge_urls, matching_rule, split_url
+from groundline.llm import oracle
+from groundline.llm.url_filter import host_reputation, judge_urls, matching_rule, registered_domain, split_url, suffix
 
 
 def test_hosts_paths_and_rules(spark):
@@ -57,3 +59,26 @@ def test_hosts_without_labels_are_judged_by_domain_suffix_and_overall(spark):
     assert {r["host"]: r["verdict"] for r in rows if r["host"] in new} == new
     bad = spark.createDataFrame([(k, 0, 0) for k in range(len(hosts))], "doc_id long, quality int, toxic int")
     assert {r["verdict"] for r in judge_urls(pages, bad).filter("host = 'x.y.zz'").collect()} == {"block"}
+
+
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com": ("y.com", "com"), "com": ("com", "com"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", registered_domain(F.col("host")), suffix(F.col("host"))).collect()} == hosts
+
+
+def test_sql_gives_the_same_verdicts_for_planted_hosts(spark, tmp_path):
+    """Bad and good domains with many hosts, and hosts without any label, in Spark and in the query's SQL."""
+    labelled = [f"h{k % 30}.spam.net" for k in range(120)] + [f"h{k % 30}.fine.net" for k in range(120)] + [f"h{k % 9}.bad{k % 5}.co.uk" for k in range(90)] + ["", "solo"]
+    new = ["new.spam.net", "new.fine.net", "x.unseen.net", "x.bad9.co.uk", "co.uk", "a.b.zz", ""]
+    pages = spark.createDataFrame([(k, f"http://{h}/a") for k, h in enumerate([*labelled, *new])], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int("fine" in h), 0) for k, h in enumerate(labelled)], "doc_id long, quality int, toxic int")
+    duck = duckdb.connect()
+    for name, df in (("pages", pages), ("labels", labels)):
+        df.write.parquet(str(tmp_path / name))
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path / name}/*.parquet'")
+    key = lambda r: r[0]
+    got = sorted(map(tuple, judge_urls(pages, labels).collect()), key=key)
+    assert got == sorted(duck.sql(oracle.url_filters()).fetchall(), key=key)
+    verdict = {r[1]: r[4] for r in got}
+    assert verdict["new.spam.net"] == "block" and verdict["new.fine.net"] == verdict[""] == "allow"
