@@ -29,10 +29,18 @@ def ascii_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), " "), "")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder that the cluster names in spark.checkpoint.dir; sets one only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="groundline-checkpoint-"))
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that the cluster names in spark.checkpoint.dir, or that was set on the context.
+
+    Where there is none, a local master gets a temporary folder; on a cluster
+    executors could not share it, so that is an error.
+    """
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="groundline-checkpoint-"))
+    return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -73,19 +81,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Labels the nodes of an undirected graph with the smallest node they reach.
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type. Returns
     ``node, label``, one row per node that has an edge. Each round lowers every
     label to the least among the neighbours and then follows the label's own
-    label, so the number of rounds grows with the logarithm of the diameter.
+    label, so the number of rounds grows with the logarithm of the diameter; the
+    last round is the first that lowers nothing.
     Rounds are checkpointed, so a lost executor costs one round at most.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels, changed = cut(labels), -1
-    for _ in range(max_rounds):
+    labels = cut(labels)
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
@@ -94,4 +103,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         labels = new.select("node", "label")
         if not changed:
             return labels
-    raise RuntimeError(f"components have not settled in {max_rounds} rounds")

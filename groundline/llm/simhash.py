@@ -1,16 +1,19 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Fingerprints are 64 bits from the XXH64 hashes of a document's word shingles.
-A fingerprint is two 32-bit segments. Two fingerprints at distance 2 or less
-share a point that lies within one bit of both, so each fingerprint enumerates
-the Hamming ball of radius 1 in each segment (the other segment unchanged) and
-is entered in a table under those 65 keys. Fingerprints that meet under a key
-are the table matches; their complete distance is verified before a link counts.
-
-A key has at most 65 different fingerprints however many documents are alike,
-and each of them is linked with the least one there, so neither a bucket nor
-the number of links grows with the square of a group. Equal fingerprints are
-merged before the search: copies cost one entry.
+A fingerprint is two segments of 32 bits, and there is a table for each. Two
+fingerprints at distance 2 or less differ by one bit at most in one of the
+segments; so each fingerprint is entered in a segment's table under its value
+there, and looks that value and its ball up: the values with one bit more. (Of
+two values at one bit, one has the bit more, so half the ball is enough.) What
+meets under a key is a candidate, whose complete distance is verified.
+
+Many different fingerprints may agree in one segment. Keys under which more
+than ``most`` entries meet are counted first, and their fingerprints are linked
+in another exact way: by balls of radius 1 around whole fingerprints. Two that
+are at distance 2 or less share a point there, and no point is shared by more
+than 65, so no group is unbounded. Equal fingerprints are merged before the
+search: copies cost one entry.
 """
 
 from __future__ import annotations
@@ -57,24 +60,47 @@ def fingerprints(documents: DataFrame, width: int = 3, seed: int = 42) -> DataFr
     return docs.mapInArrow(batches, "doc_id long, row long, fp long")
 
 
-def _ball(fp: Column) -> Column:
-    """The fingerprint and its 64 neighbours at one bit: radius 1 in either 32-bit segment."""
-    flips = F.array(*(F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64)))
-    return F.concat(F.array(fp), F.transform(flips, lambda bit: fp.bitwiseXOR(bit)))
+def _entries(unique: DataFrame) -> DataFrame:
+    """``segment, value, own, fp``: each fingerprint under its own value in both tables, and under the values with one bit more."""
+    low = F.lit(0xFFFFFFFF).cast("long")
 
+    def keys(segment: int, value: Column) -> Column:
+        more = F.transform(F.filter(F.array(*(F.lit(1 << k).cast("long") for k in range(32))), lambda bit: value.bitwiseAND(bit) == 0), lambda bit: value.bitwiseOR(bit))
+        point = lambda own: lambda v: F.struct(F.lit(segment).alias("segment"), v.alias("value"), F.lit(own).alias("own"))
+        return F.concat(F.transform(F.array(value), point(True)), F.transform(more, point(False)))
 
-def links(unique: DataFrame, max_distance: int = 2) -> DataFrame:
-    """Links ``a, b`` that join all fingerprints (column ``fp``, distinct) at ``max_distance`` or less.
+    high = F.shiftrightunsigned("fp", 32)
+    both = F.concat(keys(0, high), keys(1, F.col("fp").bitwiseAND(low)))
+    return unique.select("fp", F.explode(both).alias("k")).select("k.segment", "k.value", "k.own", "fp")
 
-    Not all pairs: every fingerprint under a key is linked with the least one
-    there, which leaves the same connected components.
-    """
+
+def _ball_links(unique: DataFrame) -> DataFrame:
+    """Fingerprints that share a point within one bit, each with the least one there."""
+    flips = F.array(*(F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64)))
+    ball = F.concat(F.array(F.col("fp")), F.transform(flips, lambda bit: F.col("fp").bitwiseXOR(bit)))
+    met = unique.select("fp", F.explode(ball).alias("point")).groupBy("point").agg(F.collect_set("fp").alias("met")).filter(F.size("met") > 1)
+    return met.select(F.array_min("met").alias("a"), F.explode("met").alias("b"))
+
+
+def links(unique: DataFrame, max_distance: int = 2, most: int = 256) -> DataFrame:
+    """Links ``a, b`` whose connected components are those of all pairs at ``max_distance`` or less of the fingerprints (column ``fp``, distinct)."""
     if not 0 <= max_distance <= 2:
-        raise ValueError("the radius-1 balls of the segments cover distances up to 2")
-    entries = unique.select("fp", F.explode(_ball(F.col("fp"))).alias("key"))
-    met = entries.groupBy("key").agg(F.collect_set("fp").alias("met")).filter(F.size("met") > 1)
-    found = met.select(F.array_min("met").alias("a"), F.explode("met").alias("b")).filter("a <> b")
-    return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance).distinct()
+        raise ValueError("two segments and radius 1 cover distances up to 2")
+    entries = _entries(unique)
+    crowded = cut(entries.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("segment", "value"))
+    n_crowded = crowded.count()
+    if n_crowded:
+        # Thousands of keys are small enough to broadcast; more are left to Spark.
+        known = F.broadcast(crowded) if n_crowded <= 100_000 else crowded
+        whole = _ball_links(entries.join(known, ["segment", "value"], "left_semi").select("fp").distinct())
+        entries = entries.join(known, ["segment", "value"], "left_anti")
+    tables = entries.groupBy("segment", "value").agg(F.collect_list(F.when(F.col("own"), F.col("fp"))).alias("own"), F.collect_list(F.when(~F.col("own"), F.col("fp"))).alias("near"))
+    each = tables.filter((F.size("own") > 0) & (F.size("own") + F.size("near") > 1)).select(F.explode("own").alias("a"), F.concat("own", "near").alias("others"))
+    found = each.select("a", F.explode("others").alias("b"))
+    if n_crowded:
+        found = found.union(whole)
+    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    return found.filter((F.col("a") != F.col("b")) & (distance <= max_distance)).distinct()
 
 
 def near_duplicates(documents: DataFrame, *, width: int = 3, seed: int = 42, max_distance: int = 2) -> DataFrame:
@@ -82,12 +108,10 @@ def near_duplicates(documents: DataFrame, *, width: int = 3, seed: int = 42, max
 
     component_id is the least doc_id that the row reaches over links, itself
     included; the first row with that id is the one of the group to keep. Null
-    and empty texts have fingerprint zero and are linked like any other;
-    repeated rows stay; null ids come after all others (a group of null ids
+    and empty texts have fingerprint zero and are linked like any other; texts
+    of any length count whole; repeated rows stay; other columns are ignored; null ids come after all others (a group of null ids
     only has a null id); an empty table gives an empty result.
     """
-    if not 0 <= max_distance <= 2:
-        raise ValueError("the radius-1 balls of the segments cover distances up to 2")
     docs = cut(fingerprints(documents, width, seed))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     unique = cut(docs.groupBy("fp").agg(F.min(first).alias("least")))

@@ -38,6 +38,29 @@ def test_links_join_what_all_pairs_join(spark):
             assert same == (roots[i] == roots[j])
 
 
+def test_crowded_segments_lose_no_link(spark):
+    """Many different fingerprints agree in one half: all links are found, whether keys count as crowded or not."""
+    rng = random.Random(11)
+    fps = {(0xABCD1234 << 32) | rng.getrandbits(32) for _ in range(60)} | {(rng.getrandbits(32) << 32) | 77 for _ in range(60)}
+    for _ in range(150):
+        x = rng.choice(sorted(fps))
+        fps.add((x ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(1, 2)))) & (1 << 64) - 1)
+    fps = sorted(fps)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    roots = components(fps)
+    for most in (2, 30, 10_000):
+        label = {r["node"]: r["label"] for r in connected_components(links(df, most=most)).collect()}
+        mine = [label.get(signed(x), signed(x)) for x in fps]
+        assert all((mine[i] == mine[j]) == (roots[i] == roots[j]) for i in range(len(fps)) for j in range(i))
+
+
+def test_far_candidates_are_rejected(spark):
+    """Equal in one segment, far in the other: they meet in a table but are no link."""
+    df = spark.createDataFrame([(5,), (5 | 0xFFFF << 32,), (7,), (0,)], "fp long")
+    assert sorted(tuple(sorted(r)) for r in links(df).distinct().collect()) in ([(0, 5), (5, 7)], [(0, 5), (0, 5), (5, 7), (5, 7)])
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 500)] + [(7, 7)]
     label = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
