@@ -2,22 +2,30 @@
 
 A rolling hash over the text's bytes picks cut points, so a passage that
 recurs in another document falls into the same chunks there. A chunk is
-encoded once per Python worker and remembered (within a bounded memory), and
-so are its words.
+encoded once per Python worker, which lives for many tasks, and remembered
+(within a bounded memory), and so are its words.
 
 Encodings of chunks do not simply concatenate. But the BPE first splits a text
 into words, and at some positions a word begins whatever stands around: at a
-single space or line end between two plain characters, and at a comma or full
-stop after an ASCII letter. No token crosses such a sure position. A chunk
-keeps the tokens between its first and its last one; at each join, the text
-from the last sure position of one chunk to the first of the next is encoded
-anew (further, if a chunk has none), from where on the joined encoding agrees
-exactly with that of the whole text.
+single space or line end between two plain characters, at a comma or full
+stop after an ASCII letter, and on both sides of an East Asian comma or full
+stop beside an East Asian letter. No token crosses such a sure position. A
+chunk keeps the tokens between its first and its last one; at each join, the
+text from the last sure position of one chunk to the first of the next is
+encoded anew (further, if a chunk has none), from where on the joined encoding
+agrees exactly with that of the whole text.
+
+A long run of letters has no sure position inside. Its chunks are encoded and
+joined by their tokens: the characters around a join are encoded anew, more on
+both sides each time, until the new tokens begin and end with the old ones.
+Then all neighbouring tokens are such as the BPE itself leaves side by side,
+which makes the whole sequence the encoding of the whole run.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -33,10 +41,23 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[44, 46]] = True  # comma, full stop
+#: Runs of characters that are letters by any version of Unicode in use. Fixed values.
+_RUN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fcc\uac00-\ud7a3]+")
+#: Context in bytes on either side that decides whether a position is sure.
+_CONTEXT = 3
+
+
+def _east_asian(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a letter, and a comma or full stop, of three bytes begins at each byte but the last two."""
+    a, b, c = x[:-2], x[1:-1], x[2:]
+    letter = ((a >= 0xE5) & (a <= 0xE8)) | (a == 0xEB) | (a == 0xEC) | ((a == 0xE4) & (b >= 0xB8)) | ((a == 0xE9) & (b < 0xBF))
+    letter |= (a == 0xE3) & (((b == 0x81) & (c >= 0x81)) | ((b == 0x83) & (c <= 0xBA)))
+    stop = ((a == 0xE3) & (b == 0x80) & ((c == 0x81) | (c == 0x82))) | ((a == 0xEF) & (b == 0xBC) & (c == 0x8C))
+    return letter, stop
 
 
 def sure_positions(data: bytes) -> list[int]:
-    """Positions where a word starts given just the two bytes before and the one after.
+    """Positions where a word starts given just ``_CONTEXT`` bytes on either side.
 
     Plain characters are printable ASCII and those of two bytes from U+00C0 on:
     none of them is white space by any definition.
@@ -51,7 +72,12 @@ def sure_positions(data: bytes) -> list[int]:
     after = (kind[3:] == 1) | lead[3:]
     at = (kind[2:-1] == 2) & before & after
     at |= _STOP[x[2:-1]] & _LETTER[x[1:-2]]
-    return (np.flatnonzero(at) + 2).tolist()
+    sure = np.flatnonzero(at) + 2
+    if len(x) >= 6 and x.max() >= 0xE3:
+        letter, stop = _east_asian(x)
+        wide = (letter[:-3] & stop[3:]) | (stop[:-3] & letter[3:])
+        sure = np.union1d(sure, np.flatnonzero(wide) + 3)
+    return sure.tolist()
 
 
 def cut_points(data: bytes, mean: int, window: int = 16, low: int = 64) -> list[int]:
@@ -84,10 +110,11 @@ class ChunkEncoder:
     space, then letters, digits or others), which the sure positions follow.
     """
 
-    def __init__(self, tokenizer, mean_chunk: int = 512, word_bytes: int = 160 << 20, chunk_bytes: int = 24 << 20) -> None:
-        self.tokenizer, self.mean, self.word_limit, self.chunk_limit = tokenizer, mean_chunk, word_bytes, chunk_bytes
+    def __init__(self, tokenizer, mean_chunk: int = 512, word_bytes: int = 160 << 20, chunk_bytes: int = 24 << 20, long_run: int = 2048) -> None:
+        self.tokenizer, self.mean, self.word_limit, self.chunk_limit, self.long_run = tokenizer, mean_chunk, word_bytes, chunk_bytes, long_run
         self.words: dict[bytes, bytes] = {}  # word -> ids, as comma-joined decimals
         self.chunks: dict[bytes, bytes] = {}  # chunk -> ids between its first and last sure position
+        self.runs: dict[bytes, list[int]] = {}  # chunk of a run of letters -> its ids
         self.lossy: dict[bytes, bytes] = {}  # words that decode to other bytes than their own
         self.word_used = self.chunk_used = 0
         added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
@@ -98,21 +125,65 @@ class ChunkEncoder:
 
     def _learn(self, words: set[bytes]) -> None:
         """Encodes words not yet remembered, in one batch of the library, and decodes them again."""
-        new = [w for w in words if w not in self.words]
+        new = []
+        for w in words:
+            if w in self.words:
+                continue
+            if len(w) > self.long_run and _RUN.fullmatch(w.decode()):
+                self.words[w] = ids = ",".join(map(str, self._encode_run(w))).encode()
+                self.word_used += len(w) + len(ids) + 190
+            else:
+                new.append(w)
         for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
             self.words[word] = ids = ",".join(map(str, e.ids)).encode()
             if (back := b"".join(map(self.token_bytes.__getitem__, e.ids))) != word:
                 self.lossy[word] = back
             self.word_used += len(word) + len(ids) + 190
 
+    def _encode_run(self, run: bytes) -> list[int]:
+        """Ids of a long run of letters, from those of its chunks."""
+        joined: list[int] = []
+        start = 0
+        for end in cut_points(run, self.mean):
+            chunk = run[start:end]
+            if chunk and chunk not in self.runs:
+                self.runs[chunk] = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+                self.chunk_used += 40 * len(self.runs[chunk]) + len(chunk) + 200
+            if chunk:
+                self._join(joined, self.runs[chunk])
+            start = end
+        return joined
+
+    def _join(self, left: list[int], right: list[int]) -> None:
+        """Appends ``right`` to ``left``, encoding anew around the join until both ends agree."""
+        starts = lambda i: (self.token_bytes[i][0] & 0xC0) != 0x80  # noqa: E731  (the token begins with a character)
+        low, high = len(left), 0
+        while True:
+            was_low, was_high = low, high
+            if low > 0:
+                low -= 1
+                while low > 0 and not starts(left[low]):
+                    low -= 1
+            if high < len(right):
+                high += 1
+                while high < len(right) and not starts(right[high]):
+                    high += 1
+            around = b"".join(map(self.token_bytes.__getitem__, left[low:] + right[:high])).decode()
+            new = self.tokenizer.encode(around, add_special_tokens=False).ids
+            head, tail = left[low:was_low], right[was_high:high]
+            if (low == 0 or new[: len(head)] == head) and (high == len(right) or new[len(new) - len(tail) :] == tail):
+                left[low:] = new
+                left += right[high:]
+                return
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids, comma-joined, and its decoded bytes."""
         # A fresh start bounds the memory; results do not depend on it.
         if self.word_used > self.word_limit:
             self.words, self.lossy, self.word_used = {}, {}, 0
-            self.chunks, self.chunk_used = {}, 0
+            self.chunks, self.runs, self.chunk_used = {}, {}, 0
         if self.chunk_used > self.chunk_limit:
-            self.chunks, self.chunk_used = {}, 0
+            self.chunks, self.runs, self.chunk_used = {}, {}, 0
         plans: list[tuple[bytes, list[bytes | list[bytes]]]] = []
         bodies: dict[bytes, list[bytes]] = {}
         needed: set[bytes] = set()
@@ -120,7 +191,7 @@ class ChunkEncoder:
             data = text.encode()
             bounds, plan, start, open_from = sure_positions(data), [], 0, 0
             for end in cut_points(data, self.mean):
-                low, high = bisect_left(bounds, start + 2), bisect_right(bounds, end - 2)
+                low, high = bisect_left(bounds, start + _CONTEXT), bisect_right(bounds, end - _CONTEXT)
                 if high - low > 1:
                     first, last, chunk = bounds[low], bounds[high - 1], data[start:end]
                     plan += [seam := _slices(data, bounds, open_from, first), chunk]
@@ -157,6 +228,17 @@ def load_byte_bpe(path: str):
     return tokenizer
 
 
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
+
+
+def _encoder(path: str, mean_chunk: int) -> ChunkEncoder:
+    """The encoder of this Python worker, which keeps what it has learned from one task to the next."""
+    if (path, mean_chunk) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, mean_chunk] = ChunkEncoder(load_byte_bpe(path), mean_chunk)
+    return _ENCODERS[path, mean_chunk]
+
+
 def encode_documents(documents: DataFrame, tokenizer_path: str, *, mean_chunk: int = 512, batch_bytes: int = 2 << 20, with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``, an array, on request) of every row.
 
@@ -171,7 +253,7 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, *, mean_chunk: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = ChunkEncoder(load_byte_bpe(tokenizer_path), mean_chunk)
+        encoder = _encoder(tokenizer_path, mean_chunk)
         for batch in it:
             doc_ids, texts = batch.column(0), batch.column(1)
             at = 0

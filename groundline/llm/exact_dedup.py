@@ -1,9 +1,11 @@
 """Exact de-duplication through cuckoo-filter indexes of live digests.
 
-Each text is reduced to its SHA-256. A first pass runs one index per input
-partition and leaves one record per different digest there; the records are
-then dealt out by digest and a second index per shard merges them. So copies,
-however many, cost one record per input partition.
+Each text is reduced to its SHA-256. A first pass runs one index after the
+other over an input partition and leaves one record per different digest of
+each; the records are then dealt out by digest and a second index per shard
+merges them. So copies, however many, cost one record per index, and no index
+has more than a bounded number of digests: ``most`` in the first pass, and
+about as many in the second, where the number of shards follows from the rows.
 
 An index keeps a short tag of each live digest in one of two buckets. A
 lookup that finds the tag verifies against the whole digests stored with that
@@ -116,12 +118,22 @@ class CuckooIndex:
         return (x for x in self.stored if x is not None)
 
 
+def _records(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+    found, step = list(index.entries()), 100_000
+    for at in range(0, len(found), step):
+        part = found[at : at + step]
+        ids = pa.array([v[0][1] if v[0][0] else None for _, v in part], pa.int64())
+        rows = pa.array([v[0][2] for _, v in part], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.binary()), ids, rows, pa.array([v[1] for _, v in part], pa.int64())], names=["digest", "doc_id", "row", "size"])
 
 
-def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One record per live digest of a partition: the greatest row and the sum of sizes."""
+def _merge(it: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """One record per live digest: the greatest row and the sum of sizes. A full index is emptied where ``most`` is given."""
     index = CuckooIndex()
     for batch in it:
+        if most is not None and len(index) >= most:
+            yield from _records(index)
+            index = CuckooIndex()
         digests, sizes = batch.column(0).to_pylist(), batch.column(3).to_pylist()
         for digest, doc_id, row, size in zip(digests, batch.column(1).to_pylist(), batch.column(2).to_pylist(), sizes):
             # A null id is below any other; the row number settles ties.
@@ -132,19 +144,15 @@ def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 index.delete(digest)
                 index.insert(digest, (max(new, live[0]), size + live[1]))
-    found, step = list(index.entries()), 100_000
-    for at in range(0, len(found), step):
-        part = found[at : at + step]
-        ids = pa.array([v[0][1] if v[0][0] else None for _, v in part], pa.int64())
-        rows = pa.array([v[0][2] for _, v in part], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.binary()), ids, rows, pa.array([v[1] for _, v in part], pa.int64())], names=["digest", "doc_id", "row", "size"])
+    yield from _records(index)
 
 
-def digest_groups(digests: DataFrame) -> DataFrame:
+def digest_groups(digests: DataFrame, most: int = 400_000) -> DataFrame:
     """``digest, keep_id, keep_row, group_size`` from rows ``digest, doc_id, row``."""
     schema = "digest binary, doc_id bigint, row bigint, size bigint"
-    local = digests.select("digest", "doc_id", "row", F.lit(1).cast("long").alias("size")).mapInArrow(_merge, schema)
-    shards = local.repartition(F.col("digest")).mapInArrow(_merge, schema)
+    local = digests.select("digest", "doc_id", "row", F.lit(1).cast("long").alias("size")).mapInArrow(lambda it: _merge(it, most), schema)
+    n_shards = max(digests.sparkSession.sparkContext.defaultParallelism, -(-digests.count() // most))
+    shards = local.repartition(n_shards, F.col("digest")).mapInArrow(_merge, schema)
     return shards.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("size").alias("group_size"))
 
 
@@ -153,8 +161,8 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
 
     Null counts as the empty text. Of equal texts the row with the greatest
     doc_id stays (null ids are below all others); of repeated rows with that id
-    just one stays, so each group keeps exactly one row. Empty tables give an
-    empty result; other columns are ignored. ``row`` is the number that ``numbered`` gives.
+    just one stays, so each group keeps exactly one row. Texts of any length are
+    hashed whole. Empty tables give an empty result; other columns are ignored. ``row`` is the number that ``numbered`` gives.
     """
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     rows = cut(numbered(documents.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), "row"))

@@ -9,8 +9,10 @@ frozen after training, so the code length of a whole text is exact and is a
 sum over its bytes. The language with the shortest code wins.
 
 Training takes a bounded sample of labelled rows (``per_cell`` documents in
-each of 64 hash cells per language, each whole); its counts are summed by Spark
-and are small enough to be sent to the workers. Every text is scored whole.
+each of 64 hash cells per language, each whole, for the ``max_langs`` languages
+with the most rows); its counts are summed by Spark, and the ``max_grams`` most
+frequent of each language are small enough to be sent to the workers. Every
+text is scored whole. Code lengths are exact but for the rounding of floats.
 """
 
 from __future__ import annotations
@@ -140,14 +142,22 @@ def _count_grams(order: int):
     return counted
 
 
-def fit(documents: DataFrame, *, order: int = 3, per_cell: int = 4, max_langs: int = 1000) -> PpmModel:
-    """Trains on a bounded sample of the rows with a language: ``64 * per_cell`` documents each."""
-    labelled = documents.filter("lang IS NOT NULL").select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("h")).withColumn("cell", F.pmod("h", F.lit(CELLS)))
+def fit(documents: DataFrame, *, order: int = 3, per_cell: int = 4, max_langs: int = 1000, max_grams: int = 1_000_000) -> PpmModel:
+    """Trains on a bounded sample of the rows with a language: ``64 * per_cell`` documents each.
+
+    Of more than ``max_langs`` languages those with the most rows are learned
+    (ties by name), so the sample's ids fit a broadcast. Of more than
+    ``max_grams`` runs of a language the rarest are left out, as escapes cover
+    them; a run never stays without its end, which is as frequent and shorter.
+    """
+    learned = documents.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
+    labelled = documents.join(F.broadcast(learned), "lang", "left_semi").select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("h")).withColumn("cell", F.pmod("h", F.lit(CELLS)))
     order_in = Window.partitionBy("lang", "cell").orderBy("h", "doc_id")
-    chosen = labelled.withColumn("place", F.row_number().over(order_in)).filter(F.col("place") <= per_cell).select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang")).limit(max_langs * CELLS * per_cell)
+    chosen = labelled.withColumn("place", F.row_number().over(order_in)).filter(F.col("place") <= per_cell).select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang"))
     sample = documents.join(F.broadcast(chosen), (F.col("doc_id") == F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))).select("lang", "text")
     counts = sample.mapInArrow(_count_grams(order), "lang string, width int, gram long, n long").groupBy("lang", "width", "gram").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()
+    most_first = Window.partitionBy("lang").orderBy(F.desc("n"), "width", "gram")
+    found = counts.withColumn("place", F.row_number().over(most_first)).filter(F.col("place") <= max_grams).drop("place").toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
     place = {x: k for k, x in enumerate(langs)}
     codes = np.fromiter((place[x] for x in found.column("lang").to_pylist()), dtype=np.int64, count=found.num_rows)
@@ -160,7 +170,8 @@ def identify(documents: DataFrame, training: DataFrame, *, order: int = 3, per_c
     ``training`` has ``doc_id, lang, text``. A null or empty text, or one
     without a letter, is ``und`` with score 0, as is everything when nothing
     could be learned. Of languages with equal code lengths the first by name
-    wins. Repeated rows stay; other columns are ignored.
+    wins. Texts of any length are scored whole; an empty table gives an empty
+    result; repeated rows stay; other columns are ignored.
     """
     model = fit(training.select("doc_id", "lang", "text"), order=order, per_cell=per_cell)
     shared = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))

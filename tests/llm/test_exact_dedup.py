@@ -4,7 +4,7 @@ from collections import defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from groundline.llm.exact_dedup import CuckooIndex, exact_duplicates
+from groundline.llm.exact_dedup import CuckooIndex, digest_groups, exact_duplicates
 
 
 def test_groups_match_brute_force(odd):
@@ -49,3 +49,12 @@ def test_equal_tags_are_told_apart_and_overflow_grows():
         index.insert(d, k)
     assert [index.get(d) for d in digests] == list(range(8))
     assert index.get(b"\x01\x02" + bytes(14) + (99).to_bytes(16, "big")) is None
+
+
+def test_small_indexes_and_many_shards_give_the_same_groups(spark):
+    rows = [(hashlib.sha256(str(k % 70).encode()).digest(), k, k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "digest binary, doc_id long, row long")
+    want = {d: (max(i for e, i, _ in rows if e == d), sum(e == d for e, *_ in rows)) for d in {r[0] for r in rows}}
+    for most in (3, 400_000):
+        got = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in digest_groups(df, most).collect()}
+        assert got == want

@@ -56,6 +56,45 @@ def test_chunks_are_shared_and_memory_is_bounded(bpe):
     assert [small.encode([passage]) for _ in range(3)] == [encoder.encode([passage])] * 3
 
 
+def scripts(rng):
+    """Texts without spaces or with few: ideographs, kana, Hangul, base64, digits, one letter, punctuation between."""
+    ideographs = [chr(c) for c in range(0x4E00, 0x4E60)] + ["的", "是", "我", "不", "国"]
+    pools = [ideographs, ideographs * 20 + ["，", "。", "、"] * 40, [chr(c) for c in range(0x3041, 0x3097)] + ["。"], [chr(c) for c in range(0xAC00, 0xAC80)], list("abcdefgXYZ0123456789+/="), list("0123456789"), ["a"], list("abcß") + ["é"], ["，", "。", "国", "'", "s", " "], list("{}();=.x1 ")]
+    return ["".join(rng.choices(pool, k=rng.randint(1, 4000))) for pool in pools for _ in range(3)]
+
+
+def test_texts_without_spaces(pieces, bpe):
+    rng = random.Random(9)
+    batch = scripts(rng)
+    batch += [a + b for a, b in zip(batch, reversed(batch))]
+    counter = PieceCounter(pieces)
+    assert counter.splits and counter.cuts
+    assert counter.count(batch) == [len(pieces.encode(t)) for t in batch]
+    assert all(len(w) <= 64 for w in counter.lengths)  # no whole text is remembered
+    assert max(map(len, counter._parts("".join(chr(0x4E00 + k % 999) for k in range(20_000))))) < 1000
+    encoder = ChunkEncoder(bpe, mean_chunk=64, long_run=100)
+    for _ in range(2):
+        for text, (ids, _) in zip(batch, encoder.encode(batch)):
+            assert ids == ",".join(map(str, bpe.encode(text, add_special_tokens=False).ids)).encode()
+
+
+def test_runs_of_letters_share_their_chunks(bpe):
+    rng = random.Random(4)
+    start = "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(3000))
+    encoder = ChunkEncoder(bpe, mean_chunk=64)
+    encoder.encode([start])
+    known = len(encoder.runs)
+    encoder.encode([start + "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(80))])
+    assert known > 20 and len(encoder.runs) - known < 10
+
+
+def test_counter_forgets(pieces):
+    counter = PieceCounter(pieces, memory_bytes=2000)
+    for k in range(5):
+        assert counter.count([f"some words {k} and {k * 7} more " * 20]) == [len(pieces.encode(f"some words {k} and {k * 7} more " * 20))]
+        assert counter.used < 6000
+
+
 def test_cut_points_and_sure_positions_respect_characters():
     data = ("é日\U0001f600 x" * 300).encode()
     ends = cut_points(data, 8)
