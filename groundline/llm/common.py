@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,23 @@ def numbered(documents: DataFrame, name: str = "row") -> DataFrame:
     return cut(documents.select(*(F.col(f"`{c}`") for c in documents.columns if c != name), F.monotonically_increasing_id().alias(name)))
 
 
+def most_frequent(counts: DataFrame, most: int) -> np.ndarray:
+    """The keys of ``counts`` (``key, n``) with the greatest n, ``most`` or fewer, sorted.
+
+    Keys with equal n are all in or all out, so that nothing has to be sorted on the driver.
+    """
+    counts = cut(counts)
+    sizes = sorted(((r["n"], r["keys"]) for r in counts.groupBy("n").agg(F.count("*").alias("keys")).collect()), reverse=True)
+    least, taken = None, 0
+    for n, keys in sizes:
+        if taken + keys > most:
+            break
+        least, taken = n, taken + keys
+    if least is None:
+        return np.zeros(0, dtype=np.int64)
+    return np.sort(counts.filter(F.col("n") >= least).select("key").toArrow().column("key").to_numpy())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

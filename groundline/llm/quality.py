@@ -87,8 +87,8 @@ def quality_scores(documents: DataFrame, labels: DataFrame, *, carry: list[str]
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, score, base_failed, kept`` (one row per input row). Null and
-    empty texts have zero words and so fail the base rule; ties and repeated
-    rows are judged alike; empty tables give empty results; other columns of
+    empty texts have zero words and so fail the base rule; texts of any length
+    are counted whole; ties and repeated rows are judged alike; empty tables give empty results; other columns of
     the inputs are ignored, unless ``carry`` names those to return: they come in
     a struct ``carried`` in place of doc_id, so that their names cannot clash.
     """

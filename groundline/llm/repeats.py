@@ -21,7 +21,10 @@ starts is induced for all other starts:
 
 Names are pairs of 64-bit hashes. Within each task, equal tuples are merged
 before the shuffle, so a passage that a third of all documents share costs one
-tuple per part, not one per document.
+tuple per part, not one per document. A short passage with another surrounding
+in every document is one sample in many different blocks: samples that a first
+look at a part of the documents finds in many blocks are dealt out by block as
+well, and all their blocks go on to step 3.
 """
 
 from __future__ import annotations
@@ -34,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered
+from .common import cut, most_frequent, numbered
 
 _TUPLE = "k long, b long, doc long, row long, start long, size long"
 _NAMES = ["k", "b", "doc", "row", "start", "size"]
 _LOW = np.uint64(0xFFFFFF)
 _U = np.uint64
+#: Marks the size of a run whose sample is known to stand in many blocks.
+_MANY = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -140,7 +145,7 @@ def keep_first(k: np.ndarray, b: np.ndarray, doc: np.ndarray, row: np.ndarray, s
     k, b, doc, row, start, size = (a[order] for a in (k, b, doc, row, start, size))
     new = np.ones(len(k), dtype=bool)
     new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
-    gone_row, begin, end = _merge_intervals(row[~new], start[~new], start[~new] + size[~new] + span - 1)
+    gone_row, begin, end = _merge_intervals(row[~new], start[~new], start[~new] + (size[~new] & (_MANY - 1)) + span - 1)
     spread = _mix(gone_row.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + begin.astype(np.uint64))
     both = [
         np.concatenate([k[new], spread]).view(np.int64),
@@ -179,7 +184,7 @@ def _buffers(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, bytes
         yield begin, at, b"".join(data), np.cumsum([len(x) for x in data])
 
 
-def _run_tuples(span: int, gram: int, buffer_bytes: int, most: int, longest: int = (1 << 24) - 1) -> Callable:
+def _run_tuples(span: int, gram: int, buffer_bytes: int, most: int, longest: int = (1 << 24) - 1, frequent: np.ndarray | None = None) -> Callable:
     def parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         names = _hashers(2 * buffer_bytes)
         for batch in it:
@@ -191,6 +196,9 @@ def _run_tuples(span: int, gram: int, buffer_bytes: int, most: int, longest: int
                 for offset in range(0, max(1, len(x) - span + 1), step):
                     section = x[offset : offset + longest]
                     k, b, start, size = runs(section, np.minimum(ends[ends > offset] - offset, len(section)), names, span, gram)
+                    if frequent is not None and len(frequent):
+                        many = np.isin(k, frequent)
+                        k, size = np.where(many, _mix(k ^ b * _U(0x9E3779B97F4A7C15)), k), size + many * _MANY
                     start = start + offset
                     text = np.searchsorted(ends, start, side="right")
                     yield k, b, docs[begin + text], rows[begin + text], start - (ends - np.diff(ends, prepend=0))[text], size
@@ -233,7 +241,7 @@ def _scan(span: int) -> Callable:
             if len(k):
                 new_k = np.append(k[0] != last_k, k[1:] != k[:-1])
                 new_b = new_k | np.append(b[0] != last_b, b[1:] != b[:-1])
-                out.append((doc[~new_b], row[~new_b], start[~new_b], -(size[~new_b] + span - 1)))
+                out.append((doc[~new_b], row[~new_b], start[~new_b], -((size[~new_b] & (_MANY - 1)) + span - 1)))
                 group = np.cumsum(new_k) - new_k[0]
                 blocks = np.bincount(group, weights=new_b)
                 carried = not new_k[0]
@@ -244,11 +252,13 @@ def _scan(span: int) -> Callable:
                     blocks[0] += 1
                 elif not carried:
                     waiting = None
-                many = new_b & (blocks[group] > 1)
+                known = size >= _MANY
+                many = new_b & ((blocks[group] > 1) | known)
+                size = size & (_MANY - 1)
                 out.append((doc[many], row[many], start[many], size[many]))
                 if group[-1] > 0 or not carried:
                     waiting = None
-                    if blocks[-1] == 1:
+                    if blocks[-1] == 1 and not known[-1]:
                         at = np.flatnonzero(new_b)[-1:]
                         waiting = doc[at], row[at], start[at], size[at]
                 last_k, last_b = k[-1], b[-1]
@@ -288,9 +298,20 @@ def _among(row: Column, rows: DataFrame) -> Column:
     return test
 
 
-def removed_intervals(docs: DataFrame, span: int, gram: int) -> DataFrame:
+def _frequent_samples(docs: DataFrame, span: int, gram: int, one_in: int, times: int, most: int = 50_000) -> np.ndarray:
+    """Samples that stand in ``times`` or more blocks of one document in ``one_in``; at most ``most``, so that they fit the closure.
+
+    The list decides only how tuples are dealt out: any list gives the same result.
+    """
+    part = docs.filter(F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0)
+    counts = part.mapInArrow(_run_tuples(span, gram, 1 << 19, 400_000), _TUPLE).filter("size > 0").groupBy(F.col("k").alias("key")).agg(F.count("*").alias("n")).filter(F.col("n") >= times)
+    return most_frequent(counts, most).view(np.uint64)
+
+
+def removed_intervals(docs: DataFrame, span: int, gram: int, one_in: int = 64, times: int = 64) -> DataFrame:
     """``row, begin, stop`` of bytes to remove (overlapping) from ``doc, row, data``."""
-    tuples = docs.mapInArrow(_run_tuples(span, gram, 1 << 19, 400_000), _TUPLE)
+    frequent = _frequent_samples(docs, span, gram, one_in, times)
+    tuples = docs.mapInArrow(_run_tuples(span, gram, 1 << 19, 400_000, frequent=frequent), _TUPLE)
     first = cut(_sorted_scan(tuples, span))
     runs_left = first.filter("size > 0").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("runs"))
     texts = docs.filter(_among(F.col("row"), first.filter("size > 0").select("row")))
@@ -317,7 +338,7 @@ def _cut_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.as_py()) for t in batch.column(1)], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(documents: DataFrame, *, span: int = 100, gram: int = 40) -> DataFrame:
+def remove_repeats(documents: DataFrame, *, span: int = 100, gram: int = 40, one_in: int = 64, times: int = 64) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row.
 
     Removes each byte covered by a string of ``span`` bytes that also starts
@@ -331,7 +352,7 @@ def remove_repeats(documents: DataFrame, *, span: int = 100, gram: int = 40) ->
     least = F.lit(-(1 << 63)).cast("long")
     rows = numbered(documents.select("doc_id", "text")).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), "row")
     docs = rows.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc"), "row", "data")
-    gone = cut(removed_intervals(docs, span, gram))
+    gone = cut(removed_intervals(docs, span, gram, one_in, times))
     touched = _among(F.col("row"), gone.select("row"))
     spans = gone.groupBy("row").agg(F.collect_list("begin").alias("begins"), F.collect_list("stop").alias("stops"))
     marked = rows.withColumn("touched", touched)

@@ -31,6 +31,9 @@ def test_exponent_matches_brute_force(spark, target, most):
     got = source_weights(spark.createDataFrame(list(tokens.items()), "source string, tokens long"), target_entropy=target, max_epochs=most, budget=None).collect()
     want = slow_exponent(list(tokens.values()), target, most)
     assert all(abs(r["exponent"] - want) < 1e-4 for r in got)
+    table = source_weights(spark.createDataFrame(list(tokens.items()), "source string, tokens long"), target_entropy=target, max_epochs=most, budget=None, max_sources=1).collect()
+    for r, t in zip(sorted(got), sorted(table)):  # more sources than meet in one array
+        assert r["source"] == t["source"] and abs(r["exponent"] - t["exponent"]) < 2e-9 and abs(r["weight"] - t["weight"]) < 2e-9 and abs(r["budget_tokens"] - t["budget_tokens"]) <= 1
     for r, w in zip(sorted(got), weights(list(tokens.values()), got[0]["exponent"])):
         assert abs(r["weight"] - w) < 1e-8
         assert tokens[r["source"]] <= r["budget_tokens"] <= most * tokens[r["source"]] + 1
@@ -66,6 +69,7 @@ def test_budgets_are_spent_in_blocks(spark, corpus):
 def test_given_budget_and_repeatability(corpus):
     runs = [sorted((r["doc_id"], r["n_copies"]) for r in mix(corpus, budget=9000, max_epochs=2.0).collect()) for _ in range(2)]
     assert runs[0] == runs[1]
+    assert sorted((r["doc_id"], r["n_copies"]) for r in mix(corpus, budget=9000, max_epochs=2.0, max_sources=2).collect()) == runs[0]
     size = {r["doc_id"]: r["doc_id"] % 17 + 1 for r in corpus.select("doc_id").collect()}
     spent = sum(size[i] * n for i, n in runs[0])
     assert 8800 <= spent <= 9000

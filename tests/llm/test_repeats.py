@@ -53,6 +53,20 @@ def test_crafted_repeats_match_brute_force(spark, tmp_path):
     df = spark.read.parquet(path)
     assert found(df) == slow(rows, 100)
     assert found(df, span=30, gram=11) == slow(rows, 30)
+    # Samples that count as frequent are dealt out otherwise, with the same result.
+    assert found(df, span=30, gram=11, one_in=1, times=2) == slow(rows, 30)
+    assert found(df, one_in=2, times=3) == slow(rows, 100)
+
+
+def test_a_short_passage_in_many_surroundings(spark, tmp_path):
+    rng = random.Random(3)
+    other = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = "This notice of some fifty bytes stands in every text, always."
+    rows = [(i, other(rng.randint(0, 200)) + passage + other(rng.randint(0, 200))) for i in range(200)]
+    rows += [(200 + i, rows[i][1]) for i in range(0, 40, 3)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    assert found(spark.read.parquet(path), one_in=1, times=20) == slow(rows, 100)
 
 
 def test_empty_table_and_bad_gram(empty):
