@@ -43,15 +43,18 @@ def collapse(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
+def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    """Unicode's composed form. Only texts with characters that can compose leave the JVM."""
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
+
+
 def normalized(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Adds NFC text with collapsed white space. Only rows with characters that can compose leave the JVM."""
-    composes = F.coalesce(F.col(column).rlike(r"[^\x{0}-\x{2FF}]"), F.lit(False))
-    plain = df.filter(~composes).withColumn(out, collapse(F.col(column)))
-    return plain.unionByName(df.filter(composes).withColumn(out, collapse(nfc(F.col(column)))))
+    """Adds NFC text with collapsed white space."""
+    return df.withColumn(out, collapse(nfc(F.col(column))))
 
 
 def words(canonical: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundline.functions.text import SENTENCE_END, collapse, words
+from groundline.functions.text import SENTENCE_END, collapse, quality, words
 
 PAGE_WORDS = 300
 CHUNK_WORDS, BOUNDARY_WORDS = 120, 90
@@ -33,29 +33,51 @@ def offsets(word_array: Column) -> Column:
     return fold["starts"]
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once (inside a lambda Spark evaluates outer expressions anew)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def chunk_cuts(word_array: Column) -> Column:
     """Ends of greedy chunks: CHUNK_WORDS words, or earlier after the last sentence end from the BOUNDARY_WORDS-th word on."""
-    n = F.size(word_array)
 
-    def step(acc: Column, _: Column) -> Column:
-        start = acc["start"]
-        ends = F.filter(F.sequence(F.lit(BOUNDARY_WORDS), F.lit(CHUNK_WORDS)), lambda i: F.get(word_array, start + i - 1).rlike(SENTENCE_END))
-        end = F.when(n - start <= CHUNK_WORDS, n).otherwise(start + F.coalesce(F.array_max(ends), F.lit(CHUNK_WORDS)))
-        return F.when(start >= n, acc).otherwise(F.struct(end.alias("start"), F.concat(acc["cuts"], F.array(end)).alias("cuts")))
+    def folded(page: Column) -> Column:
+        n, start, ends = page["n"], F.struct(F.lit(0).alias("start"), F.array().cast("array<int>").alias("cuts")), page["ends"]
+
+        def step(acc: Column, _: Column) -> Column:
+            late = F.array_max(F.filter(ends, lambda e: (e >= acc["start"] + BOUNDARY_WORDS) & (e <= acc["start"] + CHUNK_WORDS)))
+            end = F.when(n - acc["start"] <= CHUNK_WORDS, n).otherwise(F.coalesce(late, acc["start"] + CHUNK_WORDS))
+            return F.when(acc["start"] >= n, acc).otherwise(_let(end, lambda e: F.struct(e.alias("start"), F.concat(acc["cuts"], F.array(e)).alias("cuts"))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.ceil(n / BOUNDARY_WORDS).cast("int") + 1), start, step)["cuts"]
+
+    # Each word is looked at once per page, not once per window.
+    marked = F.transform(word_array, lambda w, i: F.when(w.rlike(SENTENCE_END), i + 1))
+    return _let(F.struct(F.size(word_array).alias("n"), F.array_compact(marked).alias("ends")), folded)
+
 
-    most = F.sequence(F.lit(1), F.ceil(n / BOUNDARY_WORDS).cast("int") + 1)
-    return F.aggregate(most, F.struct(F.lit(0).alias("start"), F.array().cast("array<int>").alias("cuts")), step)["cuts"]
+def adequate(page_rows: DataFrame) -> DataFrame:
+    """Pages that need no other reading: all others give no chunks."""
+    return page_rows.filter(quality(F.col("page_text"), F.size("page_words")) == "adequate")
+
+
+def cut_pages(page_rows: DataFrame) -> DataFrame:
+    """Adequate pages with ``starts`` (of their words) and ``chunks``: array of (ordinal, start_word, n_words, start_offset, end_offset)."""
+    sized = adequate(page_rows).withColumn("starts", offsets(F.col("page_words"))).withColumn("cuts", chunk_cuts(F.col("page_words")))
+
+    def chunk(end: Column, k: Column) -> Column:
+        begin = F.when(k == 0, F.lit(0)).otherwise(F.get("cuts", k - 1))
+        last = F.get("page_words", end - 1)
+        return F.struct(k.alias("ordinal"), begin.alias("start_word"), (end - begin).alias("n_words"), F.get("starts", begin).alias("start_offset"), (F.get("starts", end - 1) + F.length(last)).alias("end_offset"))
+
+    return sized.withColumn("chunks", F.transform("cuts", chunk)).drop("cuts")
 
 
 def chunks(page_rows: DataFrame) -> DataFrame:
     """``doc_id, source, page_index, ordinal, start_word, n_words, start_offset, end_offset, chunk_text``."""
-    cuts = page_rows.filter(F.size("page_words") > 0).withColumn("cuts", chunk_cuts(F.col("page_words"))).withColumn("starts", offsets(F.col("page_words")))
-    each = cuts.select("doc_id", "source", "page_index", "page_words", "starts", "cuts", F.posexplode("cuts").alias("ordinal", "end_word"))
-    start = F.when(F.col("ordinal") == 0, F.lit(0)).otherwise(F.get("cuts", F.col("ordinal") - 1))
-    each = each.withColumn("start_word", start).withColumn("n_words", F.col("end_word") - F.col("start_word"))
-    text = F.array_join(F.slice("page_words", F.col("start_word") + 1, F.col("n_words")), " ")
-    begin = F.get("starts", F.col("start_word"))
-    return each.select("doc_id", "source", "page_index", "ordinal", "start_word", "n_words", begin.alias("start_offset"), (begin + F.length(text)).alias("end_offset"), text.alias("chunk_text"))
+    # An outer explode: for an inner one, Spark would add a filter that cuts every page once more.
+    each = cut_pages(page_rows).select("doc_id", "source", "page_index", "page_words", F.explode_outer("chunks").alias("c")).filter("c IS NOT NULL")
+    return each.select("doc_id", "source", "page_index", "c.*", F.array_join(F.slice("page_words", F.col("c.start_word") + 1, F.col("c.n_words")), " ").alias("chunk_text"))
 
 
 def budget_spans(word_array: Column, cost, budget: int) -> Column:
@@ -82,11 +104,6 @@ def budget_spans(word_array: Column, cost, budget: int) -> Column:
     return F.aggregate(word_array, start, step, lambda acc: F.when(acc["i"] > acc["open"], F.concat(acc["done"], made(acc["open"], acc["i"], True))).otherwise(acc["done"]))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once (inside a lambda Spark evaluates outer expressions anew)."""
-    return F.transform(F.array(value), body)[0]
-
-
 def line_order(placed: Column, tolerance: float = 3.0) -> Column:
     """Positioned words (top, x0, w) as lines in reading order.
 

@@ -6,10 +6,15 @@ ends in an identity, so results do not depend on the order of additions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundline.functions.text import TOKEN, tokens
+from groundline.functions.text import tokens
+from groundline.sources.checkpoints import cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 NO_RANK = 2**31 - 1
@@ -25,36 +30,65 @@ def bm25(documents: DataFrame, queries: DataFrame, *, query_key: str, eligible:
 
     ``queries`` has ``query_key, term``; a repeated term counts again. Statistics
     are those of all ``documents``; ``eligible`` restricts only what is returned.
+    Every text is tokenised once: what is kept are its length, under an empty
+    term, and its occurrences of the queries' terms, counted.
     """
-    more = ["eligible"] if eligible is not None else []
-    docs = documents.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"), *([eligible.alias("eligible")] if more else []))
-    sizes = documents.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN))).alias("mean"))
-    n, mean = sizes.select(F.col("n").cast("double")).scalar(), sizes.select("mean").scalar()
-    vocabulary = queries.select("term").distinct()
+    docs = documents.select("doc_id", (F.lit(True) if eligible is None else eligible).alias("eligible"), tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    vocabulary = queries.select("term").filter("term <> ''").distinct()
+    vocabulary = vocabulary.union(documents.sparkSession.range(1).select(F.lit("").alias("term")))
     # An outer explode: for an inner one, Spark would add a filter that tokenises every text once more.
-    each = docs.select("doc_id", *more, F.size("t").alias("dl"), "t").select("doc_id", *more, "dl", F.explode_outer("t").alias("term"))
+    each = docs.select("doc_id", "eligible", F.size("t").alias("dl"), F.explode_outer(F.concat(F.array(F.lit("")), F.col("t"))).alias("term"))
     found = each.join(vocabulary, "term", "left_semi")
-    tf = found.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), *(F.first(c).alias(c) for c in more))
+    tf = cut(found.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("eligible").alias("eligible")))
+    sizes = tf.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("mean"))
+    n, mean = sizes.select(F.col("n").cast("double")).scalar(), sizes.select("mean").scalar()
+    tf = tf.filter("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)).alias("idf"))
-    if eligible is not None:
-        tf = tf.filter("eligible")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    return tf.join(idf, "term").join(queries, "term").groupBy(query_key, "doc_id").agg(F.round(-F.sum(part), 9).alias("score"))
+    return tf.filter("eligible").join(idf, "term").join(queries, "term").groupBy(query_key, "doc_id").agg(F.round(-F.sum(part), 9).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, vec_id, score`` of every vector for every vector of a stated query set.
+def _blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """Vectors packed into rows ``ids, data``: up to ``size`` ids, and their numbers as bytes."""
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                data = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["ids", "data"])
+
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(packed, "ids array<bigint>, data binary")
+
+
+def cosine_best(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 4096) -> DataFrame:
+    """``query_id, vec_id, score, rank``: the ``k`` best vectors for every vector of a stated query set.
 
-    Every query meets every vector; Spark does so in blocks (partition by
-    partition) unless one side is small enough to broadcast.
+    All have ``vec_id, embedding`` of one dimension; vectors have unit length,
+    queries any but zero. Blocks of queries meet blocks of vectors; each pair of
+    blocks is one matrix product, of which the k best rows per query go on (and
+    rows as good as the last of them). Equal scores go by vec_id.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    return vectors.crossJoin(q).select("query_id", *vectors.columns, F.round(dot(F.col("embedding"), F.col("q")) / F.col("norm"), 9).alias("score"))
+    q = _blocks(queries, block).select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    pairs = _blocks(vectors, block).crossJoin(q)
+
+    def best(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for ids, data, q_ids, q_data in zip(*(batch.column(i) for i in range(4))):
+                v_ids, c_ids = ids.values.to_numpy(), q_ids.values.to_numpy()
+                v, c = (np.frombuffer(x.as_py(), dtype=np.float64).reshape(n, -1) for x, n in ((data, len(v_ids)), (q_data, len(c_ids))))
+                score = np.round(c @ v.T / np.linalg.norm(c, axis=1)[:, None], 9) + 0.0
+                least = np.partition(score, -k, axis=1)[:, -k] if k < len(v_ids) else np.full(len(c_ids), -np.inf)
+                row, column = np.nonzero(score >= least[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(c_ids[row]), pa.array(v_ids[column]), pa.array(score[row, column])], names=["query_id", "vec_id", "score"])
+
+    scored = pairs.mapInArrow(best, "query_id bigint, vec_id bigint, score double")
+    return top_k(scored, "query_id", [F.desc("score"), F.col("vec_id")], k)
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, keys: list[str], *, offset: int = 40) -> DataFrame:
@@ -93,7 +127,7 @@ def pareto_layers(ranked: DataFrame, key: str) -> DataFrame:
     return folded.select(key, F.col("x.doc_id").alias("doc_id"), F.col("x.layer").alias("layer"))
 
 
-def ranking_metrics(ranked: DataFrame, relevant: DataFrame, key: str, k: int) -> DataFrame:
+def ranking_metrics(ranked: DataFrame, relevant: DataFrame, key: str, k: int, places: int = 6) -> DataFrame:
     """Recall, reciprocal rank and nDCG at ``k`` per key with binary relevance; null where nothing is relevant."""
     hits = ranked.filter(F.col("rank") <= k).join(relevant, [key, "doc_id"]).groupBy(key).agg(F.count("*").alias("hits"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"))
     wanted = relevant.groupBy(key).agg(F.count("*").alias("n"))
@@ -101,4 +135,48 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, key: str, k: int) ->
     all_keys = ranked.select(key).union(relevant.select(key)).distinct()
     joined = all_keys.join(wanted, key, "left").join(hits, key, "left")
     some = F.col("n").isNotNull()
-    return joined.select(key, F.when(some, F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6)).alias("recall"), F.when(some, F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6)).alias("reciprocal_rank"), F.when(some, F.round(F.coalesce("gain", F.lit(0.0)) / ideal, 6)).alias("ndcg"))
+    return joined.select(key, F.when(some, F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), places)).alias("recall"), F.when(some, F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), places)).alias("reciprocal_rank"), F.when(some, F.round(F.coalesce("gain", F.lit(0.0)) / ideal, places)).alias("ndcg"))
+
+
+def exact_percentiles(rows: DataFrame, key: str, value: str, parts: list[float], *, most: int = 100_000, knots: int = 256) -> DataFrame:
+    """``key, part, percentile`` with linear interpolation between neighbours, as the exact percentile gives it.
+
+    No task ever holds all values of a key. While more than ``most`` values could
+    have the wanted rank, approximate percentiles (a sketch of fixed size) cut
+    their range in zones, which are counted exactly; the zone that holds the rank
+    is the next range. The last few are sorted.
+    """
+    values = rows.select(F.col(key).alias("key"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    whole = values.groupBy("key").agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+    at = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), (F.lit(p) * (F.col("m") - 1)).alias("at")) for p in parts))).alias("x")
+    wanted = cut(whole.select("key", "m", "low", "high", at).select("key", "m", "low", "high", "x.*", F.explode(F.array_distinct(F.array(F.floor("x.at"), F.ceil("x.at")))).alias("rank")))
+    # ``rest`` is the rank within the range from ``low`` to ``high``, which holds ``m`` values.
+    ranges = cut(wanted.select("key", "rank", "m", "low", "high", F.col("rank").alias("rest")).distinct())
+    wide = (F.col("m") > most) & (F.col("low") < F.col("high"))
+    while ranges.filter(wide).limit(1).count():
+        inside = values.join(ranges.filter(wide), "key").filter("v >= low AND v <= high")
+        sketch = inside.groupBy("key", "rank", "rest", "m").agg(F.percentile_approx("v", [k / knots for k in range(knots + 1)], 100 * knots).alias("k"))
+        near = F.col("rest") / (F.col("m") - 1) * knots
+        ends = sketch.select("key", "rank", F.get("k", F.greatest(F.lit(0), F.floor(near).cast("int") - 1)).alias("a"), F.get("k", F.least(F.lit(knots), F.ceil(near).cast("int") + 1)).alias("b"))
+        zone = F.when(F.col("v") < F.col("a"), 0).when(F.col("v") == F.col("a"), 1).when(F.col("v") < F.col("b"), 2).when(F.col("v") == F.col("b"), 3).otherwise(4)
+        zones = inside.join(F.broadcast(ends), ["key", "rank"]).groupBy("key", "rank", "rest", zone.alias("zone")).agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = F.sum("m").over(Window.partitionBy("key", "rank").orderBy("zone")) - F.col("m")
+        narrowed = zones.withColumn("before", before).filter("rest >= before AND rest < before + m")
+        ranges = cut(ranges.filter(~wide).union(narrowed.select("key", "rank", "m", "low", "high", (F.col("rest") - F.col("before")).alias("rest"))))
+    few = values.join(ranges.filter("low < high"), "key").filter("v >= low AND v <= high").groupBy("key", "rank", "rest").agg(F.sort_array(F.collect_list("v")).alias("sorted"))
+    found = ranges.filter("low >= high").select("key", "rank", F.col("low").alias("x")).union(few.select("key", "rank", F.get("sorted", F.col("rest").cast("int"))))
+    ends = wanted.join(found, ["key", "rank"]).groupBy("key", "part", "at").agg(F.min_by("x", "rank").alias("a"), F.max_by("x", "rank").alias("b"))
+    return ends.select(F.col("key").alias(key), "part", (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("percentile"))
+
+
+def numbered_by(rows: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: 0, 1, ... in the order of ``order`` within each key, however many rows a key has.
+
+    Rows are dealt out in ranges and sorted within them; only the number of
+    rows of each key in each range meets in one place.
+    """
+    place = rows.repartitionByRange(F.col(key), F.col(order)).sortWithinPartitions(key, order)
+    place = cut(place.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = place.groupBy(key, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    offsets = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).drop("_n")
+    return place.join(offsets, [key, "_part"]).withColumn(out, F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")

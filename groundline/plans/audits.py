@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundline.operators.ingest import chunks, offsets, pages
+from groundline.operators.ingest import chunk_cuts, cut_pages, pages
+from groundline.operators.ranking import exact_percentiles
 from groundline.plans.ingest import CHUNKS_SQL
+from groundline.plans.ranking import LEXICAL_SQL, lexical
 from groundline.plans.registry import query
+from groundline.sources.checkpoints import cut
 from groundline.sources.tables import table
 
 #: Anchors: every word of a page, where it stands in the page.
@@ -19,50 +22,66 @@ anchors AS (
 """
 
 
-def _anchors(page_rows: DataFrame) -> DataFrame:
-    each = page_rows.withColumn("starts", offsets(F.col("page_words"))).select("doc_id", "page_index", "starts", F.posexplode("page_words").alias("word_index", "word"))
-    begin = F.get("starts", F.col("word_index"))
-    return each.select("doc_id", "page_index", "word_index", "word", begin.alias("a_start"), (begin + F.length("word")).alias("a_end"))
+def _with_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the anchors of their page, which come from the same row: nothing is shuffled."""
+    cut_ = cut_pages(pages(table(spark, sf_dir, "documents")))
+    anchors = F.transform("page_words", lambda w, i: F.struct(i.alias("word_index"), F.get("starts", i).alias("a_start"), (F.get("starts", i) + F.length(w)).alias("a_end"), w.endswith(".").alias("ends")))
+    return cut_.withColumn("anchors", anchors).select("doc_id", "page_index", "anchors", F.explode_outer("chunks").alias("c")).filter("c IS NOT NULL")
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    page_rows = pages(table(spark, sf_dir, "documents"))
-    return chunks(page_rows), _anchors(page_rows)
+def _overlapping(a: Column) -> Column:
+    return (a["a_start"] < F.col("c.end_offset")) & (a["a_end"] > F.col("c.start_offset"))
 
 
 @query(CHUNKS_SQL + ANCHORS_SQL + "SELECT c.doc_id, c.page_index::INT AS page_index, c.ordinal::INT AS ordinal, count(*) AS n_anchors, min(a.word_index)::INT AS first_word, max(a.word_index)::INT AS last_word FROM chunks_ c JOIN anchors a ON a.doc_id = c.doc_id AND a.page_index = c.page_index AND a.a_start < c.start_offset + length(c.chunk_text) AND a.a_start + length(a.word) > c.start_offset GROUP BY ALL")
 def anchors_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors that overlap each chunk: equal page, then a range condition within the page."""
-    c, a = _parts(spark, sf_dir)
-    met = c.join(a, ["doc_id", "page_index"]).filter("a_start < end_offset AND a_end > start_offset")
-    return met.groupBy("doc_id", "page_index", "ordinal").agg(F.count("*").alias("n_anchors"), F.min("word_index").alias("first_word"), F.max("word_index").alias("last_word"))
+    """Anchors that overlap each chunk: a range condition among the anchors of its page."""
+    met = _with_anchors(spark, sf_dir).withColumn("met", F.filter("anchors", _overlapping)).filter(F.size("met") > 0)
+    place = F.transform("met", lambda a: a["word_index"])
+    return met.select("doc_id", "page_index", "c.ordinal", F.size("met").cast("long").alias("n_anchors"), F.array_min(place).alias("first_word"), F.array_max(place).alias("last_word"))
 
 
 @query(CHUNKS_SQL + ANCHORS_SQL + "SELECT c.doc_id, c.page_index::INT AS page_index, c.ordinal::INT AS ordinal, count(*) AS n_anchors FROM chunks_ c JOIN anchors a ON a.doc_id = c.doc_id AND a.page_index = c.page_index AND a.a_start >= c.start_offset AND a.a_start + length(a.word) <= c.start_offset + length(c.chunk_text) GROUP BY ALL")
 def anchors_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors that lie wholly within each chunk."""
-    c, a = _parts(spark, sf_dir)
-    met = c.join(a, ["doc_id", "page_index"]).filter("a_start >= start_offset AND a_end <= end_offset")
-    return met.groupBy("doc_id", "page_index", "ordinal").agg(F.count("*").alias("n_anchors"))
+    inside = F.filter("anchors", lambda a: (a["a_start"] >= F.col("c.start_offset")) & (a["a_end"] <= F.col("c.end_offset")))
+    return _with_anchors(spark, sf_dir).select("doc_id", "page_index", "c.ordinal", F.size(inside).cast("long").alias("n_anchors")).filter("n_anchors > 0")
 
 
 @query(CHUNKS_SQL + ANCHORS_SQL + ", far AS (SELECT * FROM anchors WHERE word LIKE '%.') SELECT doc_id, page_index::INT AS page_index, ordinal::INT AS ordinal FROM chunks_ c WHERE NOT EXISTS (SELECT 1 FROM far a WHERE a.doc_id = c.doc_id AND a.page_index = c.page_index AND a.a_start < c.start_offset + length(c.chunk_text) AND a.a_start + length(a.word) > c.start_offset)")
 def chunks_without_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks in which no sentence ends: no such anchor overlaps them (anti join on a range)."""
-    c, a = _parts(spark, sf_dir)
-    far = a.filter(F.col("word").endswith(".")).select(F.col("doc_id").alias("d"), F.col("page_index").alias("p"), "a_start", "a_end")
-    return c.join(far, (c["doc_id"] == far["d"]) & (c["page_index"] == far["p"]) & (far["a_start"] < c["end_offset"]) & (far["a_end"] > c["start_offset"]), "left_anti").select("doc_id", "page_index", "ordinal")
+    """Chunks in which no sentence ends: no such anchor overlaps them."""
+    some = F.exists("anchors", lambda a: a["ends"] & _overlapping(a))
+    return _with_anchors(spark, sf_dir).select("doc_id", "page_index", "c.ordinal", some.alias("some")).filter("NOT some").drop("some")
+
+
+@query(
+    CHUNKS_SQL
+    + ANCHORS_SQL
+    + """, first_ AS (SELECT doc_id, page_index, min(a_start) AS begins, max(a_start + length(word)) AS ends FROM anchors WHERE word LIKE '%.' GROUP BY ALL),
+    n AS (SELECT c.doc_id, c.page_index, c.ordinal, count(a.word) AS n FROM chunks_ c LEFT JOIN anchors a ON a.doc_id = c.doc_id AND a.page_index = c.page_index AND a.a_start BETWEEN c.start_offset AND c.start_offset + length(c.chunk_text) - 1 GROUP BY ALL)
+    SELECT count(*) AS n_chunks, count(*) FILTER (n <> n_words) AS n_different, count(*) FILTER (f.begins IS NULL) AS n_without_end FROM chunks_ c JOIN n USING (doc_id, page_index, ordinal) LEFT JOIN first_ f USING (doc_id, page_index)"""
+)
+def anchor_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors mapped to chunks by a second way, words exploded and counted by the chunk in which they start, against the chunks' own counts."""
+    cut_ = cut_pages(pages(table(spark, sf_dir, "documents")))
+    each = cut_.select("doc_id", "page_index", "chunks", F.explode_outer(F.arrays_zip("starts", "page_words")).alias("a")).filter("a IS NOT NULL")
+    home = F.filter("chunks", lambda c: (F.col("a.starts") >= c["start_offset"]) & (F.col("a.starts") < c["end_offset"]))[0]
+    per_chunk = each.select("doc_id", "page_index", home.alias("c"), F.col("a.page_words").endswith(".").alias("ends")).groupBy("doc_id", "page_index", "c").agg(F.count("*").alias("n"), F.bool_or("ends").alias("ends"))
+    per_page = per_chunk.groupBy("doc_id", "page_index").agg(F.count("*").alias("n"), F.count_if(F.col("n") != F.col("c.n_words")).alias("d"), F.bool_or("ends").alias("ends"))
+    return per_page.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("d"), F.lit(0)).alias("n_different"), F.coalesce(F.sum(F.when(~F.col("ends"), F.col("n")).otherwise(0)), F.lit(0)).alias("n_without_end"))
 
 
 @query(CHUNKS_SQL + ", bad AS (SELECT c.doc_id, c.page_index, c.ordinal FROM chunks_ c JOIN pages_ p ON p.doc_id = c.doc_id AND p.page_index = c.page_index WHERE c.chunk_text <> substring(array_to_string(p.page_words, ' '), c.start_offset + 1, length(c.chunk_text))) SELECT (SELECT count(*) FROM chunks_) AS n_chunks, (SELECT count(*) FROM bad) AS n_different, (SELECT count(*) FROM (SELECT doc_id, page_index, sum(n_words) AS s FROM chunks_ GROUP BY ALL) x JOIN pages_ p USING (doc_id, page_index) WHERE s <> len(page_words)) AS n_not_tiled")
 def chunk_text_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks whose text is not their slice of the page, and pages whose chunks do not tile them: both must be none."""
-    page_rows = pages(table(spark, sf_dir, "documents")).filter(F.size("page_words") > 0)
-    c = chunks(page_rows)
-    joined = c.join(page_rows.select("doc_id", "page_index", "page_text", F.size("page_words").alias("n_page")), ["doc_id", "page_index"])
-    differs = F.col("chunk_text") != F.substring(F.col("page_text"), F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
-    per_page = joined.groupBy("doc_id", "page_index").agg(F.count("*").alias("n"), F.count_if(differs).alias("d"), (F.sum("n_words") != F.first("n_page")).alias("untiled"))
-    return per_page.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("d"), F.lit(0)).alias("n_different"), F.count_if("untiled").alias("n_not_tiled"))
+    cut_ = cut_pages(pages(table(spark, sf_dir, "documents")))
+    slice_ = lambda c: F.substring(F.col("page_text"), c["start_offset"] + 1, c["end_offset"] - c["start_offset"])
+    words = lambda c: F.array_join(F.slice("page_words", c["start_word"] + 1, c["n_words"]), " ")
+    different = F.size(F.filter("chunks", lambda c: slice_(c) != words(c)))
+    tiled = F.aggregate("chunks", F.lit(0), lambda acc, c: acc + c["n_words"]) == F.size("page_words")
+    counts = cut_.select(F.size("chunks").alias("n"), different.alias("d"), tiled.alias("tiled"))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("d"), F.lit(0)).alias("n_different"), F.count_if(~F.col("tiled")).alias("n_not_tiled"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -94,11 +113,16 @@ def has_chunks_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_audit_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outer-join audit with null-safe comparison: broken rows show up instead of vanishing."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), "lang", F.sha2("text", 256).alias("h"))
-    first = docs.groupBy("h").agg(F.min_by("lang", "d").alias("first_lang"))
+    # Of the copies of a text, only those whose language is not the first one's go on; the group's rows are never joined.
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l"))
-    both = docs.join(first, "h", "left").join(labels, F.col("d") == F.col("l"), "full_outer")
-    fault = F.when(F.col("d").isNull(), "label without document").when(F.col("l").isNull(), "document without label").when(~F.col("lang").eqNullSafe(F.col("first_lang")), "language differs from earlier copy")
-    return both.select(F.coalesce("d", "l").alias("doc_id"), fault.alias("fault")).filter("fault IS NOT NULL")
+    unlabelled = docs.select("d").join(labels, F.col("d") == F.col("l"), "full_outer").filter("d IS NULL OR l IS NULL")
+    ends = unlabelled.select(F.coalesce("d", "l").alias("doc_id"), F.when(F.col("d").isNull(), "label without document").otherwise("document without label").alias("fault"))
+    langs = docs.groupBy("h", "lang").agg(F.min("d").alias("first"))
+    mixed = langs.groupBy("h").agg(F.min_by("lang", "first").alias("first_lang"), F.count("*").alias("n")).filter("n > 1 OR h IS NULL")
+    known = labels.select(F.col("l").alias("d")).distinct()
+    changed = docs.filter("h IS NOT NULL").join(mixed, "h").filter(~F.col("lang").eqNullSafe(F.col("first_lang"))).select("d").join(known, "d", "left_semi")
+    wordless = docs.filter("h IS NULL AND lang IS NOT NULL").select("d").join(known, "d", "left_semi")
+    return ends.union(changed.union(wordless).select("d", F.lit("language differs from earlier copy")))
 
 
 @query(
@@ -113,11 +137,10 @@ def source_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     It is a sum of digests: no order is needed, and a large source is combined within tasks first.
     """
     docs = table(spark, sf_dir, "documents")
-    page_rows = pages(docs)
-    n_chunks = chunks(page_rows).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    # Pages come from one row each, so both counts are sums over one pass; one row of a document is left per task.
     gap = (F.size("page_words") < 3) | (F.length("page_text") < 24)
-    n_gaps = page_rows.groupBy("doc_id").agg(F.count_if(gap).alias("n_needs_ocr"))
-    s = docs.select("source", "doc_id").join(n_chunks, "doc_id", "left").join(n_gaps, "doc_id", "left").select("source", "doc_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("n_needs_ocr", F.lit(0)).alias("n_needs_ocr"))
+    counted = pages(docs).select("source", "doc_id", gap.cast("long").alias("gap"), F.when(gap, 0).otherwise(F.size(chunk_cuts(F.col("page_words")))).alias("cut"))
+    s = counted.groupBy("source", "doc_id").agg(F.sum("cut").alias("n_chunks"), F.sum("gap").alias("n_needs_ocr"))
     digest = F.conv(F.substring(F.sha2(F.concat_ws(":", "doc_id", "n_chunks", "n_needs_ocr"), 256), 1, 12), 16, 10).cast("decimal(20,0)")
     return s.groupBy("source").agg(F.sum(digest).cast("string").alias("snapshot"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_needs_ocr").alias("n_needs_ocr"))
 
@@ -159,9 +182,12 @@ def having_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS worst, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles with linear interpolation, per event type."""
+    """Exact percentiles with linear interpolation, per event type, without holding a type's values."""
+    events = table(spark, sf_dir, "events").select("event_type", "value")
     v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.95), 6).alias("p95"), F.round(F.max(v), 6).alias("worst"), F.round(F.avg(v), 6).alias("mean"))
+    counts = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.max(v), 6).alias("worst"), F.round(F.avg(v), 6).alias("mean"))
+    at = lambda p, name: F.round(F.max(F.when(F.col("part") == p, F.col("percentile"))), 6).alias(name)
+    return counts.join(exact_percentiles(events, "event_type", "value", [0.5, 0.95]).groupBy("event_type").agg(at(0.5, "p50"), at(0.95, "p95")), "event_type", "left")
 
 
 @query(
@@ -201,9 +227,65 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(price), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
-@query("SELECT user_id, event_id, n AS rank_in_user, n <> expected AS broken FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS n, dense_rank() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS expected FROM events)")
+@query(
+    "WITH "
+    + LEXICAL_SQL
+    + """, seq AS (SELECT 'whole' AS sequence, item_id, rank FROM lexical UNION ALL SELECT 'one source', item_id, rank FROM lexical JOIN documents d USING (doc_id) WHERE d.source = 'src3' UNION ALL SELECT 'twice', item_id, rank FROM lexical WHERE rank <= 5 UNION ALL SELECT 'twice', item_id, rank FROM lexical WHERE rank <= 3)
+    SELECT sequence, item_id, count(*) AS n, count(*) FILTER (rank <> n) AS n_displaced, count(*) FILTER (rank = before) AS n_repeated, count(*) FILTER (rank <> n) = 0 AS contiguous, count(*) FILTER (rank = before) = 0 AS increasing
+    FROM (SELECT *, row_number() OVER w AS n, lag(rank) OVER w AS before FROM seq WINDOW w AS (PARTITION BY sequence, item_id ORDER BY rank)) GROUP BY ALL"""
+)
 def rank_sequence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks within each user; a rank that is not the next number would be broken."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ranked = table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).alias("rank_in_user"), F.dense_rank().over(w).alias("expected"))
-    return ranked.withColumn("broken", F.col("rank_in_user") != F.col("expected")).drop("expected")
+    """Whether rank sequences run 1 to n and rise: the lexical one, what a filter leaves of it, and one with repeats."""
+    ranked = cut(lexical(spark, sf_dir).select("item_id", "doc_id", "rank"))
+    one = ranked.join(table(spark, sf_dir, "documents").filter("source = 'src3'").select("doc_id"), "doc_id", "left_semi")
+    parts = {"whole": ranked, "one source": one, "twice": ranked.filter("rank <= 5").union(ranked.filter("rank <= 3"))}
+    rows = None
+    for name, part in parts.items():
+        each = part.select(F.lit(name).alias("sequence"), "item_id", "rank")
+        rows = each if rows is None else rows.union(each)
+    w = Window.partitionBy("sequence", "item_id").orderBy("rank")
+    placed = rows.withColumn("n", F.row_number().over(w)).withColumn("before", F.lag("rank").over(w))
+    counts = placed.groupBy("sequence", "item_id").agg(F.count("*").alias("n"), F.count_if(F.col("rank") != F.col("n")).alias("n_displaced"), F.count_if(F.col("rank") == F.col("before")).alias("n_repeated"))
+    return counts.withColumn("contiguous", F.col("n_displaced") == 0).withColumn("increasing", F.col("n_repeated") == 0)
+
+
+@query(
+    """SELECT r.r_name AS customer_region, rs.r_name AS supplier_region, count(*) AS n_lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n ON n.n_nationkey = c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
+    JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ns ON ns.n_nationkey = s_nationkey JOIN region rs ON rs.r_regionkey = ns.n_regionkey WHERE p_size <= 25 GROUP BY ALL"""
+)
+def lineage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner joins of a line with its whole lineage over nine tables; the small ones are left to Spark to broadcast."""
+    get = lambda name: table(spark, sf_dir, name)
+    nations = get("nation").join(get("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    buyers = get("customer").join(nations.select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("customer_region")), "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "customer_region")
+    sellers = get("supplier").join(nations.select(F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("supplier_region")), "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "supplier_region")
+    orders = get("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(buyers, "o_custkey")
+    parts = get("part").filter("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
+    lines = get("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"))
+    joined = lines.join(parts, "l_partkey").join(sellers, "l_suppkey").join(orders, "l_orderkey")
+    return joined.groupBy("customer_region", "supplier_region").agg(F.count("*").alias("n_lines"), F.round(F.sum("price"), 2).alias("revenue"))
+
+
+@query(
+    """SELECT fault, count(*) AS n FROM (SELECT CASE WHEN o_orderkey IS NULL THEN 'no order' WHEN c_custkey IS NULL THEN 'no customer' WHEN p_partkey IS NULL THEN 'no part' WHEN s_suppkey IS NULL THEN 'no supplier' WHEN n.n_nationkey IS NULL OR ns.n_nationkey IS NULL THEN 'no nation' WHEN r.r_name IS NULL OR rs.r_name IS NULL THEN 'no region'
+      WHEN r.r_name IS DISTINCT FROM rs.r_name THEN 'regions differ' END AS fault
+    FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P' LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'BUILDING' LEFT JOIN nation n ON n.n_nationkey = c_nationkey LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
+    LEFT JOIN part ON p_partkey = l_partkey AND p_size <= 45 LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ns ON ns.n_nationkey = s_nationkey LEFT JOIN region rs ON rs.r_regionkey = ns.n_regionkey) WHERE fault IS NOT NULL GROUP BY fault"""
+)
+def lineage_chain_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lineage by outer joins: a broken link shows up as the first fault of its line instead of vanishing."""
+    get = lambda name: table(spark, sf_dir, name)
+    nations = get("nation").join(get("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "r_name")
+
+    def placed(rows: DataFrame, key: str, prefix: str) -> DataFrame:
+        return rows.join(nations.select(F.col("n_nationkey").alias(key), F.col("r_name").alias(f"{prefix}_region"), F.lit(True).alias(f"{prefix}_nation")), key, "left").drop(key)
+
+    buyers = placed(get("customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", F.lit(True).alias("customer")), "c_nationkey", "c")
+    sellers = placed(get("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", F.lit(True).alias("supplier")), "s_nationkey", "s")
+    orders = get("orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.lit(True).alias("ordered")).join(buyers, "o_custkey", "left")
+    parts = get("part").filter("p_size <= 45").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("part"))
+    lines = get("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(parts, "l_partkey", "left").join(sellers, "l_suppkey", "left").join(orders, "l_orderkey", "left")
+    none = lambda *names: F.expr(" OR ".join(f"{n} IS NULL" for n in names))
+    fault = F.when(none("ordered"), "no order").when(none("customer"), "no customer").when(none("part"), "no part").when(none("supplier"), "no supplier")
+    fault = fault.when(none("c_nation", "s_nation"), "no nation").when(none("c_region", "s_region"), "no region").when(~F.col("c_region").eqNullSafe(F.col("s_region")), "regions differ")
+    return lines.select(fault.alias("fault")).filter("fault IS NOT NULL").groupBy("fault").agg(F.count("*").alias("n"))

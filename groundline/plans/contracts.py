@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundline.operators.ingest import line_order
-from groundline.plans.evidence import PACK_SQL, _packed
+from groundline.operators.ingest import chunks, line_order, pages
+from groundline.operators.ranking import exact_percentiles
+from groundline.plans.evidence import EVIDENCE_SQL, PACK_SQL, _evidence, _packed
 from groundline.plans.ranking import FUSED_SQL, LEXICAL_SQL, SEMANTIC_SQL, fused, lexical, semantic
 from groundline.plans.registry import query
+from groundline.sources.checkpoints import cut
 from groundline.sources.tables import table
 
 
@@ -61,12 +63,13 @@ def running_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.groupBy("user_id").agg(F.count_if(F.col("before").isNull() | (F.col("value") > F.col("before"))).alias("n_peaks"), F.round(F.max("value"), 6).alias("peak"))
 
 
-@query("SELECT label, count(*) AS n_rows, min(len(embedding)) AS dimension, max(len(embedding)) = min(len(embedding)) AS uniform, sum(round(embedding[1]::DOUBLE * 1e6)::BIGINT * (vec_id % 1000 + 1))::BIGINT AS checksum FROM embeddings GROUP BY label")
+@query("SELECT label, count(*) AS n_rows, min(len(embedding)) AS dimension, max(len(embedding)) = min(len(embedding)) AS uniform, sum(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: round(embedding[i]::DOUBLE * 1e6)::BIGINT * i)) * (vec_id % 1000 + 1))::BIGINT AS checksum FROM embeddings GROUP BY label")
 def vector_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest row per label: rows, dimension and a checksum that any order of rows gives."""
+    """A manifest row per label: rows, dimension and a checksum over all components that any order of rows gives."""
     v = table(spark, sf_dir, "embeddings")
     size = F.size("embedding").cast("long")
-    part = F.round(F.get("embedding", F.lit(0)).cast("double") * 1e6).cast("long") * (F.col("vec_id") % 1000 + 1)
+    weighed = F.transform("embedding", lambda x, i: F.round(x.cast("double") * 1e6).cast("long") * (i + 1))
+    part = F.aggregate(weighed, F.lit(0).cast("long"), lambda acc, x: acc + x) * (F.col("vec_id") % 1000 + 1)
     return v.groupBy("label").agg(F.count("*").alias("n_rows"), F.min(size).alias("dimension"), (F.max(size) == F.min(size)).alias("uniform"), F.sum(part).alias("checksum"))
 
 
@@ -87,20 +90,23 @@ def candidate_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH "
-    + LEXICAL_SQL
-    + """, r AS (SELECT item_id, doc_id, 0 AS l_start, least(length(text), 80) AS l_end, 0 AS s_start, CASE WHEN doc_id % 3 = 0 THEN least(length(text), 80) ELSE least(length(text), 120) END AS s_end FROM lexical JOIN documents USING (doc_id) WHERE rank <= 10)
-    SELECT item_id, doc_id, l_start AS start_offset, l_end::INT AS end_offset, 'lexical+semantic' AS provenance FROM r WHERE l_start = s_start AND l_end = s_end
-    UNION ALL SELECT item_id, doc_id, l_start, l_end::INT, 'lexical' FROM r WHERE NOT (l_start = s_start AND l_end = s_end) UNION ALL SELECT item_id, doc_id, s_start, s_end::INT, 'semantic' FROM r WHERE NOT (l_start = s_start AND l_end = s_end)"""
+    EVIDENCE_SQL
+    + ","
+    + SEMANTIC_SQL
+    + """, first_ AS (SELECT doc_id, page_index, ordinal, start_offset, start_offset + length(chunk_text) AS end_offset FROM chunks_ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_index, ordinal) = 1),
+    r AS (SELECT item_id, doc_id, page_index, start_offset, end_offset, 'lexical' AS channel FROM evidence UNION ALL SELECT s.item_id, doc_id, f.page_index, f.start_offset, f.end_offset, 'semantic' FROM semantic s JOIN first_ f USING (doc_id))
+    SELECT item_id, doc_id, page_index::INT AS page_index, start_offset::INT AS start_offset, end_offset::INT AS end_offset, string_agg(channel, '+' ORDER BY channel) AS provenance FROM r GROUP BY ALL"""
 )
 def coalesced_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal lexical and semantic ranges become one entry of both provenances, other ones stay two."""
-    texts = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
-    hits = lexical(spark, sf_dir, 10).join(texts, "doc_id")
-    span = lambda end, by: F.struct(F.lit(0).alias("start_offset"), end.alias("end_offset"), F.lit(by).alias("provenance"))
-    a, b = F.least("n", F.lit(80)), F.when(F.col("doc_id") % 3 == 0, F.least("n", F.lit(80))).otherwise(F.least("n", F.lit(120)))
-    entries = F.when(a == b, F.array(span(a, "lexical+semantic"))).otherwise(F.array(span(a, "lexical"), span(b, "semantic")))
-    return hits.select("item_id", "doc_id", F.explode(entries).alias("e")).select("item_id", "doc_id", "e.*")
+    """Ranges of both channels, of the best chunk by words and the first chunk by vectors: equal ones become one entry of both provenances."""
+    place = ["item_id", "doc_id", "page_index", "start_offset", "end_offset"]
+    by_words = _evidence(spark, sf_dir).select(*place, F.lit("lexical").alias("channel"))
+    hits = cut(semantic(spark, sf_dir).select("item_id", "doc_id"))
+    docs = table(spark, sf_dir, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = chunks(pages(docs)).groupBy("doc_id").agg(F.min(F.struct("page_index", "ordinal", "start_offset", "end_offset")).alias("c")).select("doc_id", "c.*")
+    by_vector = hits.join(first, "doc_id").select(*place, F.lit("semantic").alias("channel"))
+    both = by_words.union(by_vector).groupBy(*place).agg(F.array_join(F.sort_array(F.collect_set("channel")), "+").alias("provenance"))
+    return both
 
 
 def gcd(a: Column, b: Column) -> Column:
@@ -129,25 +135,52 @@ def exact_fusion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     PACK_SQL
-    + """, answers AS (SELECT item_id, unnest(['E1', 'E' || (item_id % 12 + 1)]) AS label FROM (SELECT DISTINCT item_id FROM packed)), cited AS (SELECT DISTINCT item_id, label FROM answers)
-    SELECT c.item_id, c.label, count(p.doc_id) AS n_entries, CASE count(p.doc_id) WHEN 1 THEN 'bound' ELSE 'rejected' END AS outcome, max(p.doc_id) AS doc_id FROM cited c LEFT JOIN packed p ON p.item_id = c.item_id AND p.label = c.label GROUP BY ALL"""
+    + """, named AS (SELECT item_id, turn, 'E' || ((strlen(text) + k) % 12) AS label FROM (SELECT item_id, turn, text, unnest([0, 5, 12]) AS k FROM (SELECT DISTINCT item_id FROM packed) JOIN conversations ON conv_id = item_id WHERE role = 'assistant')),
+    cited AS (SELECT item_id, turn, label, count(*) AS n_cited FROM named GROUP BY ALL)
+    SELECT c.item_id, c.turn, c.label, c.n_cited, count(p.doc_id) AS n_entries, CASE WHEN c.n_cited > 1 THEN 'repeated' WHEN count(p.doc_id) = 1 THEN 'bound' ELSE 'unknown' END AS outcome, max(p.doc_id) AS doc_id FROM cited c LEFT JOIN packed p ON p.item_id = c.item_id AND p.label = c.label GROUP BY c.item_id, c.turn, c.label, c.n_cited"""
 )
 def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels cited by strict JSON answers, each of which must name exactly one packed entry."""
-    packed = _packed(spark, sf_dir)
-    answer = F.concat(F.lit('{"answer":"a","labels":["E1","E'), (F.col("item_id") % 12 + 1).cast("string"), F.lit('"]}'))
-    parsed = packed.select("item_id").distinct().select("item_id", F.from_json(answer, "answer string, labels array<string>", {"mode": "FAILFAST"}).alias("a"))
-    cited = parsed.select("item_id", F.explode(F.array_distinct("a.labels")).alias("label"))
-    entries = packed.filter("label IS NOT NULL").select("item_id", "label", "doc_id")
+    """Labels cited by the turns of conversations, read strictly from their JSON: each must be cited once and name exactly one packed entry."""
+    packed = cut(_packed(spark, sf_dir).filter("label IS NOT NULL").select("item_id", "label", "doc_id"))
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.col("conv_id").alias("item_id"), "turn", F.octet_length("text").alias("n"))
+    label = lambda k: F.concat(F.lit("E"), ((F.col("n") + k) % 12).cast("string"))
+    answers = turns.join(packed.select("item_id").distinct(), "item_id").select("item_id", "turn", F.to_json(F.struct(F.array(*map(label, (0, 5, 12))).alias("labels"))).alias("answer"))
+    parsed = answers.select("item_id", "turn", F.from_json("answer", "labels array<string>", {"mode": "FAILFAST"}).alias("a"))
+    cited = parsed.select("item_id", "turn", F.explode("a.labels").alias("label")).groupBy("item_id", "turn", "label").agg(F.count("*").alias("n_cited"))
     n = F.count("doc_id")
-    return cited.join(entries, ["item_id", "label"], "left").groupBy("item_id", "label").agg(n.alias("n_entries"), F.when(n == 1, "bound").otherwise("rejected").alias("outcome"), F.max("doc_id").alias("doc_id"))
+    bound = cited.join(packed, ["item_id", "label"], "left").groupBy("item_id", "turn", "label", "n_cited").agg(n.alias("n_entries"), F.max("doc_id").alias("doc_id"))
+    return bound.withColumn("outcome", F.when(F.col("n_cited") > 1, "repeated").when(F.col("n_entries") == 1, "bound").otherwise("unknown"))
+
+
+@query(
+    "WITH "
+    + LEXICAL_SQL
+    + ","
+    + SEMANTIC_SQL
+    + ","
+    + FUSED_SQL
+    + f""", top_ AS (SELECT * FROM fused WHERE fused_rank <= 10), counts AS (SELECT item_id, max(lexical_rank) AS n_lexical, max(semantic_rank) AS n_semantic FROM fused GROUP BY item_id)
+    SELECT t.item_id, count(*) AS n_hits, max(fused_rank) = count(*) AS contiguous, coalesce(any_value(n_lexical), 0)::INT AS n_lexical, coalesce(any_value(n_semantic), 0)::INT AS n_semantic, bool_and(coalesce(n_lexical, 0) <= 50 AND coalesce(n_semantic, 0) <= 50) AS within_caps, 0::BIGINT AS wrong_votes FROM top_ t JOIN counts USING (item_id) GROUP BY t.item_id"""
+)
+def envelope_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result envelopes verified anew: ranks from 1 on, channels within their depth, every vote recomputed as a fraction."""
+    found = cut(fused(spark, sf_dir))
+    counts = found.groupBy("item_id").agg(F.coalesce(F.max("lexical_rank"), F.lit(0)).alias("n_lexical"), F.coalesce(F.max("semantic_rank"), F.lit(0)).alias("n_semantic"))
+    part = lambda c: F.coalesce(F.lit(1.0) / (F.col(c) + 40), F.lit(0.0))
+    wrong = F.abs(F.col("score") - (part("lexical_rank") + part("semantic_rank"))) > 1e-15
+    over = (F.col("lexical_rank") > F.col("n_lexical")) | (F.col("semantic_rank") > F.col("n_semantic"))
+    top = found.filter("fused_rank <= 10").join(counts, "item_id").groupBy("item_id", "n_lexical", "n_semantic").agg(F.count("*").alias("n_hits"), (F.max("fused_rank") == F.count("*")).alias("contiguous"), F.count_if(wrong | F.coalesce(over, F.lit(False))).alias("wrong_votes"))
+    return top.withColumn("within_caps", (F.col("n_lexical") <= 50) & (F.col("n_semantic") <= 50))
 
 
 @query("SELECT event_type, CASE WHEN len(r) = 0 THEN 'pass' ELSE 'fail' END AS status, array_to_string(r, ',') AS reasons FROM (SELECT event_type, list_filter([CASE WHEN quantile_cont(value, 0.95) > 40 THEN 'p95' END, CASE WHEN count(*) < 2000 THEN 'few_samples' END, CASE WHEN max(value) > 500 THEN 'worst' END], lambda x: x IS NOT NULL) AS r FROM events GROUP BY event_type)")
 def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gates over measured values: a status and its reasons in fixed order."""
-    gates = F.array_compact(F.array(F.when(F.percentile("value", 0.95) > 40, F.lit("p95")), F.when(F.count("*") < 2000, F.lit("few_samples")), F.when(F.max("value") > 500, F.lit("worst"))))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(gates.alias("r")).select("event_type", F.when(F.size("r") == 0, "pass").otherwise("fail").alias("status"), F.array_join("r", ",").alias("reasons"))
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    high = exact_percentiles(events, "event_type", "value", [0.95]).select("event_type", "percentile")
+    measured = events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("worst")).join(high, "event_type", "left")
+    gates = F.array_compact(F.array(F.when(F.col("percentile") > 40, F.lit("p95")), F.when(F.col("n") < 2000, F.lit("few_samples")), F.when(F.col("worst") > 500, F.lit("worst"))))
+    return measured.select("event_type", gates.alias("r")).select("event_type", F.when(F.size("r") == 0, "pass").otherwise("fail").alias("status"), F.array_join("r", ",").alias("reasons"))
 
 
 @query("SELECT item_id, n AS requested, least(100, greatest(50, 5 * n)) AS hybrid_depth, least(100, greatest(20, 5 * n)) AS branch_depth FROM (SELECT item_id, len(string_split(text, ' ')) % 30 + 1 AS n FROM benchmark)")

@@ -2,63 +2,125 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
 
-from groundline.operators.evidence import bundle_state, entry_json, pack, resolution_code
-from groundline.operators.ingest import pages
-from groundline.plans.ingest import PAGES_SQL
+from groundline.functions.text import TOKEN, query_terms
+from groundline.operators.evidence import best_chunks, bundle_state, entry_json, pack, resolution_code, sealed
+from groundline.operators.ingest import chunks, pages
+from groundline.plans.ingest import CHUNKS_SQL, PAGES_SQL, identified
 from groundline.plans.ranking import LEXICAL_SQL, TOP, lexical
 from groundline.plans.registry import query
+from groundline.sources.checkpoints import cut
 from groundline.sources.tables import table
 
-MAX_BYTES, MAX_ENTRIES = 2000, 8
-SNIPPET = "split_part(text, chr(10), 1)"
+MAX_BYTES, MAX_ENTRIES = 4000, 8
 
-REFS_SQL = "refs AS (SELECT item_id, doc_id + CASE WHEN doc_id % 13 = 0 THEN 1000000000 ELSE 0 END AS doc_id, rank, CASE WHEN doc_id % 11 = 0 THEN 5000000 ELSE 0 END AS start_offset, least(length(text), 80) + CASE WHEN doc_id % 11 = 0 THEN 5000000 ELSE 0 END AS end_offset, sha256(substring(text, 1, 80) || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS digest FROM lexical JOIN documents USING (doc_id))"
+#: The chunk of each hit that holds the most of the search's terms.
+EVIDENCE_SQL = (
+    CHUNKS_SQL
+    + ","
+    + LEXICAL_SQL
+    + f""", qt AS (SELECT item_id, list(term) AS terms FROM q GROUP BY item_id),
+met AS (SELECT l.item_id, l.doc_id, l.rank, c.page_index, c.ordinal, c.n_words, c.start_offset, c.start_offset + length(c.chunk_text) AS end_offset, c.chunk_text,
+  row_number() OVER (PARTITION BY l.item_id, l.doc_id ORDER BY len(list_intersect(regexp_extract_all(lower(c.chunk_text), '{TOKEN}'), terms)) DESC, c.page_index, c.ordinal) AS place FROM lexical l JOIN chunks_ c USING (doc_id) JOIN qt USING (item_id)),
+evidence AS (SELECT item_id, doc_id, rank, page_index::INT AS page_index, ordinal::INT AS ordinal, n_words::INT AS n_words, start_offset::INT AS start_offset, end_offset::INT AS end_offset, chunk_text FROM met WHERE place = 1)
+"""
+)
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical(spark, sf_dir).select("item_id", "doc_id", "rank").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with the place and the whole text of the chunk that matches best; only hit documents are cut into chunks."""
+    hits = cut(lexical(spark, sf_dir).select("item_id", "doc_id", "rank"))
+    docs = table(spark, sf_dir, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    terms = table(spark, sf_dir, "benchmark").select("item_id", query_terms(F.col("text")).alias("terms"))
+    chunk_rows = chunks(pages(docs)).select("doc_id", "page_index", "ordinal", "n_words", "start_offset", "end_offset", "chunk_text")
+    return best_chunks(hits, chunk_rows, terms, "item_id")
 
 
-def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References to the first 80 characters of each hit, some of them spoilt: id, range or digest."""
-    d = F.col("doc_id")
-    far = F.when(d % 11 == 0, 5_000_000).otherwise(0)
-    spoilt = F.concat(F.substring("text", 1, 80), F.when(d % 7 == 0, F.lit("!")).otherwise(F.lit("")))
-    return _hits(spark, sf_dir).select("item_id", (d + F.when(d % 13 == 0, 1_000_000_000).otherwise(0)).alias("doc_id"), "rank", far.alias("start_offset"), (F.least(F.length("text"), F.lit(80)) + far).alias("end_offset"), F.sha2(spoilt, 256).alias("digest"))
+#: References with planted faults, one kind for each remainder, so that every check has something to find.
+_FAULTS = {"doc": 13, "far": 11, "digest": 7, "page": 17, "scope": 19, "anchors": 23, "negative": 29, "long": 31, "order": 37, "twice": 41}
+REFS_SQL = f"""refs AS (SELECT item_id, CASE WHEN doc_id % 13 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 37 = 0 THEN rank + 1000 ELSE rank END AS rank, rank AS position,
+  CASE WHEN doc_id % 19 = 0 THEN 'elsewhere' ELSE d.source END AS source, page_index + CASE WHEN doc_id % 17 = 0 THEN 100000 ELSE 0 END AS page_index,
+  CASE WHEN doc_id % 29 = 0 THEN -1 WHEN doc_id % 11 = 0 THEN start_offset + 5000000 ELSE start_offset END AS start_offset, CASE WHEN doc_id % 31 = 0 THEN end_offset + 9000000 WHEN doc_id % 11 = 0 THEN end_offset + 5000000 ELSE end_offset END AS end_offset,
+  sha256(chunk_text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS digest, n_words + CASE WHEN doc_id % 23 = 0 THEN 1 ELSE 0 END AS n_anchors, doc_id % 41 = 0 AS twice FROM evidence JOIN documents d USING (doc_id))"""
 
 
-@query("WITH " + LEXICAL_SQL + "," + REFS_SQL + "SELECT item_id, doc_id, rank, start_offset::INT AS start_offset, end_offset::INT AS end_offset, digest FROM refs")
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to the evidence of each hit: where it stands, its digest and the number of its words, without its text."""
+    fault = lambda kind: F.col("doc_id") % _FAULTS[kind] == 0
+    sources = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("true_source"))
+    e = _evidence(spark, sf_dir).join(sources, "doc_id")
+    return e.select(
+        "item_id",
+        (F.col("doc_id") + F.when(fault("doc"), 1_000_000_000).otherwise(0)).alias("doc_id"),
+        (F.col("rank") + F.when(fault("order"), 1000).otherwise(0)).alias("rank"),
+        F.col("rank").alias("position"),
+        F.when(fault("scope"), "elsewhere").otherwise(F.col("true_source")).alias("source"),
+        (F.col("page_index") + F.when(fault("page"), 100_000).otherwise(0)).alias("page_index"),
+        F.when(fault("negative"), -1).otherwise(F.col("start_offset") + F.when(fault("far"), 5_000_000).otherwise(0)).alias("start_offset"),
+        (F.col("end_offset") + F.when(fault("long"), 9_000_000).when(fault("far"), 5_000_000).otherwise(0)).alias("end_offset"),
+        F.sha2(F.concat("chunk_text", F.when(fault("digest"), "!").otherwise("")), 256).alias("digest"),
+        (F.col("n_words") + fault("anchors").cast("int")).alias("n_anchors"),
+        fault("twice").alias("twice"),
+    )
+
+
+@query(EVIDENCE_SQL + "," + REFS_SQL + "SELECT item_id, doc_id, rank, source, page_index::INT AS page_index, start_offset::INT AS start_offset, end_offset::INT AS end_offset, digest, n_anchors::INT AS n_anchors FROM refs")
 def evidence_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits as references without text: range and digest."""
-    return _references(spark, sf_dir)
+    """Hits as references to their best chunk: page, range, digest and number of anchors, without text."""
+    return _references(spark, sf_dir).drop("position", "twice")
 
 
 @query(
-    "WITH "
-    + LEXICAL_SQL
+    EVIDENCE_SQL
     + ","
     + REFS_SQL
-    + """, latest AS (SELECT sha256(text) AS h, max(doc_id) AS newest FROM documents GROUP BY text)
-    SELECT r.item_id, r.doc_id, r.rank, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN l.newest <> d.doc_id THEN 'superseded' WHEN r.start_offset < 0 OR r.end_offset <= r.start_offset OR r.end_offset > length(d.text) THEN 'range'
-      WHEN sha256(substring(d.text, (r.start_offset + 1)::BIGINT, (r.end_offset - r.start_offset)::BIGINT)) <> r.digest THEN 'digest' ELSE 'ok' END AS code
-    FROM refs r LEFT JOIN documents d ON d.doc_id = r.doc_id LEFT JOIN latest l ON l.h = sha256(d.text)"""
+    + """, latest AS (SELECT sha256(text) AS h, max(doc_id) AS newest FROM documents WHERE text IS NOT NULL GROUP BY text),
+    asked AS (SELECT *, rank <= max(rank) OVER (PARTITION BY item_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS disordered FROM refs)
+    SELECT r.item_id, r.doc_id, r.rank, CASE WHEN r.start_offset < 0 OR r.end_offset <= r.start_offset THEN 'INVALID_REQUEST' WHEN r.end_offset - r.start_offset > 4194304 THEN 'RESOURCE_LIMIT' WHEN d.doc_id IS NULL THEN 'SOURCE_NOT_FOUND'
+      WHEN r.source IS DISTINCT FROM d.source THEN 'SOURCE_SCOPE_MISMATCH' WHEN l.newest <> d.doc_id THEN 'GENERATION_NOT_CURRENT' WHEN p.doc_id IS NULL THEN 'REFERENCE_NOT_FOUND' WHEN r.end_offset > length(p.t) THEN 'RANGE_MISMATCH'
+      WHEN sha256(p.t[r.start_offset + 1 : r.end_offset]) <> r.digest THEN 'TEXT_DIGEST_MISMATCH' WHEN len(string_split(p.t[r.start_offset + 1 : r.end_offset], ' ')) <> r.n_anchors THEN 'ANCHOR_MISMATCH'
+      WHEN e.vec_id IS NULL THEN 'VECTOR_UNAVAILABLE' WHEN abs(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) - 1) > 1e-5 THEN 'VECTOR_INTEGRITY' WHEN r.disordered THEN 'INVALID_ORDER' WHEN r.twice THEN 'CONTRADICTORY_DUPLICATE' ELSE 'ok' END AS code
+    FROM asked r LEFT JOIN documents d ON d.doc_id = r.doc_id LEFT JOIN latest l ON l.h = sha256(d.text) LEFT JOIN (SELECT doc_id, page_index, array_to_string(page_words, ' ') AS t FROM pages_) p ON p.doc_id = r.doc_id AND p.page_index = r.page_index LEFT JOIN embeddings e ON e.vec_id = r.doc_id"""
 )
 def evidence_resolve_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first check that each reference fails against the documents; a text's newest copy is the current one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), F.sha2("text", 256).alias("h"))
-    newest = docs.groupBy("h").agg(F.max("doc_id").alias("newest"))
-    known = docs.join(newest, "h").select("doc_id", "text", (F.col("newest") == F.col("doc_id")).alias("current"))
-    joined = _references(spark, sf_dir).join(known, "doc_id", "left")
-    piece = F.substring(F.col("text"), F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
-    code = resolution_code(F.col("text").isNotNull(), F.sha2(piece, 256) == F.col("digest"), F.col("start_offset"), F.col("end_offset"), F.length("text"), F.col("current"))
+    """The first check that each reference fails against the documents; a text's newest copy is the current one.
+
+    Only referenced documents are read out; of all others, just the digests of
+    the same texts are looked at. A reference that its bundle names with other
+    facts, too, is a contradictory duplicate.
+    """
+    refs = cut(_references(spark, sf_dir))
+    before = Window.partitionBy("item_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    refs = refs.withColumn("disordered", F.col("rank") <= F.max("rank").over(before))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    asked = docs.join(refs.select("doc_id").distinct(), "doc_id", "left_semi")
+    digests = cut(asked.select("doc_id", F.col("source").alias("true_source"), F.sha2("text", 256).alias("h")))
+    copies = docs.select("doc_id", F.sha2("text", 256).alias("h")).join(digests.select("h").distinct(), "h", "left_semi")
+    newest = copies.groupBy("h").agg(F.max("doc_id").alias("newest"))
+    known = digests.join(newest, "h", "left").select("doc_id", "true_source", (F.col("newest") == F.col("doc_id")).alias("current"), F.lit(True).alias("found"))
+    page_rows = pages(asked).select("doc_id", "page_index", "page_text")
+    norms = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))).alias("norm"))
+    joined = refs.join(known, "doc_id", "left").join(page_rows, ["doc_id", "page_index"], "left").join(norms, "doc_id", "left")
+    piece = F.substring(F.col("page_text"), F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
+    code = resolution_code(
+        {
+            "INVALID_REQUEST": (F.col("start_offset") < 0) | (F.col("end_offset") <= F.col("start_offset")),
+            "RESOURCE_LIMIT": F.col("end_offset") - F.col("start_offset") > 4_194_304,
+            "SOURCE_NOT_FOUND": F.col("found").isNull(),
+            "SOURCE_SCOPE_MISMATCH": ~F.col("source").eqNullSafe(F.col("true_source")),
+            "GENERATION_NOT_CURRENT": ~F.col("current"),
+            "REFERENCE_NOT_FOUND": F.col("page_text").isNull(),
+            "RANGE_MISMATCH": F.col("end_offset") > F.length("page_text"),
+            "TEXT_DIGEST_MISMATCH": F.sha2(piece, 256) != F.col("digest"),
+            "ANCHOR_MISMATCH": F.size(F.split(piece, " ")) != F.col("n_anchors"),
+            "VECTOR_UNAVAILABLE": F.col("norm").isNull(),
+            "VECTOR_INTEGRITY": F.abs(F.col("norm") - 1) > 1e-5,
+            "INVALID_ORDER": F.col("disordered"),
+            "CONTRADICTORY_DUPLICATE": F.col("twice"),
+        }
+    )
     return joined.select("item_id", "doc_id", "rank", code.alias("code"))
 
 
@@ -76,29 +138,46 @@ def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.groupBy("doc_id").agg(status.alias("coverage"), F.count("*").alias("n_pages"), F.count_if(F.col("low") | F.col("empty")).alias("n_flagged"))
 
 
-_ENTRY = "octet_length(encode('{\"doc\":' || doc_id || ',\"label\":\"E' || (n + 1) || '\",\"text\":\"' || replace(replace(snippet, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\"}')) + CASE WHEN n > 0 THEN 1 ELSE 0 END"
-PACK_SQL = (
-    "WITH RECURSIVE "
-    + LEXICAL_SQL
-    + f""", cand AS (SELECT item_id, doc_id, rank, {SNIPPET} AS snippet FROM lexical JOIN documents USING (doc_id)),
-    fold AS (
-      SELECT item_id, 0 AS rank, NULL::BIGINT AS doc_id, 77::BIGINT AS used, 0::BIGINT AS n, NULL::VARCHAR AS label, NULL::VARCHAR AS disposition FROM (SELECT DISTINCT item_id FROM cand)
+def _entry(doc: str, label: str, text: str) -> str:
+    return f"to_json({{'doc': {doc}, 'label': {label}, 'text': {text}}})::VARCHAR"
+
+
+def pack_sql(units: str, max_bytes: int = MAX_BYTES, max_entries: int = MAX_ENTRIES) -> str:
+    """CTEs that pack ``units`` (item_id, unit 1, 2, ..., docs, ranks, texts: lists of one or two) by a recursion: ``packed``."""
+    size = lambda i: f"strlen({_entry(f'u.docs[{i}]', f"'E' || (f.n + {i})", f'u.texts[{i}]')})"
+    return f"""units AS ({units}), fold AS (
+      SELECT item_id, 0::BIGINT AS unit, NULL::BIGINT[] AS docs, NULL::INT[] AS ranks, 77::BIGINT AS used, 0::BIGINT AS n, 0::BIGINT AS before, NULL::VARCHAR AS disposition FROM (SELECT DISTINCT item_id FROM units)
       UNION ALL
-      SELECT item_id, rank, doc_id, used + CASE WHEN fits THEN size ELSE 0 END, n + CASE WHEN fits THEN 1 ELSE 0 END, CASE WHEN fits THEN 'E' || (n + 1) END, CASE WHEN n >= {MAX_ENTRIES} THEN 'entry_limit' WHEN fits THEN 'packed' ELSE 'byte_limit' END
-      FROM (SELECT *, n < {MAX_ENTRIES} AND used + size <= {MAX_BYTES} AS fits FROM (SELECT c.item_id, c.rank, c.doc_id, f.used, f.n, {_ENTRY.replace("doc_id", "c.doc_id").replace("snippet", "c.snippet").replace("(n + 1)", "(f.n + 1)").replace("n > 0", "f.n > 0")} AS size FROM fold f JOIN cand c ON c.item_id = f.item_id AND c.rank = f.rank + 1))
-    ), packed AS (SELECT * FROM fold WHERE rank > 0)
+      SELECT item_id, unit, docs, ranks, used + CASE WHEN fits THEN size ELSE 0 END, n + CASE WHEN fits THEN len(docs) ELSE 0 END, n, CASE WHEN crowded THEN 'entry_limit' WHEN fits THEN 'packed' ELSE 'byte_limit' END
+      FROM (SELECT *, NOT crowded AND used + size <= {max_bytes} AS fits FROM (SELECT u.item_id, u.unit, u.docs, u.ranks, f.used, f.n, f.n + len(u.docs) > {max_entries} AS crowded,
+        {size(1)} + CASE WHEN f.n > 0 THEN 1 ELSE 0 END + CASE WHEN len(u.docs) > 1 THEN {size(2)} + 1 ELSE 0 END AS size FROM fold f JOIN units u ON u.item_id = f.item_id AND u.unit = f.unit + 1))),
+    packed AS (SELECT item_id, docs[i] AS doc_id, ranks[i] AS rank, CASE WHEN disposition = 'packed' THEN 'E' || (before + i) END AS label, disposition, unit FROM (SELECT *, unnest(range(1, len(docs) + 1)) AS i FROM fold WHERE unit > 0))
     """
-)
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snippets = _hits(spark, sf_dir).withColumn("text", F.split_part("text", F.lit("\n"), F.lit(1)))
-    return pack(snippets, "item_id", max_bytes=MAX_BYTES, max_entries=MAX_ENTRIES)
+SINGLE_SQL = "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS unit, [doc_id] AS docs, [rank] AS ranks, [chunk_text] AS texts FROM evidence"
+PACK_SQL = EVIDENCE_SQL + ", " + pack_sql(SINGLE_SQL)
+BODY_SQL = f""", bodies AS (SELECT p.item_id, '{{"evidence":[' || string_agg({_entry("p.doc_id", "p.label", "e.chunk_text")}, ',' ORDER BY p.rank) || ']}}' AS body FROM packed p JOIN evidence e ON e.item_id = p.item_id AND e.doc_id = p.doc_id WHERE p.label IS NOT NULL GROUP BY p.item_id)
+"""
+
+
+def _packed(spark: SparkSession, sf_dir: str, evidence: DataFrame | None = None) -> DataFrame:
+    evidence = _evidence(spark, sf_dir) if evidence is None else evidence
+    candidates = evidence.select("item_id", "rank", "doc_id", F.col("chunk_text").alias("text"))
+    return pack(candidates, "item_id", max_bytes=MAX_BYTES, max_entries=MAX_ENTRIES)
+
+
+def _bodies(packed: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``item_id, body``: the packed entries as canonical JSON; a bundle has a few entries."""
+    texts = evidence.select("item_id", "doc_id", F.col("chunk_text").alias("text"))
+    entries = packed.filter("label IS NOT NULL").join(texts, ["item_id", "doc_id"]).select("item_id", "rank", entry_json(F.col("label"), F.col("doc_id"), F.col("text")).alias("e"))
+    rows = entries.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "e"))).alias("x"))
+    return rows.select("item_id", F.concat(F.lit('{"evidence":['), F.array_join(F.transform("x", lambda r: r["e"]), ","), F.lit("]}")).alias("body"))
 
 
 @query(PACK_SQL + "SELECT item_id, doc_id, rank::INT AS rank, label, disposition FROM packed")
 def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits packed in rank order under a byte and an entry budget; what does not fit is passed over."""
+    """Whole chunks packed in rank order under a byte and an entry budget; what does not fit is passed over."""
     return _packed(spark, sf_dir)
 
 
@@ -109,32 +188,120 @@ def evidence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("state", bundle_state(F.col("n_packed"), F.col("n_candidates")))
 
 
-@query(
-    "WITH "
-    + LEXICAL_SQL
-    + """, h AS (SELECT item_id, doc_id, rank, source FROM lexical JOIN documents USING (doc_id) WHERE rank <= 12)
-    SELECT a.item_id, a.doc_id AS first_doc_id, b.doc_id AS second_doc_id, sha256(a.item_id || ':' || least(a.doc_id, b.doc_id) || ':' || greatest(a.doc_id, b.doc_id)) AS group_id, CASE WHEN a.source = b.source THEN 'same_source' ELSE 'cross_source' END AS lineage
-    FROM h a JOIN h b ON a.item_id = b.item_id AND b.rank = a.rank + 1 WHERE a.rank % 2 = 1"""
-)
-def evidence_groups_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring hits in atomic groups of two, with an identity that their order does not change."""
+@query(PACK_SQL + BODY_SQL + "SELECT item_id, strlen(body) AS n_bytes, sha256(body) AS fingerprint, true AS same_again, CASE WHEN (SELECT count(*) FROM packed p WHERE p.item_id = b.item_id AND label IS NULL) > 0 THEN 'partial' ELSE 'ready' END AS outcome FROM bodies b")
+def evidence_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles built and sealed twice, the second time from candidates in another order: equal bytes or ``failed``."""
+    evidence = cut(_evidence(spark, sf_dir))
+    first = cut(_packed(spark, sf_dir, evidence))
+    again = _packed(spark, sf_dir, evidence.orderBy(F.xxhash64("doc_id", "item_id")))
+    one = _bodies(first, evidence).select("item_id", F.octet_length("body").cast("long").alias("n_bytes"), sealed(F.col("body")).alias("fingerprint"))
+    two = _bodies(again, evidence).select("item_id", sealed(F.col("body")).alias("other"))
+    left_out = first.groupBy("item_id").agg(F.count_if(F.col("label").isNull()).alias("n_left"))
+    both = one.join(two, "item_id", "left").join(left_out, "item_id").withColumn("same_again", F.col("fingerprint").eqNullSafe(F.col("other")))
+    outcome = F.when(~F.col("same_again") | F.col("fingerprint").isNull(), "failed").when(F.col("n_left") > 0, "partial").otherwise("ready")
+    return both.select("item_id", "n_bytes", "fingerprint", "same_again", outcome.alias("outcome"))
+
+
+#: Neighbouring hits in pairs: both of one source and not overlapping make a group, others stand alone.
+GROUPS_SQL = """, near AS (SELECT e.*, d.source, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS i FROM evidence e JOIN documents d USING (doc_id)),
+pairs AS (SELECT a.item_id, a.i, a.doc_id AS a_doc, b.doc_id AS b_doc, a.rank AS a_rank, b.rank AS b_rank, a.chunk_text AS a_text, b.chunk_text AS b_text,
+  CASE WHEN b.doc_id IS NULL THEN 'alone' WHEN a.source IS DISTINCT FROM b.source THEN 'other_lineage' WHEN a.doc_id = b.doc_id AND a.page_index = b.page_index AND greatest(a.start_offset, b.start_offset) < least(a.end_offset, b.end_offset) THEN 'overlap' ELSE 'group' END AS kind,
+  sha256('pair-v1:' || (CASE WHEN a.doc_id <= b.doc_id THEN a.doc_id || ':' || a.page_index || ':' || a.start_offset || ',' || b.doc_id || ':' || b.page_index || ':' || b.start_offset ELSE b.doc_id || ':' || b.page_index || ':' || b.start_offset || ',' || a.doc_id || ':' || a.page_index || ':' || a.start_offset END)) AS group_id
+  FROM near a LEFT JOIN near b ON b.item_id = a.item_id AND b.i = a.i + 1 WHERE a.i % 2 = 1)
+"""
+_UNITS_SQL = """SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY first) AS unit, docs, ranks, texts FROM (
+  SELECT item_id, a_rank AS first, [a_doc, b_doc] AS docs, [a_rank, b_rank] AS ranks, [a_text, b_text] AS texts FROM pairs WHERE kind = 'group'
+  UNION ALL SELECT item_id, a_rank, [a_doc], [a_rank], [a_text] FROM pairs WHERE kind <> 'group'
+  UNION ALL SELECT item_id, b_rank, [b_doc], [b_rank], [b_text] FROM pairs WHERE kind IN ('other_lineage', 'overlap'))"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str, evidence: DataFrame) -> DataFrame:
+    """Neighbours by rank in pairs, with ``kind`` and, for groups, an identity that their order does not change."""
     sources = table(spark, sf_dir, "documents").select("doc_id", "source")
-    h = lexical(spark, sf_dir, 12).join(sources, "doc_id").select("item_id", F.floor((F.col("rank") - 1) / 2).alias("pair"), F.struct("rank", "doc_id", "source").alias("x"))
-    two = h.groupBy("item_id", "pair").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a.rank < b.rank")
-    ids = F.concat_ws(":", "item_id", F.least("a.doc_id", "b.doc_id"), F.greatest("a.doc_id", "b.doc_id"))
-    return two.select("item_id", F.col("a.doc_id").alias("first_doc_id"), F.col("b.doc_id").alias("second_doc_id"), F.sha2(ids, 256).alias("group_id"), F.when(F.col("a.source") == F.col("b.source"), "same_source").otherwise("cross_source").alias("lineage"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("rank"))
+    near = evidence.join(sources, "doc_id").withColumn("pair", F.floor((place - 1) / 2))
+    facts = F.struct("rank", "doc_id", "page_index", "start_offset", "end_offset", "source")
+    two = near.groupBy("item_id", "pair").agg(F.min(facts).alias("a"), F.max(facts).alias("b"), F.count("*").alias("n"))
+    overlap = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_index") == F.col("b.page_index")) & (F.greatest("a.start_offset", "b.start_offset") < F.least("a.end_offset", "b.end_offset"))
+    kind = F.when(F.col("n") == 1, "alone").when(~F.col("a.source").eqNullSafe(F.col("b.source")), "other_lineage").when(overlap, "overlap").otherwise("group")
+    name = lambda x: F.concat_ws(":", f"{x}.doc_id", f"{x}.page_index", f"{x}.start_offset")
+    ids = F.when(F.col("a.doc_id") <= F.col("b.doc_id"), F.concat(name("a"), F.lit(","), name("b"))).otherwise(F.concat(name("b"), F.lit(","), name("a")))
+    return two.withColumn("kind", kind).withColumn("group_id", F.sha2(F.concat(F.lit("pair-v1:"), ids), 256))
+
+
+@query(EVIDENCE_SQL + GROUPS_SQL + "SELECT item_id, a_doc AS first_doc_id, b_doc AS second_doc_id, kind, CASE WHEN kind = 'group' THEN group_id END AS group_id FROM pairs WHERE kind <> 'alone'")
+def evidence_groups_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring hits in groups of two: one lineage, no overlap, an identity that their order does not change."""
+    pairs = _pairs(spark, sf_dir, _evidence(spark, sf_dir)).filter("kind <> 'alone'")
+    return pairs.select("item_id", F.col("a.doc_id").alias("first_doc_id"), F.col("b.doc_id").alias("second_doc_id"), "kind", F.when(F.col("kind") == "group", F.col("group_id")).alias("group_id"))
+
+
+@query(EVIDENCE_SQL + GROUPS_SQL + "," + pack_sql(_UNITS_SQL) + "SELECT item_id, doc_id, rank::INT AS rank, label, disposition FROM packed")
+def evidence_group_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups packed as units, both entries or none, between hits that stand alone."""
+    evidence = cut(_evidence(spark, sf_dir))
+    pairs = _pairs(spark, sf_dir, evidence)
+    members = pairs.select("item_id", F.explode(F.when(F.col("kind") == "group", F.array(*(F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col("a.rank").alias("unit")) for x in "ab"))).otherwise(F.array_distinct(F.array(*(F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col(f"{x}.rank").alias("unit")) for x in "ab"))))).alias("m"))
+    units = evidence.join(members.select("item_id", "m.*"), ["item_id", "doc_id"]).select("item_id", "rank", "doc_id", "unit", F.col("chunk_text").alias("text"))
+    return pack(units, "item_id", max_bytes=MAX_BYTES, max_entries=MAX_ENTRIES, unit="unit")
+
+
+#: Proposals of one value under cited labels: the text of E1, spoilt in some, cited with E2, with a label that is not there, or twice in others.
+PROPOSALS_SQL = """, proposals AS (SELECT p.item_id, e.chunk_text || CASE WHEN p.item_id % 5 = 1 THEN ' ' ELSE '' END AS value, CASE p.item_id % 5 WHEN 2 THEN ['E1', 'E2'] WHEN 3 THEN ['E1', 'E99'] WHEN 4 THEN ['E1', 'E1'] ELSE ['E1'] END AS labels
+  FROM packed p JOIN evidence e ON e.item_id = p.item_id AND e.doc_id = p.doc_id WHERE p.label = 'E1')
+"""
 
 
 @query(
-    "WITH "
-    + LEXICAL_SQL
-    + f"SELECT l.item_id, l.doc_id, l.rank, CASE WHEN contains(d.text, b.text) THEN 'verified' ELSE 'abstained' END AS outcome FROM lexical l JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = l.item_id WHERE rank <= {TOP}"
+    PACK_SQL
+    + PROPOSALS_SQL
+    + """, cited AS (SELECT item_id, value, len(labels) AS n_labels, unnest(labels) AS label FROM proposals), bound AS (SELECT c.item_id, c.label, c.n_labels, c.value, e.chunk_text FROM cited c LEFT JOIN packed p ON p.item_id = c.item_id AND p.label = c.label LEFT JOIN evidence e ON e.item_id = p.item_id AND e.doc_id = p.doc_id)
+    SELECT item_id, CASE WHEN count(DISTINCT label) < max(n_labels) THEN 'EVIDENCE_REFERENCE_INVALID' WHEN count(chunk_text) < count(*) THEN 'EVIDENCE_REFERENCE_INVALID' WHEN bool_and(value = chunk_text) THEN 'verified' ELSE 'VALUE_NOT_EXACT_SOURCE_TEXT' END AS outcome FROM bound GROUP BY item_id"""
 )
 def exact_text_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each cited hit holds the proposed text exactly."""
-    proposals = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("proposal"))
-    cited = _hits(spark, sf_dir).filter(F.col("rank") <= TOP).join(proposals, "item_id")
-    return cited.select("item_id", "doc_id", "rank", F.when(F.contains("text", "proposal"), "verified").otherwise("abstained").alias("outcome"))
+    """Whether a proposal's value is, byte for byte, the text of every entry that it cites; faulty citations are rejected."""
+    evidence = cut(_evidence(spark, sf_dir))
+    packed = cut(_packed(spark, sf_dir, evidence).filter("label IS NOT NULL"))
+    entries = packed.join(evidence.select("item_id", "doc_id", F.col("chunk_text").alias("text")), ["item_id", "doc_id"]).select("item_id", "label", "text")
+    kind = F.col("item_id") % 5
+    labels = F.when(kind == 2, F.array(F.lit("E1"), F.lit("E2"))).when(kind == 3, F.array(F.lit("E1"), F.lit("E99"))).when(kind == 4, F.array(F.lit("E1"), F.lit("E1"))).otherwise(F.array(F.lit("E1")))
+    proposals = entries.filter("label = 'E1'").select("item_id", F.concat("text", F.when(kind == 1, " ").otherwise("")).alias("value"), labels.alias("labels"))
+    cited = proposals.select("item_id", "value", F.size("labels").alias("n_labels"), F.explode("labels").alias("label"))
+    bound = cited.join(entries, ["item_id", "label"], "left")
+    repeated, unbound = F.countDistinct("label") < F.max("n_labels"), F.count("text") < F.count("*")
+    outcome = F.when(repeated | unbound, "EVIDENCE_REFERENCE_INVALID").when(F.bool_and(F.encode("value", "UTF-8") == F.encode("text", "UTF-8")), "verified").otherwise("VALUE_NOT_EXACT_SOURCE_TEXT")
+    return bound.groupBy("item_id").agg(outcome.alias("outcome"))
+
+
+@query(
+    EVIDENCE_SQL
+    + """SELECT count(*) AS n_hits, count(*) FILTER (d.source IS DISTINCT FROM 'src3') AS out_of_scope, count(*) FILTER (p.doc_id IS NULL) AS no_page, count(*) FILTER (e.start_offset < 0 OR e.end_offset <= e.start_offset OR e.end_offset > length(p.t)) AS bad_range, count(*) FILTER (p.t[e.start_offset + 1 : e.end_offset] <> e.chunk_text) AS other_text, count(*) FILTER (len(string_split(e.chunk_text, ' ')) <> e.n_words) AS other_anchors
+    FROM evidence e JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id, page_index, array_to_string(page_words, ' ') AS t FROM pages_) p ON p.doc_id = e.doc_id AND p.page_index = e.page_index"""
+)
+def hit_scope_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits against the scope of one source and against their pages: violations by kind; only those of scope may be there."""
+    evidence = cut(_evidence(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").join(evidence.select("doc_id").distinct(), "doc_id", "left_semi")
+    page_rows = pages(docs).select("doc_id", "page_index", "page_text")
+    rows = evidence.join(docs.select("doc_id", "source"), "doc_id").join(page_rows, ["doc_id", "page_index"], "left")
+    slice_ = F.substring(F.col("page_text"), F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
+    start, end = F.col("start_offset"), F.col("end_offset")
+    return rows.agg(
+        F.count("*").alias("n_hits"),
+        F.count_if(~F.col("source").eqNullSafe(F.lit("src3"))).alias("out_of_scope"),
+        F.count_if(F.col("page_text").isNull()).alias("no_page"),
+        F.count_if((start < 0) | (end <= start) | (end > F.length("page_text"))).alias("bad_range"),
+        F.count_if(slice_ != F.col("chunk_text")).alias("other_text"),
+        F.count_if(F.size(F.split("chunk_text", " ")) != F.col("n_words")).alias("other_anchors"),
+    )
+
+
+@query("""SELECT item_id, sha256('{"limit":10,"mode":"hybrid","query":' || to_json(text)::VARCHAR || ',"scope":"src' || (item_id % 20) || '"}') AS fingerprint FROM benchmark""")
+def scoped_request_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of each scoped search: the digest of its canonical JSON."""
+    scope = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    body = F.to_json(F.struct(F.lit(10).alias("limit"), F.lit("hybrid").alias("mode"), F.col("text").alias("query"), scope.alias("scope")))
+    return table(spark, sf_dir, "benchmark").select("item_id", sealed(body).alias("fingerprint"))
 
 
 _ADMIT = "SELECT conv_id, turn, role, sum(len(string_split(text, ' '))) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS prompt_tokens FROM conversations"
@@ -158,28 +325,16 @@ def outcome_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _admission(spark, sf_dir).groupBy("conv_id").agg(outcome.alias("outcome"), F.count("*").alias("n_turns"))
 
 
-@query("""SELECT item_id, length(p)::INT AS prompt_chars, sha256(p) AS prompt_sha256 FROM (SELECT item_id, '{"evidence":[' || string_agg('{"doc":' || doc_id || ',"label":"E' || rank || '","text":""}', ',' ORDER BY rank) || '],"question":' || item_id || '}' AS p FROM (WITH """ + LEXICAL_SQL + " SELECT * FROM lexical WHERE rank <= 5) GROUP BY item_id)")
+@query(
+    PACK_SQL
+    + f""", prompts AS (SELECT p.item_id, '{{"evidence":[' || string_agg({_entry("p.doc_id", "p.label", "e.chunk_text")}, ',' ORDER BY p.rank) || '],"question":' || to_json(any_value(b.text))::VARCHAR || '}}' AS body FROM packed p JOIN evidence e ON e.item_id = p.item_id AND e.doc_id = p.doc_id JOIN benchmark b ON b.item_id = p.item_id WHERE p.label IS NOT NULL GROUP BY p.item_id)
+    SELECT item_id, length(body)::INT AS prompt_chars, sha256(body) AS prompt_sha256, strlen(body) // 4 + 1024 <= 4096 AS admitted FROM prompts"""
+)
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt's canonical JSON over the five best hits: evidence is data under labels."""
-    entry = entry_json(F.concat(F.lit("E"), F.col("rank").cast("string")), F.col("doc_id"), F.lit(""))
-    rows = lexical(spark, sf_dir, 5).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", entry.alias("e")))).alias("x"))
-    prompt = F.concat(F.lit('{"evidence":['), F.array_join(F.transform("x", lambda r: r["e"]), ","), F.lit('],"question":'), F.col("item_id").cast("string"), F.lit("}"))
-    return rows.select("item_id", F.length(prompt).alias("prompt_chars"), F.sha2(prompt, 256).alias("prompt_sha256"))
-
-
-@F.pandas_udf(ArrayType(FloatType()))
-def hashed_embedding(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A stand-in for an embedding model at its boundary: unit vectors of 16 letter-pair counts, batch by batch."""
-    for texts in batches:
-        out = []
-        for text in texts:
-            x = np.frombuffer((text or "").encode(), dtype=np.uint8).astype(np.int64)
-            v = np.bincount((x[:-1] * 31 + x[1:]) % 16, minlength=16).astype(np.float64) if len(x) > 1 else np.eye(16)[0]
-            out.append((v / np.linalg.norm(v)).astype(np.float32))
-        yield pd.Series(out)
-
-
-@query()
-def embed_batch_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents through an embedding function in Arrow batches."""
-    return table(spark, sf_dir, "documents").select("doc_id", hashed_embedding("text").alias("embedding"))
+    """The prompt's canonical JSON: the question, and the packed evidence as data under labels; admitted if it fits the context (four bytes a token)."""
+    evidence = cut(_evidence(spark, sf_dir))
+    questions = table(spark, sf_dir, "benchmark").select("item_id", F.to_json(F.struct(F.col("text").alias("question"))).alias("q"))
+    joined = _bodies(_packed(spark, sf_dir, evidence), evidence).join(questions, "item_id")
+    # Both are objects of one field: the first without its end, the second without its beginning.
+    body = F.concat(F.substr("body", F.lit(1), F.length("body") - 1), F.lit(","), F.substr("q", F.lit(2)))
+    return joined.select("item_id", body.alias("body")).select("item_id", F.length("body").alias("prompt_chars"), F.sha2("body", 256).alias("prompt_sha256"), (F.floor(F.octet_length("body") / 4) + 1024 <= 4096).alias("admitted"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundline.functions.text import TOKEN, WHITE, collapse, content_id, normalized, quality, query_terms, tokens, words
-from groundline.operators.ingest import PAGE_WORDS, budget_spans, chunks, pages
+from groundline.functions.text import TOKEN, WHITE, collapse, content_id, normalized, quality, tokens, words
+from groundline.operators.ingest import PAGE_WORDS, budget_spans, chunks, offsets, pages
 from groundline.plans.registry import query
 from groundline.sources.tables import table
 
@@ -26,7 +26,7 @@ CHUNKS_SQL = (
 cuts AS (
   SELECT doc_id, source, page_index, page_words, 0::BIGINT AS ordinal, 0::BIGINT AS start_word,
          CASE WHEN len(page_words) <= 120 THEN len(page_words) ELSE coalesce(list_max(list_filter(range(90, 121), lambda i: regexp_matches(page_words[i], '[.?!][")]?$'))), 120) END AS end_word
-  FROM pages_ WHERE len(page_words) > 0
+  FROM pages_ WHERE len(page_words) >= 3 AND length(array_to_string(page_words, ' ')) >= 24
   UNION ALL
   SELECT doc_id, source, page_index, page_words, ordinal + 1, end_word,
          CASE WHEN len(page_words) - end_word <= 120 THEN len(page_words) ELSE end_word + coalesce(list_max(list_filter(range(90, 121), lambda i: regexp_matches(page_words[end_word + i], '[.?!][")]?$'))), 120) END
@@ -69,10 +69,14 @@ FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS word_in
       FROM (SELECT doc_id, list_filter(string_split({CANON}, ' '), lambda x: x <> '') AS w FROM documents))"""
 )
 def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word with its place in the canonical text, by a running sum of lengths."""
-    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words(collapse(F.col("text")))).alias("word_index", "word"))
-    before = Window.partitionBy("doc_id").orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("char_start", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int"))
+    """Every word with its place in the canonical text, by running sums over its pages: no text leaves its row."""
+    page_rows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 1), F.lit(PAGE_WORDS)), lambda s: F.slice("w", s + 1, PAGE_WORDS))
+    cut = table(spark, sf_dir, "documents").select("doc_id", words(collapse(F.col("text"))).alias("w")).withColumn("p", page_rows)
+    lengths = F.transform("p", lambda page: F.aggregate(page, F.lit(0), lambda acc, w: acc + F.length(w) + 1))
+    based = cut.withColumn("lengths", lengths).withColumn("bases", F.aggregate("lengths", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + n))))
+    pages_ = based.select("doc_id", "bases", F.posexplode_outer("p").alias("page_index", "page_words")).select("doc_id", "page_index", "page_words", F.get("bases", F.col("page_index")).alias("base"), offsets(F.col("page_words")).alias("starts"))
+    placed = F.transform("page_words", lambda w, i: F.struct((F.col("page_index") * PAGE_WORDS + i).alias("word_index"), w.alias("word"), (F.col("base") + F.get("starts", i)).alias("char_start")))
+    return pages_.select("doc_id", F.explode_outer(placed).alias("x")).filter("x IS NOT NULL").select("doc_id", "x.*")
 
 
 @query(
@@ -95,7 +99,7 @@ def page_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CHUNKS_SQL + "SELECT doc_id, page_index::INT AS page_index, ordinal::INT AS ordinal, start_word::INT AS start_word, n_words::INT AS n_words, start_offset::INT AS start_offset, (start_offset + length(chunk_text))::INT AS end_offset, chunk_text FROM chunks_")
 def chunks_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy chunks of every page, cut after a sentence end where there is one late enough."""
+    """Greedy chunks of every page, cut after a sentence end where there is one late enough; pages that need another reading give none."""
     return chunks(pages(table(spark, sf_dir, "documents"))).drop("source")
 
 
@@ -141,6 +145,37 @@ def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", digest.alias("text_sha256"), content_id("file-version-sha256-", F.col("doc_id").cast("string"), digest).alias("file_version_id"))
 
 
+@query(
+    CHUNKS_SQL
+    + f""", k AS (SELECT doc_id, page_index, ordinal, start_offset, start_offset + length(chunk_text) AS end_offset, sha256(chunk_text) AS digest FROM chunks_)
+    SELECT doc_id, page_index::INT AS page_index, ordinal::INT AS ordinal, 'page-sha256-' || sha256({_FRAME.format("doc_id::VARCHAR")} || {_FRAME.format("page_index::VARCHAR")}) AS page_id,
+      'chunk-sha256-' || sha256({_FRAME.format("doc_id::VARCHAR")} || {_FRAME.format("page_index::VARCHAR")} || {_FRAME.format("start_offset::VARCHAR")} || {_FRAME.format("end_offset::VARCHAR")} || {_FRAME.format("digest")}) AS chunk_id FROM k"""
+)
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-addressed identities of pages and chunks: the same text at the same place has the same one."""
+    return identified(chunks(pages(table(spark, sf_dir, "documents")))).select("doc_id", "page_index", "ordinal", "page_id", "chunk_id")
+
+
+def identified(chunk_rows: DataFrame) -> DataFrame:
+    """Adds ``page_id`` and ``chunk_id``."""
+    text = lambda c: F.col(c).cast("string")
+    page = content_id("page-sha256-", text("doc_id"), text("page_index"))
+    chunk = content_id("chunk-sha256-", text("doc_id"), text("page_index"), text("start_offset"), text("end_offset"), F.sha2("chunk_text", 256))
+    return chunk_rows.withColumn("page_id", page).withColumn("chunk_id", chunk)
+
+
+@query(
+    CHUNKS_SQL
+    + f"""SELECT doc_id, page_index::INT AS page_index, word_index::INT AS word_index, 'anchor-sha256-' || sha256({_FRAME.format("doc_id::VARCHAR")} || {_FRAME.format("page_index::VARCHAR")} || {_FRAME.format("word_index::VARCHAR")} || {_FRAME.format("word")}) AS anchor_id
+    FROM (SELECT doc_id, page_index, unnest(page_words) AS word, generate_subscripts(page_words, 1) - 1 AS word_index FROM pages_)"""
+)
+def anchor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-addressed identities of anchors: a word at its place in a page."""
+    each = pages(table(spark, sf_dir, "documents")).select("doc_id", "page_index", F.posexplode_outer("page_words").alias("word_index", "word")).filter("word IS NOT NULL")
+    text = lambda c: F.col(c).cast("string")
+    return each.select("doc_id", "page_index", "word_index", content_id("anchor-sha256-", text("doc_id"), text("page_index"), text("word_index"), F.col("word")).alias("anchor_id"))
+
+
 @query(
     """WITH d AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS digest FROM documents),
     old AS (SELECT DISTINCT source, digest FROM d WHERE doc_id % 2 = 0)
@@ -149,8 +184,9 @@ def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedupe_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admission by digest: odd documents whose text no even document of the source has, each text once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    old = docs.filter("doc_id % 2 = 0").select("source", "digest")
-    return docs.join(old, ["source", "digest"], "left_anti").groupBy("source", "digest").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_offered"))
+    # One aggregation: copies are combined in their tasks, and nothing is joined.
+    old = F.bool_or(F.col("doc_id") % 2 == 0)
+    return docs.groupBy("source", "digest").agg(old.alias("known"), F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_offered")).filter("NOT known").drop("known")
 
 
 @query(
@@ -181,16 +217,6 @@ def printed_label_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.when(F.size("labels") == 1, F.get("labels", F.lit(0))).alias("printed_label"))
 
 
-@query(
-    rf"""SELECT conv_id, turn, list_distinct(t) IS NOT NULL AS planned, array_to_string(list_transform(list_filter(list_zip(range(len(t)), t), lambda x: list_position(t, x[2]) = x[1] + 1), lambda x: x[2]), ' ') AS terms
-    FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TOKEN}'), lambda w: NOT list_contains(string_split('a an the what which who whom whose when where why how is are was were be been being do does did this that these those of to in on at for and or', ' '), w)) AS t FROM conversations WHERE role = 'user')"""
-)
-def query_terms_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search terms of every user turn: ordered, distinct, without function words."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return turns.select("conv_id", "turn", F.lit(True).alias("planned"), F.array_join(query_terms(F.col("text")), " ").alias("terms"))
-
-
 @query(rf"SELECT token, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS token FROM documents) GROUP BY token")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary with its frequencies."""

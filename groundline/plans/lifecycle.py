@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from groundline.operators.ranking import numbered_by
 from groundline.plans.registry import query
 from groundline.sources.tables import table
 
@@ -70,3 +71,61 @@ def pointer_lineage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = log.filter("event_type = 'view'").groupBy("user_id").agg(F.min("ts").alias("first_view"))
     joined = log.filter("event_type = 'purchase'").join(first, "user_id", "left")
     return joined.filter("first_view IS NULL OR first_view >= ts").select("user_id", "event_id")
+
+
+@query(
+    """WITH was AS (SELECT source, sum(('0x' || substring(sha256(doc_id || ':' || coalesce(text, '')), 1, 12))::UBIGINT)::VARCHAR AS h FROM documents WHERE NOT (doc_id % 400 = 3) GROUP BY source), is_ AS (SELECT source, sum(('0x' || substring(sha256(doc_id || ':' || coalesce(text, '')), 1, 12))::UBIGINT)::VARCHAR AS h FROM documents GROUP BY source),
+    published AS (SELECT source, 'generation-' || sha256(h) AS generation_id, h FROM was)
+    SELECT is_.source, CASE WHEN p.h = is_.h THEN p.generation_id END AS generation_id, CASE WHEN p.source IS NULL THEN 'unavailable' WHEN p.h = is_.h THEN 'current' ELSE 'stale' END AS state FROM is_ LEFT JOIN published p ON p.source IS NOT DISTINCT FROM is_.source"""
+)
+def active_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published generation of each source, null where its documents have changed since (some ids came later)."""
+    docs = table(spark, sf_dir, "documents")
+    digest = F.conv(F.substring(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    snapshot = lambda rows: F.sum(rows).cast("string")
+    late = F.col("doc_id") % 400 == 3
+    # Both snapshots come from one pass: the later rows count in one of them only.
+    both = docs.groupBy("source").agg(snapshot(F.when(~late, digest)).alias("was"), snapshot(digest).alias("now"))
+    same = F.col("was") == F.col("now")
+    generation = F.concat(F.lit("generation-"), F.sha2("was", 256))
+    return both.select("source", F.when(same, generation).alias("generation_id"), F.when(F.col("was").isNull(), "unavailable").when(same, "current").otherwise("stale").alias("state"))
+
+
+@query("WITH c AS (SELECT label, count(*) AS n_vectors, count(*) FILTER (vec_id % 9 <> 0 AND label <> 4) AS n_embeddable FROM embeddings GROUP BY label) SELECT label, n_vectors, n_embeddable, CASE WHEN n_embeddable = 0 THEN 'empty' WHEN n_embeddable < n_vectors THEN 'partial' ELSE 'full' END AS artifact, CASE WHEN n_embeddable = 0 THEN 0 ELSE 1 END::INT AS n_files FROM c")
+def empty_generation_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each generation of vectors publishes: one without embeddable spans is explicitly empty, not missing."""
+    embeddable = (F.col("vec_id") % 9 != 0) & (F.col("label") != 4)
+    c = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n_vectors"), F.count_if(embeddable).alias("n_embeddable"))
+    none = F.col("n_embeddable") == 0
+    return c.withColumn("artifact", F.when(none, "empty").when(F.col("n_embeddable") < F.col("n_vectors"), "partial").otherwise("full")).withColumn("n_files", F.when(none, 0).otherwise(1))
+
+
+@query(
+    """WITH spans AS (SELECT vec_id, label, len(embedding) AS dim, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS vector_row FROM embeddings)
+    SELECT s.label, count(*) AS n_rows, count(DISTINCT s.vec_id) AS n_spans, count(d.doc_id) AS n_with_parent, count(*) FILTER (d.doc_id IS NULL) AS orphans, min(vector_row) = 0 AND max(vector_row) = count(*) - 1 AND count(DISTINCT vector_row) = count(*) AS bijective,
+      count(*) FILTER (abs(norm - 1) > 1e-5) AS not_unit, count(*) FILTER (dim <> 64) AS other_dimension, count(DISTINCT d.source) AS n_sources, CASE WHEN count(*) FILTER (d.doc_id IS NULL OR abs(norm - 1) > 1e-5 OR dim <> 64) = 0 THEN 'valid' ELSE 'invalid' END AS verdict
+    FROM spans s LEFT JOIN documents d ON d.doc_id = s.vec_id GROUP BY s.label"""
+)
+def vector_generation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector generation as a whole: rows and spans one to one, every span's parent there, unit vectors of one dimension."""
+    v = table(spark, sf_dir, "embeddings")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    spans = numbered_by(v.select("label", "vec_id", F.size("embedding").alias("dim"), norm.alias("norm")), "label", "vec_id", "vector_row")
+    parents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", F.lit(True).alias("found"))
+    rows = spans.join(parents, "vec_id", "left")
+    orphan, bent, odd = F.col("found").isNull(), F.abs(F.col("norm") - 1) > 1e-5, F.col("dim") != 64
+    n = F.count("*")
+    # Distinct spans and rows are counted first by span: a span has few rows.
+    per_span = rows.groupBy("label", "vec_id", "source").agg(n.alias("n"), F.count("found").alias("p"), F.count_if(orphan).alias("o"), F.count_if(bent).alias("b"), F.count_if(odd).alias("x"), F.count_if(orphan | bent | odd).alias("bad"), F.min("vector_row").alias("low"), F.max("vector_row").alias("high"))
+    total = lambda c: F.sum(c)
+    return per_span.groupBy("label").agg(
+        total("n").alias("n_rows"),
+        n.alias("n_spans"),
+        total("p").alias("n_with_parent"),
+        total("o").alias("orphans"),
+        ((F.min("low") == 0) & (F.max("high") == F.sum("n") - 1) & (F.sum("n") == n)).alias("bijective"),
+        total("b").alias("not_unit"),
+        total("x").alias("other_dimension"),
+        F.countDistinct("source").alias("n_sources"),
+        F.when(F.sum("bad") == 0, "valid").otherwise("invalid").alias("verdict"),
+    )

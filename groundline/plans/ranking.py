@@ -1,7 +1,8 @@
 """Queries of planning, ranking, fusion and evaluation.
 
 Search queries are the texts of ``benchmark``; the vector of search i is the
-one with id 50 i. Documents and vectors with one id are one parent.
+one with id 50 i. Documents and vectors with one id are one parent. Planned
+searches are the sentences of ``benchmark``, as plans admit few terms.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundline.functions.text import INTENTS, STOP_WORDS, TOKEN, query_terms, variants
-from groundline.operators.ranking import bm25, cosine, dot, fuse, pareto_layers, ranking_metrics, top_k
+from groundline.functions.text import INTENTS, STOP_WORDS, TOKEN, WHITE, query_terms, tokens, variants
+from groundline.operators import planning
+from groundline.operators.ranking import bm25, cosine_best, dot, fuse, numbered_by, pareto_layers, ranking_metrics, top_k
 from groundline.plans.registry import query
+from groundline.sources.checkpoints import cut
 from groundline.sources.tables import table
 
 TOP, DEPTH = 10, 50
@@ -50,14 +53,10 @@ def lexical(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> DataFrame:
     return top_k(scored, "item_id", [F.col("score"), F.col("doc_id")], k)
 
 
-def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+def semantic(spark: SparkSession, sf_dir: str, k: int = DEPTH, block: int = 4096) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    scored = cosine(vectors, vectors.filter("vec_id % 50 = 0"))
-    return scored.select(F.floor(F.col("query_id") / 50).alias("item_id"), F.col("vec_id").alias("doc_id"), "label", "score")
-
-
-def semantic(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> DataFrame:
-    return top_k(_cosine(spark, sf_dir), "item_id", [F.desc("score"), F.col("doc_id")], k)
+    best = cosine_best(vectors, vectors.filter("vec_id % 50 = 0"), k, block=block)
+    return best.select(F.floor(F.col("query_id") / 50).alias("item_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +86,8 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact cosine among the vectors of one label; the filter comes before any score."""
     vectors = table(spark, sf_dir, "embeddings")
-    scored = cosine(vectors.filter("label = 3"), vectors.filter("vec_id % 50 = 0"))
-    return top_k(scored, "query_id", [F.desc("score"), F.col("vec_id")], TOP).select(F.floor(F.col("query_id") / 50).alias("item_id"), "vec_id", "rank", F.round("score", 6).alias("score"))
+    best = cosine_best(vectors.filter("label = 3"), vectors.filter("vec_id % 50 = 0"), TOP)
+    return best.select(F.floor(F.col("query_id") / 50).alias("item_id"), "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -106,8 +105,7 @@ def vector_norm_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS vector_row FROM embeddings")
 def vector_row_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical row numbers of the vectors of each label."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return table(spark, sf_dir, "embeddings").select("label", "vec_id", place.cast("long").alias("vector_row"))
+    return numbered_by(table(spark, sf_dir, "embeddings").select("label", "vec_id"), "label", "vec_id", "vector_row")
 
 
 @query("WITH " + SEMANTIC_SQL + "SELECT item_id, doc_id // 4 AS parent_id, arg_min(doc_id, rank) AS span_id, min(rank) AS rank, count(*) AS n_spans FROM semantic GROUP BY ALL")
@@ -130,27 +128,111 @@ def rrf_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(spark, sf_dir).groupBy("item_id", membership.alias("membership")).agg(F.count("*").alias("n"))
 
 
+def ordered(items: str) -> str:
+    """SQL of a list's different items in their order."""
+    return f"list_transform(list_filter(list_zip(range(1, len({items}) + 1), {items}), lambda x: list_position({items}, x[2]) = x[1]), lambda x: x[2])"
+
+
+_STOP_SQL = "list_contains(string_split('{0}', ' '), {{0}})".format(" ".join(STOP_WORDS))
+
+
+def plan_sql(name: str, rows: str, key: str) -> str:
+    """CTEs that state the plan of each row ``key, whole`` of ``rows``: its terms and its state, by the limits."""
+    clean = r"replace(replace(replace(whole, chr(9), ''), chr(10), ''), chr(13), '')"
+    return rf"""
+{name}_scan AS (SELECT {key}, whole, low, regexp_extract_all(low, '{TOKEN}') AS a FROM (SELECT {key}, whole, {LOWER.format("nfc_normalize(whole)")} AS low FROM ({rows}))),
+{name}_kept AS (SELECT *, list_filter(a, lambda w: NOT {_STOP_SQL.format("w")}) AS kept FROM {name}_scan),
+{name}_terms AS (SELECT *, {ordered("kept")} AS terms FROM {name}_kept),
+{name} AS (SELECT {key}, terms, CASE
+  WHEN strlen(whole) > 4096 OR len(list_filter(string_split(trim(regexp_replace(whole, '{WHITE}', ' ', 'g')), ' '), lambda w: w <> '')) > 128 THEN 'resource_limit'
+  WHEN regexp_matches({clean}, '[\p{{Cc}}\p{{Cf}}]') THEN 'unsupported_characters'
+  WHEN strlen(low) > 4096 OR len(a) > 256 OR len(list_filter(a, lambda t: length(t) > 64 OR strlen(t) > 128)) > 0 THEN 'resource_limit'
+  WHEN len(terms) = 0 THEN 'no_terms'
+  WHEN len(terms) > 32 OR strlen(array_to_string(terms, '')) + 6 * len(terms) - 4 > 8192 THEN 'resource_limit' ELSE 'ok' END AS state FROM {name}_terms)
+"""
+
+
+_FORMS = """CASE WHEN NOT regexp_matches(term, '^[a-z][a-z0-9]*$') THEN [] ELSE [CASE WHEN regexp_matches(term, '[b-df-hj-np-tv-xz]y$') THEN substring(term, 1, length(term) - 1) || 'ies' WHEN regexp_matches(term, '(s|x|z|ch|sh)$') THEN term || 'es' ELSE term || 's' END,
+  CASE WHEN term LIKE '%e' THEN term || 'd' WHEN regexp_matches(term, '[b-df-hj-np-tv-xz]y$') THEN substring(term, 1, length(term) - 1) || 'ied' ELSE term || 'ed' END,
+  CASE WHEN term LIKE '%e' AND term NOT LIKE '%ee' THEN substring(term, 1, length(term) - 1) ELSE term END || 'ing'] END"""
+_FAMILIES = ", ".join(f"({k}, '{f}', {calls}, {adds})" for k, (f, (calls, adds)) in enumerate(INTENTS.items()))
+SENTENCES_SQL = "SELECT item_id * 1000 + k - 1 AS query_id, whole FROM (SELECT item_id, unnest(string_split(text, '.')) AS whole, generate_subscripts(string_split(text, '.'), 1) AS k FROM benchmark)"
+BRANCHES_SQL = (
+    plan_sql("plans", SENTENCES_SQL, "query_id")
+    + f""",
+families(no, family, calls, adds) AS (VALUES {_FAMILIES}),
+ok AS (SELECT query_id, terms FROM plans WHERE state = 'ok'),
+forms AS (SELECT query_id, terms, i, {ordered("v")} AS v FROM (SELECT query_id, terms, i, {_FORMS} AS v FROM (SELECT query_id, terms, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS i FROM ok))),
+called AS (SELECT query_id, terms, family, adds, row_number() OVER (PARTITION BY query_id ORDER BY no) - 1 AS i FROM ok, families WHERE list_has_any(terms, calls)),
+pending AS (
+  SELECT query_id, 0 AS o1, 0 AS o2, 0 AS o3, 'base-000' AS branch_id, 'base' AS kind, terms FROM ok
+  UNION ALL SELECT query_id, 1, i, k, 'morphology-' || lpad(i::VARCHAR, 3, '0') || '-' || lpad(k::VARCHAR, 3, '0'), 'morphology', CASE WHEN list_contains(terms, x) OR {_STOP_SQL.format("x")} THEN terms ELSE list_append(terms, x) END
+    FROM (SELECT query_id, terms, i, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS k FROM forms)
+  UNION ALL SELECT query_id, 2, i, 0, 'intent-' || lpad(i::VARCHAR, 3, '0') || '-' || family, 'intent', list_concat(terms, list_filter(adds, lambda w: NOT list_contains(terms, w))) FROM called),
+unique_ AS (SELECT query_id, terms, min((o1, o2, o3)) AS o, arg_min(branch_id, (o1, o2, o3)) AS branch_id, arg_min(kind, (o1, o2, o3)) AS kind, count(*) - 1 AS n_aliases FROM pending GROUP BY query_id, terms),
+sizes AS (SELECT query_id, len(terms) + coalesce((SELECT sum(len(v)) FROM forms f WHERE f.query_id = ok.query_id), 0) + coalesce((SELECT sum(len(adds)) FROM called c WHERE c.query_id = ok.query_id), 0) AS expanded, (SELECT count(*) FROM called c WHERE c.query_id = ok.query_id) AS n_families FROM ok),
+admitted AS (SELECT query_id FROM sizes JOIN (SELECT query_id, count(*) AS n, max(len(terms)) AS longest, max(strlen(array_to_string(terms, '')) + 6 * len(terms) - 4) AS bytes FROM unique_ GROUP BY query_id) USING (query_id)
+  WHERE n_families <= 2 AND expanded <= 64 AND n <= 16 AND longest <= 32 AND bytes <= 8192),
+branches AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY o) - 1)::INT AS place, branch_id, kind, terms, n_aliases FROM unique_ JOIN admitted USING (query_id))
+"""
+)
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("k", "whole"))
+    return each.select((F.col("item_id") * 1000 + F.col("k")).alias("query_id"), "whole")
+
+
+def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = planning.branches(planning.plan(sentences(spark, sf_dir), "query_id", "whole"), "query_id")
+    return found.filter("state = 'ok'").select("query_id", F.explode("branches").alias("b")).select("query_id", "b.*")
+
+
+_TURNS = "SELECT conv_id, turn, coalesce(text, '') AS whole FROM conversations WHERE role = 'user'"
+
+
+@query("WITH " + plan_sql("plans", _TURNS, "conv_id, turn") + "SELECT conv_id, turn, state, array_to_string(terms, ' ') AS terms FROM plans")
+def query_terms_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of every user turn: ordered distinct terms without function words, admitted or rejected by the limits."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("key"), "text")
+    return planning.plan(turns, "key", "text").select("key.*", "state", F.array_join("terms", " ").alias("terms"))
+
+
+@query("WITH " + BRANCHES_SQL + "SELECT query_id, place, branch_id, kind, array_to_string(terms, ' ') AS terms, n_aliases::INT AS n_aliases FROM branches")
+def multi_query_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches of every admitted sentence: base, one per variant of a term, one per intent family; equal ones once."""
+    return _branches(spark, sf_dir).select("query_id", "place", "branch_id", "kind", F.array_join("terms", " ").alias("terms"), F.size("aliases").alias("n_aliases"))
+
+
+@query("WITH " + BRANCHES_SQL + "SELECT CASE WHEN p.state <> 'ok' THEN p.state WHEN a.query_id IS NULL THEN 'resource_limit' ELSE 'ok' END AS state, count(*) AS n FROM plans p LEFT JOIN admitted a USING (query_id) GROUP BY 1")
+def plan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sentences are admitted as multi-queries, and why the others are not."""
+    plans = planning.plan(sentences(spark, sf_dir), "query_id", "whole")
+    final = planning.branches(plans, "query_id").select("query_id", F.col("state").alias("final"))
+    return plans.join(final, "query_id", "left").groupBy(F.coalesce("final", "state").alias("state")).agg(F.count("*").alias("n"))
+
+
 @query(
     "WITH "
-    + LEXICAL_SQL
-    + f""", branches AS (SELECT item_id, 'base' AS branch, term FROM q UNION ALL SELECT item_id, 'plural', term || 's' FROM q WHERE regexp_matches(term, '^[a-z][a-z0-9]*$') AND NOT regexp_matches(term, '(s|x|z|ch|sh|[^aeiou]y)$')),
-    tf2 AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM branches) GROUP BY ALL),
-    idf2 AS (SELECT term, greatest(ln((any_value(s.n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM tf2, s GROUP BY term),
-    sc AS (SELECT item_id, branch, doc_id, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / s.mean))), 9) AS score FROM tf2 JOIN idf2 USING (term) JOIN branches USING (term), s GROUP BY ALL),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY item_id, branch ORDER BY score, doc_id) AS rank FROM sc QUALIFY rank <= {DEPTH}),
-    mg AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)::DOUBLE), 9) AS score, min(rank) AS best_rank, count(*) AS n_branches FROM rk GROUP BY ALL)
-    SELECT item_id, doc_id, score, best_rank::INT AS best_rank, n_branches, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, best_rank, n_branches DESC, doc_id)::INT AS rank FROM mg QUALIFY rank <= {TOP}"""
+    + BRANCHES_SQL
+    + rf""", bt AS (SELECT query_id, place, unnest(terms) AS term FROM branches),
+    d AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS t FROM documents),
+    s AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean FROM d),
+    tf AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM bt) GROUP BY ALL),
+    idf AS (SELECT term, greatest(ln((any_value(s.n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM tf, s GROUP BY term),
+    sc AS (SELECT query_id, place, doc_id, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / s.mean))), 9) AS score FROM tf JOIN idf USING (term) JOIN bt USING (term), s GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, place ORDER BY score, doc_id) AS rank FROM sc QUALIFY rank <= {DEPTH}),
+    mg AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)::DOUBLE), 12) AS score, min(rank) AS best_rank, count(*) AS n_branches, arg_min(place, (rank, place)) AS first_branch FROM rk GROUP BY ALL)
+    SELECT query_id, doc_id, round(score, 9) AS score, best_rank::INT AS best_rank, n_branches, first_branch, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, n_branches DESC, first_branch, doc_id)::INT AS rank FROM mg QUALIFY rank <= {TOP}"""
 )
 def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Branches of each search (its terms; their regular plurals), merged by summed reciprocal ranks."""
-    base = search_terms(spark, sf_dir)
-    regular = F.col("term").rlike("^[a-z][a-z0-9]*$") & ~F.col("term").rlike("(s|x|z|ch|sh|[^aeiou]y)$")
-    plural = base.filter(regular).select("item_id", F.get(variants(F.col("term")), F.lit(0)).alias("term"))
-    branches = base.withColumn("branch", F.lit("base")).unionByName(plural.withColumn("branch", F.lit("plural")))
-    scored = bm25(table(spark, sf_dir, "documents"), branches.select(F.struct("item_id", "branch").alias("q"), "term"), query_key="q")
-    ranked = top_k(scored, "q", [F.col("score"), F.col("doc_id")], DEPTH)
-    merged = ranked.groupBy(F.col("q.item_id").alias("item_id"), "doc_id").agg(F.round(F.sum(1 / (F.lit(60) + F.col("rank"))), 9).alias("score"), F.min("rank").alias("best_rank"), F.count("*").alias("n_branches"))
-    return top_k(merged, "item_id", [F.desc("score"), F.col("best_rank"), F.desc("n_branches"), F.col("doc_id")], TOP)
+    """All branches of every admitted sentence searched and merged by summed reciprocal ranks."""
+    terms = _branches(spark, sf_dir).select(F.struct("query_id", "place").alias("q"), F.explode("terms").alias("term"))
+    ranked = top_k(bm25(table(spark, sf_dir, "documents"), terms, query_key="q"), "q", [F.col("score"), F.col("doc_id")], DEPTH)
+    place = F.col("q.place")
+    merged = ranked.groupBy(F.col("q.query_id").alias("query_id"), "doc_id").agg(F.round(F.sum(1 / (F.lit(60) + F.col("rank"))), 12).alias("score"), F.min("rank").alias("best_rank"), F.count("*").alias("n_branches"), F.min_by(place, F.struct("rank", place)).alias("first_branch"))
+    best = top_k(merged, "query_id", [F.desc("score"), F.col("best_rank"), F.desc("n_branches"), F.col("first_branch"), F.col("doc_id")], TOP)
+    return best.withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -175,17 +257,17 @@ _ADDED = ", ".join(f"('{f}', '{w}')" for f, (_, adds) in INTENTS.items() for w i
     rf"""WITH trig(family, word) AS (VALUES {_TRIGGERS}), added(family, term) AS (VALUES {_ADDED}),
     turns AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS word FROM conversations),
     active AS (SELECT DISTINCT conv_id, turn, family FROM turns JOIN trig USING (word))
-    SELECT conv_id, turn, count(family) AS n_families, string_agg(family, ',' ORDER BY family) AS families, coalesce(sum((SELECT count(*) FROM added a WHERE a.family = x.family)), 0)::BIGINT AS n_added
-    FROM (SELECT c.conv_id, c.turn, a.family FROM conversations c LEFT JOIN active a ON a.conv_id = c.conv_id AND a.turn = c.turn) x GROUP BY conv_id, turn"""
+    SELECT conv_id, turn, count(DISTINCT a.family) AS n_families, string_agg(DISTINCT a.family, ',' ORDER BY a.family) AS families, count(DISTINCT CASE WHEN t.term IS NOT NULL THEN (a.family, t.term) END) AS n_added
+    FROM conversations c LEFT JOIN active a USING (conv_id, turn) LEFT JOIN added t ON t.family = a.family GROUP BY conv_id, turn"""
 )
 def intent_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intent families that each turn's words call, and how many terms they add."""
-    turns = table(spark, sf_dir, "conversations")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), 0)
-    active = F.array_compact(F.array(*(F.when(F.arrays_overlap(words, F.array(*map(F.lit, calls))), F.lit(f)) for f, (calls, _) in sorted(INTENTS.items()))))
-    added = sum((F.when(F.arrays_overlap(words, F.array(*map(F.lit, calls))), len(adds)).otherwise(0) for calls, adds in INTENTS.values()), F.lit(0))
-    found = turns.groupBy("conv_id", "turn").agg(F.max(active).alias("a"), F.max(added).alias("n"))
-    return found.select("conv_id", "turn", F.size("a").cast("long").alias("n_families"), F.when(F.size("a") > 0, F.array_join("a", ",")).alias("families"), F.col("n").cast("long").alias("n_added"))
+    """Intent families that each turn's words call (of repeated turns, those of any), and how many terms they add."""
+    words = tokens(F.col("text"))
+    calls = {f: F.coalesce(F.arrays_overlap(words, planning.literals(c)), F.lit(False)) for f, (c, _) in sorted(INTENTS.items())}
+    found = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(*(F.bool_or(c).alias(f) for f, c in calls.items()))
+    names = F.array_compact(F.array(*(F.when(F.col(f"`{f}`"), F.lit(f)) for f in calls)))
+    added = sum((F.when(F.col(f"`{f}`"), len(INTENTS[f][1])).otherwise(0) for f in calls), F.lit(0))
+    return found.select("conv_id", "turn", F.size(names).cast("long").alias("n_families"), F.when(F.size(names) > 0, F.array_join(names, ",")).alias("families"), added.cast("long").alias("n_added"))
 
 
 @query(
@@ -221,11 +303,56 @@ def positional_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + SEMANTIC_SQL + "," + _LANE + "SELECT item_id, doc_id, rank AS chosen_rank, 'current' AS kind FROM lane WHERE rank <= 7 UNION ALL SELECT item_id, arg_min(doc_id, (slot, rank, doc_id)), arg_min(rank, (slot, rank, doc_id)), 'earliest' FROM aux WHERE place <= 32 GROUP BY item_id UNION ALL SELECT item_id, doc_id, rank, 'current' FROM lane WHERE rank = 8 AND item_id NOT IN (SELECT item_id FROM aux)")
 def guarded_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven current rows and the earliest auxiliary one; eight current ones where there is no auxiliary."""
-    lanes = _lane(spark, sf_dir)
+    lanes = cut(_lane(spark, sf_dir))
+    current = lanes.filter("lane = 'baseline'").select("item_id", "doc_id", F.col("rank").alias("place"), "rank")
+    return _selected(current, lanes).select("item_id", "doc_id", F.col("rank").alias("chosen_rank"), "kind")
+
+
+def _selected(current: DataFrame, lanes: DataFrame) -> DataFrame:
+    """``item_id, doc_id, place, rank, kind``: the first seven by ``place`` and the earliest auxiliary, or the first eight."""
     key = F.struct("slot", "rank", "doc_id")
-    earliest = lanes.filter("lane = 'auxiliary'").groupBy("item_id").agg(F.min_by("doc_id", key).alias("doc_id"), F.min_by("rank", key).alias("chosen_rank"))
-    current = lanes.filter("lane = 'baseline'").join(earliest.select("item_id", F.lit(True).alias("has")), "item_id", "left").filter(F.col("rank") <= F.when(F.col("has"), 7).otherwise(8))
-    return current.select("item_id", "doc_id", F.col("rank").alias("chosen_rank"), F.lit("current").alias("kind")).unionByName(earliest.withColumn("kind", F.lit("earliest")))
+    earliest = lanes.filter("lane = 'auxiliary'").groupBy("item_id").agg(F.min_by("doc_id", key).alias("doc_id"), F.min_by("rank", key).alias("rank"))
+    first = current.join(earliest.select("item_id", F.lit(True).alias("has")), "item_id", "left").filter(F.col("place") <= F.when(F.col("has"), 7).otherwise(8))
+    return first.select("item_id", "doc_id", "place", "rank", F.lit("current").alias("kind")).unionByName(earliest.select("item_id", "doc_id", F.lit(8).alias("place"), "rank", F.lit("earliest").alias("kind")))
+
+
+@query(
+    "WITH RECURSIVE "
+    + LEXICAL_SQL
+    + ","
+    + SEMANTIC_SQL
+    + ","
+    + _LANE
+    + f""", r AS (SELECT s.item_id, s.doc_id, s.rank AS a, coalesce(l.rank, 2147483647) AS b FROM semantic s LEFT JOIN lexical l ON l.item_id = s.item_id AND l.doc_id = s.doc_id WHERE s.rank <= {TOP}),
+    dom AS (SELECT y.item_id, x.doc_id AS hi, y.doc_id AS lo FROM r x JOIN r y ON x.item_id = y.item_id AND x.a <= y.a AND x.b <= y.b AND (x.a < y.a OR x.b < y.b)),
+    depth(item_id, doc_id, layer) AS (SELECT item_id, doc_id, 1 FROM r UNION SELECT d.item_id, d.lo, p.layer + 1 FROM depth p JOIN dom d ON d.item_id = p.item_id AND d.hi = p.doc_id),
+    reranked AS (SELECT item_id, doc_id, a AS rank, row_number() OVER (PARTITION BY item_id ORDER BY layer, a, doc_id)::INT AS place FROM (SELECT item_id, doc_id, max(layer) AS layer FROM depth GROUP BY ALL) JOIN r USING (item_id, doc_id)),
+    early AS (SELECT item_id, arg_min(doc_id, (slot, rank, doc_id)) AS doc_id, arg_min(rank, (slot, rank, doc_id)) AS rank FROM aux WHERE place <= 32 GROUP BY item_id)
+    SELECT item_id, doc_id, place, rank, 'current' AS kind FROM reranked WHERE place <= CASE WHEN item_id IN (SELECT item_id FROM early) THEN 7 ELSE 8 END UNION ALL SELECT item_id, doc_id, 8, rank, 'earliest' FROM early"""
+)
+def rerank_and_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline lane by Pareto layers, its first eight, and the guarded selector over them."""
+    lanes = cut(_lane(spark, sf_dir))
+    baseline = lanes.filter("lane = 'baseline'").select("item_id", "doc_id", F.col("rank").alias("semantic_rank"))
+    ranks = lexical(spark, sf_dir).select("item_id", "doc_id", F.col("rank").alias("lexical_rank"))
+    layers = pareto_layers(baseline.join(ranks, ["item_id", "doc_id"], "left"), "item_id").join(baseline, ["item_id", "doc_id"])
+    reranked = top_k(layers, "item_id", [F.col("layer"), F.col("semantic_rank"), F.col("doc_id")], TOP)
+    return _selected(reranked.select("item_id", "doc_id", F.col("rank").alias("place"), F.col("semantic_rank").alias("rank")), lanes)
+
+
+@query("WITH " + LEXICAL_SQL + f"SELECT item_id, least(count(*), {TOP}) AS n_returned, count(*) > {TOP} AS overflow FROM scored GROUP BY item_id")
+def candidate_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a search has more hits than its limit: one row beyond the limit is read and tells."""
+    read = lexical(spark, sf_dir, TOP + 1).groupBy("item_id").agg(F.count("*").alias("n"))
+    return read.select("item_id", F.least("n", F.lit(TOP)).cast("long").alias("n_returned"), (F.col("n") > TOP).alias("overflow"))
+
+
+@query(f"SELECT vec_id // 50 AS item_id, 1.0::DOUBLE AS recall, true AS same_order FROM embeddings WHERE vec_id % 50 = 0")
+def vector_block_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over two sizes of blocks: recall of one in the other, and whether the order is the same."""
+    one = semantic(spark, sf_dir, TOP).select("item_id", "doc_id", "rank")
+    two = semantic(spark, sf_dir, TOP, block=333).select("item_id", "doc_id", F.col("rank").alias("other"))
+    return one.join(two, ["item_id", "doc_id"], "full_outer").groupBy("item_id").agg((F.count_if(F.col("rank").isNotNull() & F.col("other").isNotNull()) / F.count("rank")).alias("recall"), F.bool_and(F.col("rank").eqNullSafe(F.col("other"))).alias("same_order"))
 
 
 @query(
@@ -245,13 +372,24 @@ def pareto_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_layers(best.join(ranks, ["item_id", "doc_id"], "left"), "item_id")
 
 
-_RELEVANT = "rel AS (SELECT item_id, doc_id FROM benchmark, labels WHERE quality = 1 AND toxic = 0 AND doc_id % 40 = item_id % 40)"
+_WIDTH = 7
+_RELEVANT = f"rel AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(regexp_extract_all(lower(b.text), '{TOKEN}')) >= {_WIDTH + 2})"
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in for judgements: good documents that share the search's remainder by 40."""
-    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id", (F.col("doc_id") % 40).alias("r"))
-    return table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 40).alias("r")).join(good, "r").select("item_id", "doc_id")
+    """Judgements from the data: a document is relevant to a search if it holds the search's whole passage (of nine tokens or more).
+
+    They meet under the passage's second to eighth token, which nothing around
+    the passage can change, and are then compared in full.
+    """
+    window = lambda t, i: F.xxhash64(F.array_join(F.slice(t, i, _WIDTH), " "))
+    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("t")).filter(F.size("t") >= _WIDTH + 2)
+    keyed = passages.select("item_id", "passage", window(F.col("t"), F.lit(2)).alias("key"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    split = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - _WIDTH + 1)), lambda i: window(F.col("t"), i))
+    meets = split.select("doc_id", F.explode_outer(F.array_distinct(windows)).alias("key")).join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
+    return docs.join(meets, "doc_id").join(keyed, "item_id").filter(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
 
 
 @query(
@@ -270,6 +408,35 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking_metrics(lexical(spark, sf_dir), _relevant(spark, sf_dir), "item_id", TOP)
 
 
+@query(
+    "WITH "
+    + LEXICAL_SQL
+    + ","
+    + SEMANTIC_SQL
+    + ","
+    + FUSED_SQL
+    + ","
+    + _RELEVANT
+    + f""", ranked AS (SELECT 'lexical' AS channel, item_id, doc_id, rank FROM lexical UNION ALL SELECT 'semantic', item_id, doc_id, rank FROM semantic UNION ALL SELECT 'fused', item_id, doc_id, fused_rank FROM fused),
+    h AS (SELECT channel, item_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS gain FROM ranked JOIN rel USING (item_id, doc_id) WHERE rank <= {TOP} GROUP BY ALL),
+    n AS (SELECT channel, item_id, n FROM (SELECT item_id, count(*) AS n FROM rel GROUP BY item_id), (SELECT DISTINCT channel FROM ranked))
+    SELECT channel, count(*) AS n_scored, round(avg(coalesce(hits, 0) / n), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(coalesce(gain, 0) / list_sum(list_transform(range(1, least(n, {TOP}) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg
+    FROM n LEFT JOIN h USING (channel, item_id) GROUP BY channel"""
+)
+def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro averages of each channel and their fusion over the searches for which something is relevant."""
+    relevant = _relevant(spark, sf_dir)
+    found = cut(fused(spark, sf_dir))
+    channels = {"lexical": "lexical_rank", "semantic": "semantic_rank", "fused": "fused_rank"}
+    ranked = None
+    for name, rank in channels.items():
+        rows = found.filter(F.col(rank).isNotNull()).select(F.struct(F.lit(name).alias("channel"), "item_id").alias("key"), "doc_id", F.col(rank).alias("rank"))
+        ranked = rows if ranked is None else ranked.union(rows)
+    wanted = relevant.select(F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col("item_id")) for c in channels))).alias("key"), "doc_id")
+    scored = ranking_metrics(ranked, cut(wanted), "key", TOP, places=12).filter("recall IS NOT NULL")
+    return scored.groupBy("key.channel").agg(F.count("*").alias("n_scored"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+
+
 @query(
     "WITH "
     + LEXICAL_SQL

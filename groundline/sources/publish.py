@@ -1,62 +1,80 @@
 """Sinks: staged, checked publication of generations, and the pointer that names the current one.
 
-A generation is written to a folder named by its content, checked there by
-violation queries, and becomes current by one append to the pointer log; a
-reader takes the last pointer, so a job that dies half-way changes nothing.
+A generation is written to a folder named by its key and content, checked there
+by violation queries, and becomes current by one append to the pointer log; a
+reader takes the last pointer, so a job that dies half-way changes nothing. A
+folder is written once: what a reader may hold is never rewritten.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "key string, generation_id string, sequence bigint"
+POINTER = "key string, generation_id string, sequence bigint, snapshot string"
 #: Legal steps of a generation's state. Fixed values.
 STEPS = (("DB_CANDIDATE", "FILES_FINALIZED"), ("DB_CANDIDATE", "STALE"), ("FILES_FINALIZED", "STALE"))
 
 
 def fingerprint(df: DataFrame) -> str:
-    """A digest of a table's rows in any order: the sum of their row hashes, and their number."""
-    row = F.xxhash64(*df.columns).cast("decimal(38,0)")
-    n, total = df.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0).cast("decimal(38,0)"))).first()
-    return df.sparkSession.range(1).select(F.sha2(F.lit(f"{n}:{total}:{','.join(df.columns)}"), 256)).first()[0]
+    """A digest of a table's columns, types and rows in any order: the sums of two halves of their digests, and their number.
+
+    Rows are hashed as JSON with nulls written out, so a null in one column is no null in another.
+    """
+    body = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}), 256)
+    halves = [F.coalesce(F.sum(F.conv(F.substring(body, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")) for at in (1, 16)]
+    n, *sums = df.agg(F.count("*"), *halves).first()
+    return df.sparkSession.range(1).select(F.sha2(F.lit(f"{df.schema.simpleString()}:{n}:{':'.join(map(str, sums))}"), 256)).first()[0]
 
 
-def publish(df: DataFrame, root: str, key: str, checks: dict[str, Callable[[DataFrame], DataFrame]], sequence: int) -> str:
+def publish(df: DataFrame, root: str, key: str, checks: dict[str, Callable[[DataFrame], DataFrame]], sequence: int, *, snapshot: str | None = None) -> str:
     """Writes, checks and publishes a generation; returns its id. The same rows again reuse what is there.
 
     ``checks`` map a name to a function that returns the rows violating it.
+    ``snapshot`` names the state of the source that the rows were made from. A
+    table without rows is a generation like any other.
     """
     spark = df.sparkSession
-    staging = f"{root}/staging/{key}-{sequence}"
-    df.write.mode("overwrite").parquet(staging)
+    staging = f"{root}/staging/{uuid.uuid4().hex}"
+    df.write.parquet(staging)
     staged = spark.read.schema(df.schema).parquet(staging)
     for name, violations in checks.items():
         if violations(staged).limit(1).count():
             raise ValueError(f"generation {key}-{sequence} violates {name}")
-    generation = fingerprint(staged)
-    current = current_generation(spark, root, key)
-    if current == generation:
+    generation = f"{key}-{fingerprint(staged)}"
+    last = pointers(spark, root).filter(F.col("key") == key).first()
+    if last is not None and (last["generation_id"], last["snapshot"]) == (generation, snapshot):
         return generation
-    staged.write.mode("overwrite").parquet(f"{root}/generations/{generation}")
-    pointer = spark.range(1).select(F.lit(key).alias("key"), F.lit(generation).alias("generation_id"), F.lit(sequence).cast("long").alias("sequence"))
+    if _absent(spark, f"{root}/generations/{generation}"):
+        staged.write.mode("ignore").parquet(f"{root}/generations/{generation}")
+    pointer = spark.range(1).select(F.lit(key).alias("key"), F.lit(generation).alias("generation_id"), F.lit(sequence).cast("long").alias("sequence"), F.lit(snapshot).cast("string").alias("snapshot"))
     pointer.write.mode("append").parquet(f"{root}/pointers")
     return generation
 
 
+def _absent(spark: SparkSession, folder: str) -> bool:
+    """Whether a generation's folder lacks the mark of a finished write; a half-written one is removed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")):
+        return False
+    files.delete(path, True)
+    return True
+
+
 def pointers(spark: SparkSession, root: str) -> DataFrame:
     """The last pointer of each key; none before the first publication."""
-    from pyspark.errors import AnalysisException
-
     try:
         log = spark.read.schema(POINTER).parquet(f"{root}/pointers")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         log = spark.createDataFrame([], POINTER)
-    return log.groupBy("key").agg(F.max_by("generation_id", "sequence").alias("generation_id"))
+    return log.groupBy("key").agg(F.max_by("generation_id", "sequence").alias("generation_id"), F.max_by("snapshot", "sequence").alias("snapshot"))
 
 
 def current_generation(spark: SparkSession, root: str, key: str) -> str | None:
@@ -64,9 +82,17 @@ def current_generation(spark: SparkSession, root: str, key: str) -> str | None:
     return row["generation_id"] if row else None
 
 
-def read_current(spark: SparkSession, root: str, key: str) -> DataFrame | None:
-    generation = current_generation(spark, root, key)
-    return None if generation is None else spark.read.parquet(f"{root}/generations/{generation}")
+def read_current(spark: SparkSession, root: str, key: str, *, snapshot: str | None = None) -> DataFrame | None:
+    """The current generation; none if there is none or, where ``snapshot`` is given, if the source has moved on since."""
+    row = pointers(spark, root).filter(F.col("key") == key).first()
+    if row is None or (snapshot is not None and row["snapshot"] != snapshot):
+        return None
+    return spark.read.parquet(f"{root}/generations/{row['generation_id']}")
+
+
+def is_current(spark: SparkSession, root: str, key: str, generation: str, snapshot: str) -> bool:
+    """Whether a generation is still the published one of a source that has not moved on."""
+    return pointers(spark, root).filter((F.col("key") == key) & (F.col("generation_id") == generation) & (F.col("snapshot") == snapshot)).limit(1).count() == 1
 
 
 def insert_absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,6 +100,34 @@ def insert_absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataF
     return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti"))
 
 
+def register(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """``existing`` and the rows of ``new`` that it lacks; a row of ``new`` with a known key and other facts is an error.
+
+    Two rows of ``new`` with one key and other facts are an error, too.
+    """
+    facts = [c for c in existing.columns if c not in keys]
+    both = existing.select(*keys, F.struct(*facts).alias("facts")).union(new.select(*keys, F.struct(*facts).alias("facts")))
+    conflicts = both.distinct().groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    if conflicts.limit(1).count():
+        raise ValueError(f"conflicting rows for {', '.join(keys)}")
+    return insert_absent(new.select(*existing.columns), existing, keys)
+
+
+def create(new: DataFrame, existing: DataFrame, keys: list[str], parents: dict[str, DataFrame]) -> DataFrame:
+    """``existing`` and all rows of ``new``; a key that is there already, or twice, or without its parent is an error.
+
+    ``parents`` map a column of ``new`` to the table (one column) that must have its values.
+    """
+    repeated = new.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
+    if repeated.union(new.select(*keys).join(existing.select(*keys), keys, "left_semi")).limit(1).count():
+        raise ValueError(f"rows with known {', '.join(keys)}")
+    for column, parent in parents.items():
+        known = parent.toDF(column)
+        if new.select(column).filter(F.col(column).isNotNull()).join(known, column, "left_anti").limit(1).count():
+            raise ValueError(f"rows without their {column}")
+    return existing.unionByName(new.select(*existing.columns))
+
+
 def illegal_steps(log: DataFrame) -> DataFrame:
     """Steps ``before, state`` of a log that are not legal."""
     legal = F.array(*(F.struct(F.lit(a).alias("before"), F.lit(b).alias("state")) for a, b in STEPS))

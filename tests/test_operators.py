@@ -1,3 +1,4 @@
+import json
 import random
 import sqlite3
 from fractions import Fraction
@@ -6,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundline.functions.text import collapse, content_id, normalized, query_terms, tokens, variants
-from groundline.operators.evidence import EMPTY_BYTES, bundle_state, entry_json, pack, resolution_code
+from groundline.operators import planning
+from groundline.operators.evidence import EMPTY_BYTES, best_chunks, bundle_state, entry_json, pack, resolution_code
 from groundline.operators.ingest import budget_spans, chunk_cuts, chunks, line_order, offsets, pages
-from groundline.operators.ranking import bm25, cosine, fuse, pareto_layers, ranking_metrics, top_k
+from groundline.operators.ranking import bm25, cosine_best, exact_percentiles, fuse, numbered_by, pareto_layers, ranking_metrics
 
 
 def one(spark, column, **values):
@@ -37,6 +39,7 @@ def test_pages_and_chunks_keep_their_places(spark):
     p = {(r["doc_id"], r["page_index"]): len(r["page_words"]) for r in pages(docs).collect()}
     assert p == {(1, 0): 300, (1, 1): 300, (1, 2): 50, (2, 0): 0, (3, 0): 0, (4, 0): 3}
     by_page = {(r["doc_id"], r["page_index"]): r["page_text"] for r in pages(docs).collect()}
+    assert {c["doc_id"] for c in chunks(pages(docs)).collect()} == {1}  # "the the the" needs another reading
     for c in chunks(pages(docs)).collect():
         assert by_page[c["doc_id"], c["page_index"]][c["start_offset"] : c["end_offset"]] == c["chunk_text"]
     assert spark.createDataFrame([(["a", "bcd", "é"],)], "w array<string>").select(offsets(F.col("w"))).first()[0] == [0, 2, 6]
@@ -118,8 +121,94 @@ def test_pareto_layers_equal_peeling(spark):
 
 def test_cosine_breaks_ties_by_id(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.6, 0.8])], "vec_id long, embedding array<float>")
-    ranked = top_k(cosine(v, v.filter("vec_id = 0")), "query_id", [F.desc("score"), F.col("vec_id")], 3)
-    assert [r["vec_id"] for r in ranked.orderBy("rank").collect()] == [0, 2, 3]
+    for block in (1, 3, 4096):
+        ranked = cosine_best(v, v.filter("vec_id = 0"), 3, block=block)
+        assert [r["vec_id"] for r in ranked.orderBy("rank").collect()] == [0, 2, 3]
+        assert cosine_best(v, v, 9, block=block).count() == 16
+    assert cosine_best(v.filter("vec_id > 9"), v, 3).count() == 0
+
+
+def test_percentiles_interpolate_exactly(spark):
+    rng = random.Random(6)
+    groups = {"one": [3.5], "two": [1.0, 2.0], "equal": [7.0] * 50, "far": [1e300, -1e300, 0.0, 5e-324], "skewed": [rng.expovariate(1) ** 9 for _ in range(700)], "few": [float(rng.randint(0, 3)) for _ in range(101)]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("one", None)], "k string, v double")
+    parts = [0.0, 0.25, 0.5, 0.95, 1.0]
+    want = {r["k"]: r["p"] for r in df.groupBy("k").agg(F.percentile("v", parts).alias("p")).collect()}
+    for most, knots in ((100_000, 256), (10, 8)):
+        got = exact_percentiles(df, "k", "v", parts, most=most, knots=knots).collect()
+        assert len(got) == len(groups) * len(parts)
+        assert all(abs(r["percentile"] - want[r["k"]][parts.index(r["part"])]) <= 1e-9 * abs(want[r["k"]][parts.index(r["part"])]) for r in got)
+
+
+def test_numbers_run_on_over_ranges(spark):
+    rows = [(k, i) for k, n in (("hot", 500), ("b", 3), ("c", 1)) for i in random.Random(1).sample(range(10_000), n)]
+    got = numbered_by(spark.createDataFrame(rows, "k string, i long").repartition(3), "k", "i", "n").collect()
+    for k in "hot", "b", "c":
+        assert [r["n"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["i"])] == list(range(sum(x == k for x, _ in rows)))
+
+
+def test_plans_and_branches_follow_the_limits(spark):
+    cases = {
+        "study of the aim": ("ok", ["study", "aim"]),
+        "of the and": ("no_terms", []),
+        "": ("no_terms", []),
+        "bell\x07": ("unsupported_characters", ["bell"]),
+        "soft\u00adhyphen": ("unsupported_characters", ["soft", "hyphen"]),
+        "tab\tand\nline\r": ("ok", ["tab", "line"]),
+        "x" * 65: ("resource_limit", ["x" * 65]),
+        "é" * 64: ("ok", ["é" * 64]),
+        "日" * 43: ("resource_limit", ["日" * 43]),
+        "a1 " * 129: ("resource_limit", ["a1"]),
+        " ".join(f"t{k}" for k in range(32)): ("ok", [f"t{k}" for k in range(32)]),
+        " ".join(f"t{k}" for k in range(33)): ("resource_limit", [f"t{k}" for k in range(33)]),
+        "word " + " " * 4096: ("resource_limit", ["word"]),
+        "E\u0301te\u0301": ("ok", ["Été"]),
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)] + [(99, None)], "k long, t string")
+    plans = planning.plan(df, "k", "t")
+    got = {r["k"]: (r["state"], r["terms"]) for r in plans.collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values()) and got[99] == ("no_terms", [])
+    found = {r["k"]: r for r in planning.branches(plans, "k").collect()}
+    first = found[0]
+    assert first["state"] == "ok" and [b["kind"] for b in first["branches"]] == ["base"] + ["morphology"] * 6 + ["intent"]
+    assert first["branches"][0]["terms"] == ["study", "aim"] and first["branches"][1]["terms"] == ["study", "aim", "studies"]
+    assert first["branches"][-1]["branch_id"] == "intent-000-research-objective-v1" and first["branches"][-1]["terms"][:4] == ["study", "aim", "objective", "purpose"]
+    assert found[10]["state"] == "resource_limit"  # 32 terms have too many variants
+    same = planning.branches(planning.plan(spark.createDataFrame([(1, "goal goals")], "k long, t string"), "k", "t"), "k").first()["branches"]
+    assert same[0]["aliases"] == ["morphology-000-000"] and all(b["branch_id"] != "morphology-000-000" for b in same)
+
+
+def test_fixture_of_nine_searches_gives_the_published_quality(spark):
+    """Ranks of relevant (r) and other documents in both channels; values of the published evaluation."""
+    searches = [("r", ""), ("", "r"), ("abr", "cr"), ("r", "s"), ("r", "s"), ("x", "x"), ("r", "x"), ("abcr", "rr"), ("." * 10 + "r", "-" * 34 + "r")]
+    relevant = [(0, "r"), (1, "r"), (2, "r"), (3, "r"), (3, "s"), (4, "r"), (4, "s"), (6, "r"), (7, "r"), (8, "r")]
+    number = {}
+    name = lambda c, i: number.setdefault(c if c.isalpha() else c + str(i), len(number))
+
+    def frame(channel):
+        rows = []
+        for q, lists in enumerate(searches):
+            seen = set()
+            for c in lists[channel]:  # a document's best span counts
+                d = name(c, f"{q}-{channel}-{len(seen)}")
+                if d not in seen:
+                    seen.add(d)
+                    rows.append((q, d, len(seen)))
+        return spark.createDataFrame(rows, "q long, doc_id long, rank int")
+
+    lex, sem = frame(0), frame(1)
+    wanted = spark.createDataFrame([(q, name(c, 0)) for q, c in relevant], "q long, doc_id long")
+    fused = fuse(lex, sem, ["q", "doc_id"]).select("q", "doc_id", F.col("fused_rank").alias("rank"))
+    for ranked, want in ((lex, (0.625, 0.572917, 0.519621)), (sem, (0.5, 0.5625, 0.482153)), (fused, (1.0, 1.0, 1.0))):
+        got = ranking_metrics(ranked, wanted, "q", 10, places=12).agg(F.avg("recall"), F.avg("reciprocal_rank"), F.avg("ndcg")).first()
+        assert tuple(round(x, 6) for x in got) == want
+
+
+def test_best_chunk_of_a_hit(spark):
+    hits = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "q long, doc_id long, rank int")
+    chunk_rows = spark.createDataFrame([(7, 0, 0, "red"), (7, 0, 1, "red green"), (7, 1, 0, "green red"), (9, 0, 0, "red")], "doc_id long, page_index int, ordinal int, chunk_text string")
+    terms = spark.createDataFrame([(1, ["red", "green"])], "q long, terms array<string>")
+    assert [tuple(r) for r in best_chunks(hits, chunk_rows, terms, "q").collect()] == [(1, 7, 1, 0, 1, "red green")]
 
 
 def test_metrics_by_hand(spark):
@@ -133,7 +222,7 @@ def test_metrics_by_hand(spark):
 def slow_pack(rows, max_bytes, max_entries):
     used, n, out = EMPTY_BYTES, 0, []
     for rank, doc, text in sorted(rows):
-        body = '{"doc":%d,"label":"E%d","text":"%s"}' % (doc, n + 1, text.replace("\\", "\\\\").replace('"', '\\"'))
+        body = json.dumps({"doc": doc, "label": f"E{n + 1}", "text": text}, ensure_ascii=False, separators=(",", ":"))
         size = len(body.encode()) + (n > 0)
         if n >= max_entries:
             out.append((doc, rank, None, "entry_limit"))
@@ -147,7 +236,7 @@ def slow_pack(rows, max_bytes, max_entries):
 
 def test_packing_passes_over_what_does_not_fit(spark):
     rng = random.Random(8)
-    rows = [(q, r, 100 * q + r, rng.choice(['say "é"', "back\\slash", ""]) * rng.randint(0, 30)) for q in range(5) for r in range(1, 25)]
+    rows = [(q, r, 100 * q + r, rng.choice(['say "é"', "back\\slash", "tab\tline\n\x01", ""]) * rng.randint(0, 30)) for q in range(5) for r in range(1, 25)]
     got = pack(spark.createDataFrame(rows, "q long, rank int, doc_id long, text string"), "q", max_bytes=700, max_entries=5).collect()
     for q in range(5):
         assert sorted((tuple(r)[1:] for r in got if r["q"] == q), key=lambda r: r[1]) == slow_pack([r[1:] for r in rows if r[0] == q], 700, 5)
@@ -158,9 +247,22 @@ def test_states_and_codes(spark):
     assert one(spark, bundle_state(F.col("a"), F.col("b")), a=0, b=2) == "budget_too_small"
     assert one(spark, bundle_state(F.col("a"), F.col("b")), a=1, b=2) == "partial"
     assert one(spark, bundle_state(F.col("a"), F.col("b")), a=2, b=2) == "ready"
-    code = lambda *v: one(spark, resolution_code(*(F.lit(x) for x in v)))
-    assert [code(False, True, 0, 1, 5, True), code(True, True, 0, 1, 5, False), code(True, True, 3, 6, 5, True), code(True, False, 0, 5, 5, True), code(True, True, 0, 5, 5, True)] == ["missing", "superseded", "range", "digest", "ok"]
-    assert one(spark, entry_json(F.lit("E1"), F.lit(3), F.lit('a"b'))) == '{"doc":3,"label":"E1","text":"a\\"b"}'
+    row = spark.createDataFrame([(True, None)], "yes boolean, unknown boolean")
+    failed = lambda **c: row.select(resolution_code({k: F.col(v) for k, v in c.items()})).first()[0]
+    assert failed(ANCHOR_MISMATCH="yes", RANGE_MISMATCH="yes") == "RANGE_MISMATCH"
+    assert failed(ANCHOR_MISMATCH="yes", RANGE_MISMATCH="unknown") == "ANCHOR_MISMATCH" and failed(INVALID_ORDER="unknown") == "ok"
+    with pytest.raises(ValueError):
+        resolution_code({"NO_SUCH_CODE": F.lit(True)})
+    assert json.loads(one(spark, entry_json(F.lit("E1"), F.lit(3), F.lit('a"b\t\x01')))) == {"doc": 3, "label": "E1", "text": 'a"b\t\x01'}
+
+
+def test_units_go_in_together_or_not_at_all(spark):
+    rows = [(1, 1, 11, 1, "a" * 40), (1, 2, 12, 1, "b" * 40), (1, 3, 13, 3, "c" * 400), (1, 4, 14, 3, "d"), (1, 5, 15, 5, "e" * 30)]
+    df = spark.createDataFrame(rows, "q long, rank int, doc_id long, unit int, text string")
+    got = [(r["doc_id"], r["label"], r["disposition"]) for r in pack(df, "q", max_bytes=400, max_entries=3, unit="unit").orderBy("rank").collect()]
+    assert got == [(11, "E1", "packed"), (12, "E2", "packed"), (13, None, "entry_limit"), (14, None, "entry_limit"), (15, "E3", "packed")]
+    got = [r["disposition"] for r in pack(df, "q", max_bytes=400, max_entries=9, unit="unit").orderBy("rank").collect()]
+    assert got == ["packed", "packed", "byte_limit", "byte_limit", "packed"]
 
 
 def test_tokens_by_letter_number_mark(spark):

@@ -46,9 +46,13 @@ def test_entry_points(spark, sf_dir):
     assert set(registry.queries()) <= set(__spark_entry__.queries())
 
 
-def test_embeddings_are_unit_vectors(spark, sf_dir):
-    for row in registry.queries()["embed_batch_udf"](spark, sf_dir).limit(50).collect():
-        assert abs(sum(x * x for x in row["embedding"]) - 1) < 1e-5
+def test_texts_are_cut_and_tokenised_once(spark, sf_dir):
+    plan = lambda name: registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for name in ("chunks_greedy", "anchors_overlap", "word_offsets"):
+        found = plan(name)
+        assert "Exchange" not in found, name  # no text, page or word is shuffled
+        assert found.count("Scan parquet") == 1, name
+    assert plan("source_snapshot").count("Scan parquet") == 1
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from groundline.sources.publish import current_generation, illegal_steps, insert_absent, publish, read_current
+from groundline.sources.publish import create, current_generation, fingerprint, illegal_steps, insert_absent, is_current, publish, read_current, register
 from groundline.sources.tables import admit_vectors, binary_files, inventory_violations, strict_json
 from groundline.streaming.publications import current_pointers, distinct_publications, keep_pointers, read_log, windowed_counts
 
@@ -21,6 +21,56 @@ def test_publication_is_checked_and_idempotent(spark, tmp_path):
     assert second != first and read_current(spark, root, "k").collect()[0]["v"] == 5
 
 
+def test_fingerprints_tell_nulls_types_and_columns_apart(spark):
+    rows = [([(1, None)], "a int, b int"), ([(None, 1)], "a int, b int"), ([(1, None)], "a long, b int"), ([(1, None)], "b int, a int"), ([], "a int, b int"), ([(1, None)] * 2, "a int, b int"), ([("1", None)], "a string, b int")]
+    assert len({fingerprint(spark.createDataFrame(r, s)) for r, s in rows}) == len(rows)
+    mixed = spark.createDataFrame([(k, k % 3) for k in range(50)], "a int, b int")
+    assert fingerprint(mixed) == fingerprint(mixed.repartition(7).orderBy("b"))
+
+
+def test_folders_are_written_once(spark, tmp_path):
+    root = str(tmp_path / "store")
+    a, b = spark.createDataFrame([(1,)], "v int"), spark.createDataFrame([(2,)], "v int")
+    first = publish(a, root, "k", {}, 1)
+    held = read_current(spark, root, "k")
+    files = sorted(p.name for p in (tmp_path / f"store/generations/{first}").iterdir())
+    assert publish(b, root, "k", {}, 2) != first
+    assert publish(a, root, "k", {}, 3) == first and current_generation(spark, root, "k") == first
+    assert sorted(p.name for p in (tmp_path / f"store/generations/{first}").iterdir()) == files
+    other = publish(a, root, "other", {}, 1)
+    assert other != first and held.collect()[0]["v"] == 1
+    none = publish(a.limit(0), root, "k", {}, 4)
+    assert none != first and read_current(spark, root, "k").count() == 0
+
+
+def test_reads_stop_when_the_source_has_moved(spark, tmp_path):
+    root = str(tmp_path / "store")
+    g = publish(spark.createDataFrame([(1,)], "v int"), root, "k", {}, 1, snapshot="s1")
+    assert read_current(spark, root, "k", snapshot="s1").count() == 1 and read_current(spark, root, "k", snapshot="s2") is None
+    assert is_current(spark, root, "k", g, "s1") and not is_current(spark, root, "k", g, "s2")
+    assert publish(spark.createDataFrame([(1,)], "v int"), root, "k", {}, 2, snapshot="s2") == g
+    assert is_current(spark, root, "k", g, "s2") and not is_current(spark, root, "k", g, "s1")
+
+
+def test_registered_facts_do_not_change(spark):
+    old = spark.createDataFrame([("p", 384, None)], "profile string, dim int, note string")
+    same = spark.createDataFrame([("p", 384, None), ("q", 768, "x"), ("q", 768, "x")], "profile string, dim int, note string")
+    assert sorted(r["profile"] for r in register(same, old, ["profile"]).collect()) == ["p", "q"]
+    for rows in ([("p", 385, None)], [("q", 1, None), ("q", 2, None)], [("p", 384, "now")]):
+        with pytest.raises(ValueError, match="conflicting"):
+            register(spark.createDataFrame(rows, "profile string, dim int, note string"), old, ["profile"])
+
+
+def test_created_rows_need_new_keys_and_parents(spark):
+    projects = spark.createDataFrame([("a",)], "project string")
+    papers = spark.createDataFrame([("x", "a")], "paper string, project string")
+    new = lambda *rows: spark.createDataFrame(rows, "paper string, project string")
+    assert create(new(("y", "a"), ("z", None)), papers, ["paper"], {"project": projects}).count() == 3
+    for rows, why in (([("x", "a")], "known"), ([("y", "a"), ("y", "a")], "known"), ([("y", "b")], "without")):
+        with pytest.raises(ValueError, match=why):
+            create(new(*rows), papers, ["paper"], {"project": projects})
+
+
 def test_insert_absent_and_steps(spark):
     old = spark.createDataFrame([("p", "a", 1)], "paper string, sha string, n int")
     new = spark.createDataFrame([("p", "a", 2), ("p", "b", 3), ("p", "b", 3)], "paper string, sha string, n int")
