@@ -22,6 +22,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared checkpoint folder and cuts its lineage."""
+    """Materialises ``df`` in the shared checkpoint folder and cuts its lineage.
+
+    Spark removes the shuffle files of a table that was cut before when the
+    driver's collector finds its plan unreachable. Asking for a collection first
+    keeps the disk, and the driver's memory, to what is still in use.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
