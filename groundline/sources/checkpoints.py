@@ -21,13 +21,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+#: While a table is cut, Spark removes the shuffle files behind it at the end, and infers no constraints,
+#: which the table would pass on: from one round of a loop to the next they would grow without bound.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.constraintPropagation.enabled": "false"}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder and cuts its lineage.
 
-    Spark removes the shuffle files of a table that was cut before when the
-    driver's collector finds its plan unreachable. Asking for a collection first
-    keeps the disk, and the driver's memory, to what is still in use.
+    Nothing reads the shuffle files behind it any more, so they are removed at
+    once: the disk holds what is in use, not what was.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = {key: spark.conf.get(key) for key in _SETTINGS}
+    for key, value in _SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
