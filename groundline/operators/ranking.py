@@ -33,6 +33,11 @@ def bm25(documents: DataFrame, queries: DataFrame, *, query_key: str, eligible:
     Every text is tokenised once: what is kept are its length, under an empty
     term, and its occurrences of the queries' terms, counted.
     """
+    return bm25_sums(documents, queries, query_key=query_key, eligible=eligible).select(query_key, "doc_id", F.round(-F.col("sum"), 9).alias("score"))
+
+
+def bm25_sums(documents: DataFrame, queries: DataFrame, *, query_key: str, eligible: Column | None = None) -> DataFrame:
+    """``query_key, doc_id, sum``: the scores of ``bm25`` before their sign and rounding, so that sums over parts of a query can be added."""
     docs = documents.select("doc_id", (F.lit(True) if eligible is None else eligible).alias("eligible"), tokens(F.coalesce("text", F.lit(""))).alias("t"))
     vocabulary = queries.select("term").filter("term <> ''").distinct()
     vocabulary = vocabulary.union(documents.sparkSession.range(1).select(F.lit("").alias("term")))
@@ -46,7 +51,7 @@ def bm25(documents: DataFrame, queries: DataFrame, *, query_key: str, eligible:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    return tf.filter("eligible").join(idf, "term").join(queries, "term").groupBy(query_key, "doc_id").agg(F.round(-F.sum(part), 9).alias("score"))
+    return tf.filter("eligible").join(idf, "term").join(queries, "term").groupBy(query_key, "doc_id").agg(F.sum(part).alias("sum"))
 
 
 def dot(a: Column, b: Column) -> Column:

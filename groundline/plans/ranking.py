@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from groundline.functions.text import INTENTS, STOP_WORDS, TOKEN, WHITE, query_terms, tokens, variants
 from groundline.operators import planning
-from groundline.operators.ranking import bm25, cosine_best, dot, fuse, numbered_by, pareto_layers, ranking_metrics, top_k
+from groundline.operators.ranking import bm25, bm25_sums, cosine_best, dot, fuse, numbered_by, pareto_layers, ranking_metrics, top_k
 from groundline.plans.registry import query
 from groundline.sources.checkpoints import cut
 from groundline.sources.tables import table
@@ -226,9 +226,24 @@ def plan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, doc_id, round(score, 9) AS score, best_rank::INT AS best_rank, n_branches, first_branch, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, n_branches DESC, first_branch, doc_id)::INT AS rank FROM mg QUALIFY rank <= {TOP}"""
 )
 def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All branches of every admitted sentence searched and merged by summed reciprocal ranks."""
-    terms = _branches(spark, sf_dir).select(F.struct("query_id", "place").alias("q"), F.explode("terms").alias("term"))
-    ranked = top_k(bm25(table(spark, sf_dir, "documents"), terms, query_key="q"), "q", [F.col("score"), F.col("doc_id")], DEPTH)
+    """All branches of every admitted sentence searched and merged by summed reciprocal ranks.
+
+    A branch adds terms to its base, and terms only better a score. So its first
+    documents are among those that have an added term and the base's first ones:
+    the base is scored once, and the rest of each branch by its added terms.
+    """
+    each = cut(_branches(spark, sf_dir).select("query_id", "place", "terms"))
+    base = each.filter("place = 0").select("query_id", F.col("terms").alias("base"))
+    added = each.filter("place > 0").join(base, "query_id").select("query_id", "place", F.array_except("terms", "base").alias("terms"))
+    parts = each.filter("place = 0").union(added).select(F.struct("query_id", "place").alias("q"), F.explode("terms").alias("term"))
+    sums = cut(bm25_sums(table(spark, sf_dir, "documents"), parts, query_key="q").select("q.*", "doc_id", "sum"))
+    whole = sums.filter("place = 0").select("query_id", "doc_id", F.col("sum").alias("base"))
+    more = sums.filter("place > 0").join(whole, ["query_id", "doc_id"], "left").select("query_id", "place", "doc_id", (F.col("sum") + F.coalesce("base", F.lit(0.0))).alias("sum"))
+    order = [F.round(-F.col("sum"), 9), F.col("doc_id")]
+    first = top_k(whole.withColumnRenamed("base", "sum"), "query_id", order, DEPTH).drop("rank")
+    rest = added.select("query_id", "place").join(first, "query_id").join(more.select("query_id", "place", "doc_id"), ["query_id", "place", "doc_id"], "left_anti")
+    scored = first.withColumn("place", F.lit(0)).unionByName(more).unionByName(rest).select(F.struct("query_id", "place").alias("q"), "doc_id", "sum")
+    ranked = top_k(scored, "q", order, DEPTH)
     place = F.col("q.place")
     merged = ranked.groupBy(F.col("q.query_id").alias("query_id"), "doc_id").agg(F.round(F.sum(1 / (F.lit(60) + F.col("rank"))), 12).alias("score"), F.min("rank").alias("best_rank"), F.count("*").alias("n_branches"), F.min_by(place, F.struct("rank", place)).alias("first_branch"))
     best = top_k(merged, "query_id", [F.desc("score"), F.col("best_rank"), F.desc("n_branches"), F.col("first_branch"), F.col("doc_id")], TOP)
