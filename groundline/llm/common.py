@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -10,6 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundline.sources.checkpoints import cut, ensure_checkpoint_dir  # noqa: F401  (shared with the rest of this subpackage)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once.
 
@@ -30,26 +32,6 @@ def ascii_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), " "), "")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder: the one that the cluster names in spark.checkpoint.dir, or that was set on the context.
-
-    Where there is none, a local master gets a temporary folder; on a cluster
-    executors could not share it, so that is an error.
-    """
-    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="groundline-checkpoint-"))
-    return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared checkpoint folder and cuts its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _scanned(documents: DataFrame) -> bool:
     """Whether every row is one row of a file: a plain scan, with columns and rows left out at most."""
     plan = documents._jdf.queryExecution().analyzed()
@@ -103,21 +85,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Labels the nodes of an undirected graph with the smallest node they reach.
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type. Returns
-    ``node, label``, one row per node that has an edge. Each round lowers every
-    label to the least among the neighbours and then follows the label's own
-    label, so the number of rounds grows with the logarithm of the diameter; the
-    last round is the first that lowers nothing.
-    Rounds are checkpointed, so a lost executor costs one round at most.
+    ``node, label``, one row per node that has an edge. In each round nodes are
+    ordered by a hash that is new in every round; each is hooked to the least of
+    itself and its neighbours, and on to where that one goes, and the edges are
+    contracted. Whatever the graph looks like, only a part of the nodes is
+    expected to be left, so the rounds grow with the logarithm of the largest
+    component. They are checkpointed: a lost executor costs one round at most.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = cut(labels)
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
-        changed = new.filter("was <> label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    live = cut(edges.filter("a <> b").select(*pair).distinct())
+    steps = []
+    while not steps or live.limit(1).count():
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("v"))
+        near = live.select(F.col("a").alias("node"), F.col("b").alias("other")).union(live.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        hook = near.groupBy("node").agg(F.min(order("other")).alias("m")).select("node", F.least("m", order("node"))["v"].alias("to"))
+        step = cut(hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "label"))
+        moved = live.join(step.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        live = cut(moved.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").select(*pair).distinct())
+        steps.append(step)
+    found = steps[0]
+    for step in steps[1:]:
+        further = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        found = found.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    found = cut(found.withColumnRenamed("label", "place"))
+    # The node where a component has ended up stands for its least one.
+    return cut(found.join(found.groupBy("place").agg(F.min("node").alias("label")), "place").select("node", "label"))

@@ -62,9 +62,12 @@ def test_far_candidates_are_rejected(spark):
 
 
 def test_components_of_a_long_path_and_a_hub(spark):
-    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 500)] + [(7, 7)]
+    names = random.Random(5).sample(range(10_000, 20_000), 2000)  # a path whose ids go up and down
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 500)] + [(7, 7)] + list(zip(names, names[1:]))
     label = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(label[i] == 0 for i in range(301)) and all(label[1000 + i] == 1000 for i in range(500))
+    assert {label[x] for x in names} == {min(names)} and len(label) == 301 + 500 + 2000
+    assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
 def test_empty_table_and_bad_distance(empty):
