@@ -96,6 +96,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     live = cut(edges.filter("a <> b").select(*pair).distinct())
     steps = []
     while not steps or live.limit(1).count():
+        # The tables that past rounds have broadcast are dropped when the driver's collector finds them.
+        edges.sparkSession.sparkContext._jvm.System.gc()
         order = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("v"))
         near = live.select(F.col("a").alias("node"), F.col("b").alias("other")).union(live.select(F.col("b").alias("node"), F.col("a").alias("other")))
         hook = near.groupBy("node").agg(F.min(order("other")).alias("m")).select("node", F.least("m", order("node"))["v"].alias("to"))
