@@ -69,3 +69,25 @@ SELECT doc_id, n_words, len(spots) AS n_base, list_min(spots) AS first_word, lis
   array_to_string(list_sort(list_distinct(list_concat(base.labels, coalesce(best.labels, []::VARCHAR[])))), ',') AS labels, CASE WHEN len(base.labels) > 0 THEN 1.0::DOUBLE ELSE coalesce(round(c, 6), 0)::DOUBLE END AS score
 FROM base LEFT JOIN best USING (doc_id)
 """
+
+
+#: Every order applied to the counts of every mask; the Shapley sums are taken over the orders themselves.
+FILTER_AUDIT = r"""
+WITH RECURSIVE letters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(filter_order, step, f, bit, before) AS (
+  SELECT f, 1, f, bit, 0 FROM letters
+  UNION ALL SELECT o.filter_order || l.f, o.step + 1, l.f, l.bit, o.before + o.bit FROM orders o JOIN letters l ON NOT contains(o.filter_order, l.f)),
+whole AS (SELECT w.filter_order, p.step, p.f, p.bit, p.before FROM orders w JOIN orders p ON starts_with(w.filter_order, p.filter_order) WHERE w.step = 5),
+texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+copies AS (SELECT *, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS copy FROM texts),
+masks AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN copy THEN 16 ELSE 0 END AS mask FROM copies),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+counts AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM masks LEFT JOIN known USING (doc_id) GROUP BY ALL),
+steps AS (SELECT part, filter_order, step, f, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, whole GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM steps
+"""
