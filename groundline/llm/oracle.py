@@ -91,3 +91,16 @@ steps AS (SELECT part, filter_order, step, f, sum(CASE WHEN mask & (before | bit
 SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
   (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM steps
 """
+
+#: Every document that holds a term of an item is scored for it.
+LEXICAL_SEARCH = r"""
+WITH d AS (SELECT row_number() OVER () AS n_row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+q AS (SELECT item_id, term, count(*) AS asked FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+sizes AS (SELECT n_row, doc_id, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+tf AS (SELECT n_row, term, count(*)::BIGINT AS tf FROM (SELECT n_row, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, totals GROUP BY term),
+norms AS (SELECT n_row, doc_id, 100 - 75 + (75 * n * n_docs) // n_terms AS m FROM sizes, totals),
+scores AS (SELECT item_id, n_row, doc_id, sum(asked * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN tf USING (term) JOIN weights USING (term) JOIN norms USING (n_row) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""

@@ -14,6 +14,7 @@ from .chunk_encode import encode_documents
 from .exact_dedup import exact_duplicates
 from .filter_audit import audit_filters
 from .language_id import held_out, identify
+from .lexical_search import search
 from .license_scan import scan_licenses
 from .mixing import mix
 from .quality import quality_scores
@@ -76,15 +77,20 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes in every order of applying them, and its Shapley value, by language."""
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_simhash_near_dedup, op3_language_id, op4_exact_dedup, op5_url_filters, op6_token_counts, op7_suffix_array_dedup, op8_bpe_encoding, op9_license_scans, op10_temperature_mixing, op13_filter_audit)
+    found = (op1_quality_rules, op2_simhash_near_dedup, op3_language_id, op4_exact_dedup, op5_url_filters, op6_token_counts, op7_suffix_array_dedup, op8_bpe_encoding, op9_license_scans, op10_temperature_mixing, op12_lexical_search, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": oracle.EXACT_DEDUP, "op5_url_filters": oracle.url_filters(), "op9_license_scans": oracle.license_scans(), "op13_filter_audit": oracle.FILTER_AUDIT}
+    return {"op4_exact_dedup": oracle.EXACT_DEDUP, "op5_url_filters": oracle.url_filters(), "op9_license_scans": oracle.license_scans(), "op12_lexical_search": oracle.LEXICAL_SEARCH, "op13_filter_audit": oracle.FILTER_AUDIT}
