@@ -21,6 +21,7 @@ from .quality import quality_scores
 from .repeats import remove_repeats
 from .simhash import hex_fingerprint, near_duplicates
 from .token_count import count_tokens
+from .toxicity import toxicity
 from .url_filter import judge_urls
 
 
@@ -77,6 +78,13 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity(docs, docs.filter(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -88,7 +96,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_simhash_near_dedup, op3_language_id, op4_exact_dedup, op5_url_filters, op6_token_counts, op7_suffix_array_dedup, op8_bpe_encoding, op9_license_scans, op10_temperature_mixing, op12_lexical_search, op13_filter_audit)
+    found = (op1_quality_rules, op2_simhash_near_dedup, op3_language_id, op4_exact_dedup, op5_url_filters, op6_token_counts, op7_suffix_array_dedup, op8_bpe_encoding, op9_license_scans, op10_temperature_mixing, op11_toxicity, op12_lexical_search, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
