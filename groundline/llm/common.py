@@ -60,8 +60,8 @@ def numbered(documents: DataFrame, name: str = "row") -> DataFrame:
     return cut(documents.select(*(F.col(f"`{c}`") for c in documents.columns if c != name), F.monotonically_increasing_id().alias(name)))
 
 
-def most_frequent(counts: DataFrame, most: int) -> np.ndarray:
-    """The keys of ``counts`` (``key, n``) with the greatest n, ``most`` or fewer, sorted.
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of ``counts`` (``key, n``) with the greatest n, ``most`` or fewer, sorted by key; and their n.
 
     Keys with equal n are all in or all out, so that nothing has to be sorted on the driver.
     """
@@ -73,8 +73,11 @@ def most_frequent(counts: DataFrame, most: int) -> np.ndarray:
             break
         least, taken = n, taken + keys
     if least is None:
-        return np.zeros(0, dtype=np.int64)
-    return np.sort(counts.filter(F.col("n") >= least).select("key").toArrow().column("key").to_numpy())
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    found = counts.filter(F.col("n") >= least).select("key", "n").toArrow()
+    keys, n = found.column("key").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,30 +88,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Labels the nodes of an undirected graph with the smallest node they reach.
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type. Returns
-    ``node, label``, one row per node that has an edge. In each round nodes are
-    ordered by a hash that is new in every round; each is hooked to the least of
-    itself and its neighbours, and on to where that one goes, and the edges are
-    contracted. Whatever the graph looks like, only a part of the nodes is
-    expected to be left, so the rounds grow with the logarithm of the largest
-    component. They are checkpointed: a lost executor costs one round at most.
+    ``node, label``, one row per node that has an edge to another. Every edge
+    carries the places where its ends are now. In each round places are ordered
+    by a hash that is new in every round; each is hooked to the least of itself
+    and its neighbours, and on to where that one goes, and the edges move along.
+    Whatever the graph looks like, only a part of the places is expected to be
+    left, so the rounds grow with the logarithm of the largest component. A
+    round is one query; its table is checkpointed and replaces the last one's,
+    so a lost executor costs one round at most.
     """
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    live = cut(edges.filter("a <> b").select(*pair).distinct())
-    steps = []
-    while not steps or live.limit(1).count():
-        # The tables that past rounds have broadcast are dropped when the driver's collector finds them.
-        edges.sparkSession.sparkContext._jvm.System.gc()
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("v"))
-        near = live.select(F.col("a").alias("node"), F.col("b").alias("other")).union(live.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        hook = near.groupBy("node").agg(F.min(order("other")).alias("m")).select("node", F.least("m", order("node"))["v"].alias("to"))
-        step = cut(hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "label"))
-        moved = live.join(step.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-        live = cut(moved.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").select(*pair).distinct())
-        steps.append(step)
-    found = steps[0]
-    for step in steps[1:]:
-        further = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        found = found.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
-    found = cut(found.withColumnRenamed("label", "place"))
-    # The node where a component has ended up stands for its least one.
-    return cut(found.join(found.groupBy("place").agg(F.min("node").alias("label")), "place").select("node", "label"))
+    live = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")))
+    rounds = 0
+    while not live.filter("x <> y").isEmpty():
+        order = lambda c, k=rounds: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("v"))
+        ends = live.filter("x <> y").select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("other")), F.struct(F.col("y").alias("node"), F.col("x").alias("other")))).alias("e")).select("e.*")
+        hook = ends.groupBy("node").agg(F.min(order("other")).alias("m")).select("node", F.least("m", order("node"))["v"].alias("to"))
+        moves = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("on")), "to").select("node", "on")
+        for end in ("x", "y"):
+            # A place without a move is settled.
+            live = live.join(moves.select(F.col("node").alias(end), F.col("on").alias(f"{end}_on")), end, "left").withColumn(end, F.coalesce(f"{end}_on", end)).drop(f"{end}_on")
+        live = cut(live.select("a", "b", "x", "y"))
+        rounds += 1
+    # The ends of an edge are at one place now; it stands for the least node there.
+    found = live.select(F.explode(F.array("a", "b")).alias("node"), F.col("x").alias("place")).distinct()
+    least = live.groupBy(F.col("x").alias("place")).agg(F.min(F.least("a", "b")).alias("label"))
+    return cut(found.join(least, "place").select("node", "label"))

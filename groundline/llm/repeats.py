@@ -305,7 +305,7 @@ def _frequent_samples(docs: DataFrame, span: int, gram: int, one_in: int, times:
     """
     part = docs.filter(F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0)
     counts = part.mapInArrow(_run_tuples(span, gram, 1 << 19, 400_000), _TUPLE).filter("size > 0").groupBy(F.col("k").alias("key")).agg(F.count("*").alias("n")).filter(F.col("n") >= times)
-    return most_frequent(counts, most).view(np.uint64)
+    return most_frequent(counts, most)[0].view(np.uint64)
 
 
 def removed_intervals(docs: DataFrame, span: int, gram: int, one_in: int = 64, times: int = 64) -> DataFrame:
