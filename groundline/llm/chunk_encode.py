@@ -228,15 +228,19 @@ def load_byte_bpe(path: str):
     return tokenizer
 
 
-_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
+def _encoder(path: str, mean_chunk: int) -> ChunkEncoder:
+    """The encoder of this Python worker, which keeps what it has learned from one task to the next.
 
+    This package travels to the workers by value, so its own globals are new in
+    every task; the tokenizer library's module lives as long as the worker.
+    """
+    import tokenizers
 
-def _encoder(path: str, mean_chunk: int) -> ChunkEncoder:
-    """The encoder of this Python worker, which keeps what it has learned from one task to the next."""
-    if (path, mean_chunk) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, mean_chunk] = ChunkEncoder(load_byte_bpe(path), mean_chunk)
-    return _ENCODERS[path, mean_chunk]
+    kept = vars(tokenizers).setdefault("_kept_chunk_encoders", {})
+    if (path, mean_chunk) not in kept:
+        kept.clear()
+        kept[path, mean_chunk] = ChunkEncoder(load_byte_bpe(path), mean_chunk)
+    return kept[path, mean_chunk]
 
 
 def encode_documents(documents: DataFrame, tokenizer_path: str, *, mean_chunk: int = 512, batch_bytes: int = 2 << 20, with_ids: bool = False) -> DataFrame:

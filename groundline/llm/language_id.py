@@ -9,9 +9,10 @@ frozen after training, so the code length of a whole text is exact and is a
 sum over its bytes. The language with the shortest code wins.
 
 Training takes a bounded sample of labelled rows (``per_cell`` documents in
-each of 64 hash cells per language, each whole, for the ``max_langs`` languages
-with the most rows); its counts are summed by Spark, and the ``max_grams`` most
-frequent of each language are small enough to be sent to the workers. Every
+each of 64 hash cells per language, each whole); its counts are summed by
+Spark. Every language is learned, with all its runs. Languages are dealt into
+groups whose tables have at most ``max_cells`` numbers, so no matter how many
+there are, the driver and a worker hold one group's tables at a time. Every
 text is scored whole. Code lengths are exact but for the rounding of floats.
 """
 
@@ -27,6 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import cut
+from .repeats import _among
+
 CELLS = 64
 
 
@@ -123,6 +127,12 @@ class PpmModel:
             total += self.bits(grams(x[at : at + block + self.order], self.order + 1), self.order + 1).sum(axis=0, dtype=np.float64)
         return total
 
+    def best(self, data: bytes) -> tuple[float, str, float]:
+        """Bits and name of the shortest code, and the sum of all languages' probabilities in units of that one's."""
+        length = self.code_length(data)
+        best = int(np.argmin(length))
+        return float(length[best]), self.langs[best], float(np.exp2(np.maximum(length[best] - length, -1000.0)).sum())
+
     def predict(self, data: bytes) -> tuple[str, float]:
         """The language of the shortest code, and its share of the languages' joint probability."""
         length = self.code_length(data)
@@ -142,29 +152,47 @@ def _count_grams(order: int):
     return counted
 
 
-def fit(documents: DataFrame, *, order: int = 3, per_cell: int = 4, max_langs: int = 1000, max_grams: int = 1_000_000) -> PpmModel:
-    """Trains on a bounded sample of the rows with a language: ``64 * per_cell`` documents each.
-
-    Of more than ``max_langs`` languages those with the most rows are learned
-    (ties by name), so the sample's ids fit a broadcast. Of more than
-    ``max_grams`` runs of a language the rarest are left out, as escapes cover
-    them; a run never stays without its end, which is as frequent and shorter.
-    """
-    learned = documents.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    labelled = documents.join(F.broadcast(learned), "lang", "left_semi").select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("h")).withColumn("cell", F.pmod("h", F.lit(CELLS)))
+def training_counts(documents: DataFrame, order: int = 3, per_cell: int = 4) -> DataFrame:
+    """``lang, width, gram, n`` over a bounded sample of the rows with a language: ``64 * per_cell`` documents of each."""
+    labelled = documents.filter("lang IS NOT NULL").select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("h")).withColumn("cell", F.pmod("h", F.lit(CELLS)))
     order_in = Window.partitionBy("lang", "cell").orderBy("h", "doc_id")
-    chosen = labelled.withColumn("place", F.row_number().over(order_in)).filter(F.col("place") <= per_cell).select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang"))
-    sample = documents.join(F.broadcast(chosen), (F.col("doc_id") == F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))).select("lang", "text")
-    counts = sample.mapInArrow(_count_grams(order), "lang string, width int, gram long, n long").groupBy("lang", "width", "gram").agg(F.sum("n").alias("n"))
-    most_first = Window.partitionBy("lang").orderBy(F.desc("n"), "width", "gram")
-    found = counts.withColumn("place", F.row_number().over(most_first)).filter(F.col("place") <= max_grams).drop("place").toArrow()
-    langs = sorted(set(found.column("lang").to_pylist()))
-    place = {x: k for k, x in enumerate(langs)}
-    codes = np.fromiter((place[x] for x in found.column("lang").to_pylist()), dtype=np.int64, count=found.num_rows)
-    return PpmModel(langs, order, codes, found.column("width").to_numpy(), found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy())
-
-
-def identify(documents: DataFrame, training: DataFrame, *, order: int = 3, per_cell: int = 4) -> DataFrame:
+    chosen = cut(labelled.withColumn("place", F.row_number().over(order_in)).filter(F.col("place") <= per_cell).select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang")).distinct())
+    # The ids of some hundred languages are small enough to broadcast; beyond, a filter of fixed size spares most texts the shuffle.
+    few = chosen.count() <= 100_000
+    known = F.broadcast(chosen) if few else chosen
+    texts = documents if few else documents.filter(_among(F.col("doc_id"), chosen.select(F.col("sample_id").alias("row"))))
+    sample = texts.join(known, (F.col("doc_id") == F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))).select("lang", "text")
+    return sample.mapInArrow(_count_grams(order), "lang string, width int, gram long, n long").groupBy("lang", "width", "gram").agg(F.sum("n").alias("n"))
+
+
+def _model(counts: DataFrame, order: int) -> PpmModel:
+    found = counts.toArrow()
+    codes = found.column("lang").combine_chunks().dictionary_encode() if found.num_rows else None
+    names = codes.dictionary.to_pylist() if codes else []
+    langs = sorted(names)
+    place = np.array([langs.index(x) for x in names], dtype=np.int64)
+    lang = place[codes.indices.to_numpy()] if codes else np.zeros(0, dtype=np.int64)
+    return PpmModel(langs, order, lang, found.column("width").to_numpy(), found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy())
+
+
+def fit(documents: DataFrame, *, order: int = 3, per_cell: int = 4) -> PpmModel:
+    """One model of all languages; ``identify`` holds a group of them at a time."""
+    return _model(training_counts(documents, order, per_cell), order)
+
+
+def language_groups(sizes: list[tuple[str, int]], max_cells: int) -> list[list[str]]:
+    """Deals languages (with the number of their runs), by name, into groups of ``max_cells`` table cells at most, or of one language."""
+    groups, runs = [], 0
+    for lang, n in sorted(sizes):
+        if not groups or (runs + n) * (len(groups[-1]) + 1) > max_cells:
+            groups.append([])
+            runs = 0
+        groups[-1].append(lang)
+        runs += n
+    return groups
+
+
+def identify(documents: DataFrame, training: DataFrame, *, order: int = 3, per_cell: int = 4, max_cells: int = 4_000_000) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row of ``documents``.
 
     ``training`` has ``doc_id, lang, text``. A null or empty text, or one
@@ -173,18 +201,29 @@ def identify(documents: DataFrame, training: DataFrame, *, order: int = 3, per_c
     wins. Texts of any length are scored whole; an empty table gives an empty
     result; repeated rows stay; other columns are ignored.
     """
-    model = fit(training.select("doc_id", "lang", "text"), order=order, per_cell=per_cell)
-    shared = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    counts = cut(training_counts(training.select("doc_id", "lang", "text"), order, per_cell))
+    sizes = [(r["lang"], r["n"]) for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    context = documents.sparkSession.sparkContext
+    groups = [context.broadcast(cloudpickle.dumps(_model(counts.filter(F.col("lang").isin(langs)), order))) for langs in language_groups(sizes, max_cells)]
+
+    def merged(one: tuple[float, str, float], two: tuple[float, str, float]) -> tuple[float, str, float]:
+        """The better of two groups' results; ``one`` comes first by name."""
+        (low, name, here), (high, _, there) = (two, one) if two[0] < one[0] else (one, two)
+        return low, name, here + there * 2.0 ** max(low - high, -1000.0)
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm = pickle.loads(shared.value)
+        one = pickle.loads(groups[0].value) if len(groups) == 1 else None
         for batch in it:
-            langs, scores = [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                lang, score = ppm.predict(text.encode()) if ppm.langs and any(map(str.isalpha, text)) else ("und", 0.0)
-                langs.append(lang)
-                scores.append(score)
+            best: list[tuple[float, str, float] | None] = [None] * batch.num_rows
+            for group in groups:
+                # One of several groups is read for a batch and forgotten.
+                ppm = one or pickle.loads(group.load_from_path(group._path) if group._path else group.value)
+                for k, value in enumerate(batch.column(1)):
+                    text = value.as_py() or ""
+                    if any(map(str.isalpha, text)):
+                        found = ppm.best(text.encode())
+                        best[k] = merged(best[k], found) if best[k] else found
+            langs, scores = [x[1] if x else "und" for x in best], [1.0 / x[2] if x else 0.0 for x in best]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, lang_pred string, score double")

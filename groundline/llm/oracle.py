@@ -26,7 +26,7 @@ WITH rules(verdict, rh, rp) AS (VALUES {rules}),
 rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 raw AS (SELECT page_id, regexp_extract(r, '(?s)^([^/?#]*)', 1) AS h, r FROM rest),
 urls AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(r, length(h) + 1), '(?s)^([^?#]*)', 1) AS path FROM raw),
-good AS (SELECT host, CASE WHEN coalesce(quality, 0) = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END AS good FROM urls JOIN labels ON doc_id = page_id),
+good AS (SELECT host, CASE WHEN coalesce(quality, 0) = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END AS good FROM urls JOIN labels ON doc_id = page_id WHERE host <> ''),
 named AS (SELECT host, array_to_string(list_slice(labels, -1 - depth, -1), '.') AS domain, array_to_string(list_slice(labels, -depth, -1), '.') AS suffix
   FROM (SELECT host, labels, CASE WHEN array_to_string(list_slice(labels, -2, -1), '.') IN ({suffixes}) THEN 2 ELSE 1 END AS depth FROM (SELECT DISTINCT host, string_split(host, '.') AS labels FROM urls))),
 hosts AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS g FROM good JOIN named USING (host) GROUP BY ALL),

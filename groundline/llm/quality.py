@@ -117,7 +117,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, *, carry: list[str]
     symbols = (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long")
     judged = F.struct(let(ascii_words(F.col("text")), measured).alias("m"), symbols.alias("n_symbols"), dup_lines.alias("n_dup_lines"))
     # The input's columns travel in a struct of their own, so none can clash with a name used here.
-    out = documents.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"), "text").withColumn("ratio", ratio).select("carried", judged.alias("j"))
+    out = documents.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in carry)).alias("carried"), "text").withColumn("ratio", ratio).select("carried", judged.alias("j"))
     out = out.select("carried", "j.m.n_words", "j.m.word_chars", "j.n_symbols", "j.n_dup_lines", "j.m.n_repeat_words", "j.m.score")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

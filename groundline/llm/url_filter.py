@@ -78,8 +78,9 @@ def reputations(labelled: DataFrame, *, z: float = 2.0, least: float = 2.0, most
     unit's mean with the strength of the level below it; for an unknown domain
     or suffix, the strength is that of the first level below the known one.
     Level ``overall`` is one row with ``new`` alone; null where there are no labels.
+    Pages without a host (empty) tell nothing about any: they are in no level.
     """
-    units = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("g"))
+    units = labelled.filter("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("g"))
     units = units.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
     # One row per host; cut here and at each level, as every level is read several times.
     units = cut(units)
@@ -116,7 +117,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, *, rules=RULES, least_good:
     not toxic. Null urls and urls without ``://`` have an empty host and path.
     A host without labelled pages is judged by the prior that its registered
     domain gives, else its suffix, else all labels; where there are no labels,
-    every host is allowed, and so is an empty host. Urls of any length are judged
+    every host is allowed. An empty host has no reputation: it is allowed, and the
+    labels of its pages count nowhere. Urls of any length are judged
     whole. Repeated rows stay (and repeated labels count again); empty tables
     give empty results; other columns are ignored.
     """
@@ -132,5 +134,6 @@ def judge_urls(pages: DataFrame, labels: DataFrame, *, rules=RULES, least_good:
     ruled = ruled.join(F.broadcast(levels["overall"].select(F.col("new.upper").alias("overall_upper"))), F.lit(True), "left")
     ruled = ruled.join(levels["host"].select("host", F.col("upper").alias("host_upper")), "host", "left")
     unlabelled = F.when(F.col("host") != "", F.coalesce("domain_upper", "suffix_upper", "overall_upper"))
+    # The join finds nothing for an empty host.
     by_host = F.when(F.coalesce("host_upper", unlabelled) < least_good, F.lit("block")).otherwise(F.lit("allow"))
     return ruled.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"))

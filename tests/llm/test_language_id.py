@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from groundline.llm.language_id import PpmModel, fit, held_out, identify
+from groundline.llm.language_id import PpmModel, fit, held_out, identify, language_groups
 from groundline.sources.tables import table
 
 
@@ -70,3 +70,19 @@ def test_odd_rows(odd, empty):
 def test_training_is_a_bounded_sample(odd):
     model = fit(odd, per_cell=1)
     assert model.langs == ["de", "en", "fr"]
+
+
+def test_groups_of_languages_give_what_one_model_gives(odd, empty):
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["lang_pred"])
+    whole, apart = (sorted(identify(odd, odd, max_cells=cells).collect(), key=key) for cells in (4_000_000, 1))
+    assert [r["lang_pred"] for r in whole] == [r["lang_pred"] for r in apart]
+    assert np.allclose([r["score"] for r in whole], [r["score"] for r in apart], rtol=1e-4, atol=1e-6)
+    assert language_groups([("b", 5), ("a", 5), ("c", 90)], 20) == [["a", "b"], ["c"]] and language_groups([], 5) == []
+
+
+def test_all_of_two_thousand_languages_are_learned(spark):
+    """Each language has a word of its own; none is left out for their number."""
+    rows = [(k, f"l{k:04d}", f"common {chr(0x4E00 + k)}{chr(0x4E00 + k)}{chr(0x4E00 + k)} words") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    found = identify(docs, docs, max_cells=400_000).join(docs, "doc_id")
+    assert found.filter("lang = lang_pred").count() == 2000

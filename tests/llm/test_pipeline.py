@@ -77,3 +77,21 @@ def test_stages_on_an_empty_table_and_clashing_columns(spark, folder, odd, empty
             assert spark.read.parquet(out).columns == table.columns, stage_name
         assert corpus_pipeline.encoded(spark, docs, folder).count() == docs.count()
         assert name == "odd" or docs.count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, folder, tmp_path):
+    import corpus_pipeline
+
+    names = ["a.b", "pipeline_row", "row", "ROWS", "carried", "key", "n_copies", "col", "back`tick", "TEXT2"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, docs["doc_id"] * 100 + k)
+    docs.write.parquet(str(tmp_path / "start"))
+    docs = spark.read.parquet(str(tmp_path / "start"))
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, folder).write.parquet(out := str(tmp_path / name))
+        docs = spark.read.parquet(out)
+        assert docs.columns == columns, name
+        rows = docs.collect()
+        assert rows and all([r[c] for c in names] == [r["doc_id"] * 100 + k for k in range(len(names))] for r in rows), name

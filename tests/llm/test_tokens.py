@@ -113,3 +113,24 @@ def test_documents(odd, empty, pieces, bpe):
     got = [(r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["ids"]) for r in encode_documents(odd, BYTES, batch_bytes=100, with_ids=True).collect()]
     assert sorted(got) == sorted(want)
     assert count_tokens(empty, PIECES).count() == 0 and encode_documents(empty, BYTES).count() == 0
+
+
+def test_encoders_live_as_long_as_their_worker(spark):
+    """Tasks of one Python worker share an encoder and what it has learned."""
+    import os
+
+    import pyarrow as pa
+
+    from groundline.llm.chunk_encode import _encoder
+
+    def look(it):
+        for batch in it:
+            encoder = _encoder(BYTES, 512)
+            before = len(encoder.words)
+            encoder.encode([f"one two three {k}" for k in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([id(encoder)]), pa.array([before])], names=["pid", "encoder", "before"])
+
+    seen = [r for k in range(3) for r in spark.range(k * 100, k * 100 + 40, 1, 8).mapInArrow(look, "pid long, encoder long, before long").collect()]
+    pids = {r["pid"] for r in seen}
+    assert len(seen) == 24 and len({(r["pid"], r["encoder"]) for r in seen}) == len(pids) < len(seen)
+    assert sum(r["before"] == 0 for r in seen) <= len(pids)

@@ -82,3 +82,12 @@ def test_sql_gives_the_same_verdicts_for_planted_hosts(spark, tmp_path):
     assert got == sorted(duck.sql(oracle.url_filters()).fetchall(), key=key)
     verdict = {r[1]: r[4] for r in got}
     assert verdict["new.spam.net"] == "block" and verdict["new.fine.net"] == verdict[""] == "allow"
+
+
+def test_pages_without_a_host_have_no_reputation(spark):
+    """Bad labels of pages without a url block none of them, and no other host."""
+    pages = spark.createDataFrame([(k, None if k % 2 else "no scheme") for k in range(60)] + [(100, "http://new.example/a"), (101, "http://fine.example/a")], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 0, 1) for k in range(50)] + [(101, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = judge_urls(pages, labels).collect()
+    assert len(rows) == 62 and {r["verdict"] for r in rows} == {"allow"}
+    assert {r["verdict"] for r in judge_urls(pages, labels.filter("doc_id < 50")).collect()} == {"allow"}
