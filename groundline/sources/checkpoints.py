@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,19 +27,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.constraintPropagation.enabled": "false"}
 
 
+_SWITCHED = threading.RLock()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder and cuts its lineage.
 
     Nothing reads the shuffle files behind it any more, so they are removed at
-    once: the disk holds what is in use, not what was.
+    once: the disk holds what is in use, not what was. The settings for that are
+    the session's, so threads of one session cut one after the other; a session
+    that has them from the start needs no switch.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    before = {key: spark.conf.get(key) for key in _SETTINGS}
-    for key, value in _SETTINGS.items():
-        spark.conf.set(key, value)
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    with _SWITCHED:
+        before = {key: old for key, value in _SETTINGS.items() if (old := spark.conf.get(key)) != value}
+        for key in before:
+            spark.conf.set(key, _SETTINGS[key])
+        try:
+            return df.select("*").checkpoint(eager=True)
+        finally:
+            for key, old in before.items():
+                spark.conf.set(key, old)

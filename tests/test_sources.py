@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from groundline.sources.publish import create, current_generation, fingerprint, illegal_steps, insert_absent, is_current, publish, read_current, register
+from groundline.sources.publish import PublicationConflict, create, current_generation, fingerprint, illegal_steps, insert_absent, is_current, move_once, pointers, publish, read_current, register, release, write_once
 from groundline.sources.tables import admit_vectors, binary_files, inventory_violations, strict_json
 from groundline.streaming.publications import current_pointers, distinct_publications, keep_pointers, read_log, windowed_counts
 
@@ -106,3 +106,63 @@ def test_streamed_log(spark, tmp_path):
     flat = read_log(spark, str(tmp_path / "log/part1"), spark.table("counts").sparkSession.createDataFrame([], schema).schema)
     keep_pointers(flat, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {r["user_id"]: r["generation_id"] for r in current_pointers(spark, str(tmp_path / "out")).collect()} == {8: 2, 7: 3}
+
+
+def test_of_two_interleaved_publishers_one_wins(spark, tmp_path):
+    """Both have read the same pointer; the loser changes nothing, its files and the winner's stay whole."""
+    root = str(tmp_path / "store")
+    frame = lambda v: spark.createDataFrame([(v,)], "v int")
+    first = publish(frame(1), root, "k", {}, 1, expected=None)
+    won = []
+
+    def between():  # the other publisher acts after this one's rows are written and checked
+        won.append(publish(frame(3), root, "k", {}, 2, expected=first))
+        return "s"
+
+    with pytest.raises(PublicationConflict):
+        publish(frame(2), root, "k", {}, 2, snapshot="s", expected=first, still=between)
+    assert current_generation(spark, root, "k") == won[0] and read_current(spark, root, "k").first()["v"] == 3
+    assert len(list((tmp_path / "store/pointers").glob("*/*.json"))) == 2
+    folders = {p.name for p in (tmp_path / "store/generations").iterdir()}
+    assert len(folders) == 3 and {first, won[0]} < folders
+    # What has lost may be released later, on top of the winner.
+    lost = (folders - {first, won[0]}).pop()
+    assert release(spark, root, "k", lost, 3, expected=won[0]) == lost and read_current(spark, root, "k").first()["v"] == 2
+    with pytest.raises(PublicationConflict, match="not at"):
+        publish(frame(9), root, "k", {}, 4, expected=first)
+    with pytest.raises(PublicationConflict, match="too late"):
+        publish(frame(9), root, "k", {}, 3)
+    assert {r["key"]: r["generation_id"] for r in pointers(spark, root).collect()} == {"k": lost}
+
+
+def test_release_checks_the_source_again_and_leaves_no_staging(spark, tmp_path):
+    root = str(tmp_path / "store")
+    frame = spark.createDataFrame([(1,)], "v int")
+    with pytest.raises(PublicationConflict, match="moved on"):
+        publish(frame, root, "k", {}, 1, snapshot="s1", still=lambda: "s2")
+    assert current_generation(spark, root, "k") is None
+    publish(frame, root, "k", {}, 1, snapshot="s2", still=lambda: "s2")
+    with pytest.raises(ValueError):
+        publish(frame, root, "k", {"never": lambda d: d}, 2)
+    assert list((tmp_path / "store/staging").iterdir()) == []
+
+
+def test_names_are_taken_once_and_half_written_folders_stay(spark, tmp_path):
+    assert write_once(spark, str(tmp_path / "a/x.json"), "1") and not write_once(spark, str(tmp_path / "a/x.json"), "2")
+    assert (tmp_path / "a/x.json").read_text() == "1" and [p.name for p in (tmp_path / "a").glob("*.draft")] == []
+    other = tmp_path / "other"  # another job is writing here: no mark of success yet
+    other.mkdir()
+    (other / "part").write_text("half")
+    (tmp_path / "mine").mkdir()
+    assert not move_once(spark, str(tmp_path / "mine"), str(other)) and (other / "part").read_text() == "half" and (tmp_path / "mine").exists()
+
+
+def test_null_keys(spark):
+    old = spark.createDataFrame([("p", None, 1), (None, "a", 2)], "paper string, sha string, n int")
+    new = spark.createDataFrame([("p", None, 3), (None, "a", 4), (None, None, 5), (None, None, 6)], "paper string, sha string, n int")
+    rows = insert_absent(new, old, ["paper", "sha"]).collect()
+    assert sorted((r["paper"] or "", r["sha"] or "") for r in rows) == [("", ""), ("", "a"), ("p", "")]
+    with pytest.raises(ValueError, match="without"):
+        create(new, old, ["paper", "sha"], {})
+    with pytest.raises(ValueError, match="conflicting"):
+        register(new.limit(1), old, ["paper", "sha"])
