@@ -47,7 +47,11 @@ def bm25_sums(documents: DataFrame, queries: DataFrame, *, query_key: str, eligi
     tf = cut(found.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("eligible").alias("eligible")))
     sizes = tf.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("mean"))
     n, mean = sizes.select(F.col("n").cast("double")).scalar(), sizes.select("mean").scalar()
-    tf = tf.filter("term <> ''")
+    return posting_sums(tf.filter("term <> ''"), queries, n, mean, query_key=query_key)
+
+
+def posting_sums(tf: DataFrame, queries: DataFrame, n: Column, mean: Column, *, query_key: str) -> DataFrame:
+    """The sums of BM25 from counted occurrences (``term, doc_id, tf, dl, eligible``: all documents of each term) of ``n`` documents of ``mean`` length."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
