@@ -63,7 +63,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Vectors packed into rows ``ids, data``: up to ``size`` ids, and their numbers as bytes."""
+    """Vectors packed into rows ``ids, data``: up to ``size`` ids, and their numbers as bytes. Rows without a vector are left out."""
 
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -72,7 +72,15 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
                 data = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["ids", "data"])
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(packed, "ids array<bigint>, data binary")
+    whole = vectors.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return whole.mapInArrow(packed, "ids array<bigint>, data binary")
+
+
+def best_columns(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` greatest finite scores of each row, and of those as great as the last of them."""
+    score = np.where(np.isfinite(score), score, -np.inf)
+    least = np.partition(score, -k, axis=1)[:, -k] if k < score.shape[1] else np.full(len(score), -np.inf)
+    return np.nonzero((score >= least[:, None]) & (score > -np.inf))
 
 
 def cosine_best(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 4096) -> DataFrame:
@@ -81,7 +89,9 @@ def cosine_best(vectors: DataFrame, queries: DataFrame, k: int, *, block: int =
     All have ``vec_id, embedding`` of one dimension; vectors have unit length,
     queries any but zero. Blocks of queries meet blocks of vectors; each pair of
     blocks is one matrix product, of which the k best rows per query go on (and
-    rows as good as the last of them). Equal scores go by vec_id.
+    rows as good as the last of them). Equal scores go by vec_id. A score that is
+    no finite number (as of a vector with NaN) ranks nowhere; null vectors are
+    left out.
     """
     q = _blocks(queries, block).select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     pairs = _blocks(vectors, block).crossJoin(q)
@@ -91,9 +101,9 @@ def cosine_best(vectors: DataFrame, queries: DataFrame, k: int, *, block: int =
             for ids, data, q_ids, q_data in zip(*(batch.column(i) for i in range(4))):
                 v_ids, c_ids = ids.values.to_numpy(), q_ids.values.to_numpy()
                 v, c = (np.frombuffer(x.as_py(), dtype=np.float64).reshape(n, -1) for x, n in ((data, len(v_ids)), (q_data, len(c_ids))))
-                score = np.round(c @ v.T / np.linalg.norm(c, axis=1)[:, None], 9) + 0.0
-                least = np.partition(score, -k, axis=1)[:, -k] if k < len(v_ids) else np.full(len(c_ids), -np.inf)
-                row, column = np.nonzero(score >= least[:, None])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = np.round(c @ v.T / np.linalg.norm(c, axis=1)[:, None], 9) + 0.0
+                row, column = best_columns(score, k)
                 yield pa.RecordBatch.from_arrays([pa.array(c_ids[row]), pa.array(v_ids[column]), pa.array(score[row, column])], names=["query_id", "vec_id", "score"])
 
     scored = pairs.mapInArrow(best, "query_id bigint, vec_id bigint, score double")

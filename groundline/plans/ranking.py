@@ -362,7 +362,13 @@ def candidate_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("item_id", F.least("n", F.lit(TOP)).cast("long").alias("n_returned"), (F.col("n") > TOP).alias("overflow"))
 
 
-@query(f"SELECT vec_id // 50 AS item_id, 1.0::DOUBLE AS recall, true AS same_order FROM embeddings WHERE vec_id % 50 = 0")
+@query(
+    "WITH "
+    + SEMANTIC_SQL
+    + f""", one AS (SELECT item_id, list(doc_id ORDER BY rank) AS ids FROM semantic WHERE rank <= {TOP} GROUP BY item_id),
+    two AS (SELECT item_id, list_transform(list_slice(list_sort(list({{'s': -score, 'd': doc_id}})), 1, {TOP}), lambda x: x.d) AS ids FROM cos_ GROUP BY item_id)
+    SELECT item_id, len(list_intersect(one.ids, two.ids)) / len(one.ids)::DOUBLE AS recall, one.ids = two.ids AS same_order FROM one JOIN two USING (item_id)"""
+)
 def vector_block_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search over two sizes of blocks: recall of one in the other, and whether the order is the same."""
     one = semantic(spark, sf_dir, TOP).select("item_id", "doc_id", "rank")
