@@ -39,11 +39,13 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: References with planted faults, one kind for each remainder, so that every check has something to find.
-_FAULTS = {"doc": 13, "far": 11, "digest": 7, "page": 17, "scope": 19, "anchors": 23, "negative": 29, "long": 31, "order": 37, "twice": 41}
+_FAULTS = {"doc": 13, "far": 11, "digest": 7, "page": 17, "scope": 19, "anchors": 23, "negative": 29, "long": 31, "order": 37, "other": 41, "same": 43}
 REFS_SQL = f"""refs AS (SELECT item_id, CASE WHEN doc_id % 13 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 37 = 0 THEN rank + 1000 ELSE rank END AS rank, rank AS position,
   CASE WHEN doc_id % 19 = 0 THEN 'elsewhere' ELSE d.source END AS source, page_index + CASE WHEN doc_id % 17 = 0 THEN 100000 ELSE 0 END AS page_index,
   CASE WHEN doc_id % 29 = 0 THEN -1 WHEN doc_id % 11 = 0 THEN start_offset + 5000000 ELSE start_offset END AS start_offset, CASE WHEN doc_id % 31 = 0 THEN end_offset + 9000000 WHEN doc_id % 11 = 0 THEN end_offset + 5000000 ELSE end_offset END AS end_offset,
-  sha256(chunk_text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS digest, n_words + CASE WHEN doc_id % 23 = 0 THEN 1 ELSE 0 END AS n_anchors, doc_id % 41 = 0 AS twice FROM evidence JOIN documents d USING (doc_id))"""
+  sha256(chunk_text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS digest, n_words + CASE WHEN doc_id % 23 = 0 THEN 1 ELSE 0 END AS n_anchors FROM evidence JOIN documents d USING (doc_id))"""
+#: Bundles that name a reference once more at their end, with another digest or as it is.
+TWICE_SQL = """, named AS (SELECT * FROM refs UNION ALL SELECT item_id, doc_id, rank + 10000, position + 10000, source, page_index, start_offset, end_offset, CASE WHEN doc_id % 41 = 0 THEN sha256(digest) ELSE digest END, n_anchors FROM refs WHERE doc_id % 41 = 0 OR doc_id % 43 = 0)"""
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,36 +64,56 @@ def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("end_offset") + F.when(fault("long"), 9_000_000).when(fault("far"), 5_000_000).otherwise(0)).alias("end_offset"),
         F.sha2(F.concat("chunk_text", F.when(fault("digest"), "!").otherwise("")), 256).alias("digest"),
         (F.col("n_words") + fault("anchors").cast("int")).alias("n_anchors"),
-        fault("twice").alias("twice"),
     )
 
 
+def _named(refs: DataFrame) -> DataFrame:
+    """References of bundles some of which name one once more at their end: with another digest, or as it is."""
+    other, same = F.col("doc_id") % _FAULTS["other"] == 0, F.col("doc_id") % _FAULTS["same"] == 0
+    again = refs.filter(other | same).withColumn("digest", F.when(other, F.sha2("digest", 256)).otherwise(F.col("digest")))
+    return refs.unionByName(again.withColumn("rank", F.col("rank") + 10_000).withColumn("position", F.col("position") + 10_000))
+
+
+def contradictions(refs: DataFrame, bundle: str, identity: list[str], facts: list[str]) -> DataFrame:
+    """``bundle, identity`` of references that a bundle names with different facts; the same facts again are no fault."""
+    same = F.lit(True)
+    for c in facts:
+        same = same & F.min(c).eqNullSafe(F.max(c)) & ((F.count(c) == 0) | (F.count(c) == F.count("*")))
+    return refs.groupBy(bundle, *identity).agg((~same).alias("contradicted")).filter("contradicted")
+
+
 @query(EVIDENCE_SQL + "," + REFS_SQL + "SELECT item_id, doc_id, rank, source, page_index::INT AS page_index, start_offset::INT AS start_offset, end_offset::INT AS end_offset, digest, n_anchors::INT AS n_anchors FROM refs")
 def evidence_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits as references to their best chunk: page, range, digest and number of anchors, without text."""
-    return _references(spark, sf_dir).drop("position", "twice")
+    return _references(spark, sf_dir).drop("position")
 
 
 @query(
     EVIDENCE_SQL
     + ","
     + REFS_SQL
+    + TWICE_SQL
     + """, latest AS (SELECT sha256(text) AS h, max(doc_id) AS newest FROM documents WHERE text IS NOT NULL GROUP BY text),
-    asked AS (SELECT *, rank <= max(rank) OVER (PARTITION BY item_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS disordered FROM refs)
+    withdrawn AS (SELECT user_id FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) = 'error'),
+    facts AS (SELECT item_id, doc_id, page_index, start_offset, end_offset, count(DISTINCT (digest, n_anchors, source)) > 1 AS contradicted FROM named GROUP BY ALL),
+    asked AS (SELECT *, rank <= max(rank) OVER (PARTITION BY item_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS disordered FROM named JOIN facts USING (item_id, doc_id, page_index, start_offset, end_offset))
     SELECT r.item_id, r.doc_id, r.rank, CASE WHEN r.start_offset < 0 OR r.end_offset <= r.start_offset THEN 'INVALID_REQUEST' WHEN r.end_offset - r.start_offset > 4194304 THEN 'RESOURCE_LIMIT' WHEN d.doc_id IS NULL THEN 'SOURCE_NOT_FOUND'
       WHEN r.source IS DISTINCT FROM d.source THEN 'SOURCE_SCOPE_MISMATCH' WHEN l.newest <> d.doc_id THEN 'GENERATION_NOT_CURRENT' WHEN p.doc_id IS NULL THEN 'REFERENCE_NOT_FOUND' WHEN r.end_offset > length(p.t) THEN 'RANGE_MISMATCH'
       WHEN sha256(p.t[r.start_offset + 1 : r.end_offset]) <> r.digest THEN 'TEXT_DIGEST_MISMATCH' WHEN len(string_split(p.t[r.start_offset + 1 : r.end_offset], ' ')) <> r.n_anchors THEN 'ANCHOR_MISMATCH'
-      WHEN e.vec_id IS NULL THEN 'VECTOR_UNAVAILABLE' WHEN abs(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) - 1) > 1e-5 THEN 'VECTOR_INTEGRITY' WHEN r.disordered THEN 'INVALID_ORDER' WHEN r.twice THEN 'CONTRADICTORY_DUPLICATE' ELSE 'ok' END AS code
-    FROM asked r LEFT JOIN documents d ON d.doc_id = r.doc_id LEFT JOIN latest l ON l.h = sha256(d.text) LEFT JOIN (SELECT doc_id, page_index, array_to_string(page_words, ' ') AS t FROM pages_) p ON p.doc_id = r.doc_id AND p.page_index = r.page_index LEFT JOIN embeddings e ON e.vec_id = r.doc_id"""
+      WHEN e.vec_id IS NULL THEN 'VECTOR_UNAVAILABLE' WHEN w.user_id IS NOT NULL THEN 'VECTOR_NOT_CURRENT' WHEN abs(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) - 1) > 1e-5 THEN 'VECTOR_INTEGRITY' WHEN r.disordered THEN 'INVALID_ORDER' WHEN r.contradicted THEN 'CONTRADICTORY_DUPLICATE' ELSE 'ok' END AS code
+    FROM asked r LEFT JOIN documents d ON d.doc_id = r.doc_id LEFT JOIN latest l ON l.h = sha256(d.text) LEFT JOIN (SELECT doc_id, page_index, array_to_string(page_words, ' ') AS t FROM pages_) p ON p.doc_id = r.doc_id AND p.page_index = r.page_index LEFT JOIN embeddings e ON e.vec_id = r.doc_id LEFT JOIN withdrawn w ON w.user_id = r.doc_id"""
 )
 def evidence_resolve_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first check that each reference fails against the documents; a text's newest copy is the current one.
 
     Only referenced documents are read out; of all others, just the digests of
-    the same texts are looked at. A reference that its bundle names with other
-    facts, too, is a contradictory duplicate.
+    the same texts are looked at. A vector is current unless the last entry of
+    its key in the log of ``events`` withdraws it. A reference that its bundle
+    names with other facts, too, is a contradictory duplicate.
     """
-    refs = cut(_references(spark, sf_dir))
+    refs = cut(_named(_references(spark, sf_dir)))
+    identity = ["doc_id", "page_index", "start_offset", "end_offset"]
+    refs = refs.join(contradictions(refs, "item_id", identity, ["digest", "n_anchors", "source"]), ["item_id", *identity], "left")
     before = Window.partitionBy("item_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     refs = refs.withColumn("disordered", F.col("rank") <= F.max("rank").over(before))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -102,7 +124,9 @@ def evidence_resolve_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = digests.join(newest, "h", "left").select("doc_id", "true_source", (F.col("newest") == F.col("doc_id")).alias("current"), F.lit(True).alias("found"))
     page_rows = pages(asked).select("doc_id", "page_index", "page_text")
     norms = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))).alias("norm"))
-    joined = refs.join(known, "doc_id", "left").join(page_rows, ["doc_id", "page_index"], "left").join(norms, "doc_id", "left")
+    last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    withdrawn = last.filter("last = 'error'").join(refs.select("doc_id").distinct(), "doc_id", "left_semi")
+    joined = refs.join(withdrawn, "doc_id", "left").join(known, "doc_id", "left").join(page_rows, ["doc_id", "page_index"], "left").join(norms, "doc_id", "left")
     piece = F.substring(F.col("page_text"), F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
     code = resolution_code(
         {
@@ -116,9 +140,10 @@ def evidence_resolve_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
             "TEXT_DIGEST_MISMATCH": F.sha2(piece, 256) != F.col("digest"),
             "ANCHOR_MISMATCH": F.size(F.split(piece, " ")) != F.col("n_anchors"),
             "VECTOR_UNAVAILABLE": F.col("norm").isNull(),
+            "VECTOR_NOT_CURRENT": F.col("last").isNotNull(),
             "VECTOR_INTEGRITY": F.abs(F.col("norm") - 1) > 1e-5,
             "INVALID_ORDER": F.col("disordered"),
-            "CONTRADICTORY_DUPLICATE": F.col("twice"),
+            "CONTRADICTORY_DUPLICATE": F.col("contradicted"),
         }
     )
     return joined.select("item_id", "doc_id", "rank", code.alias("code"))

@@ -394,23 +394,41 @@ def pareto_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WIDTH = 7
-_RELEVANT = f"rel AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(regexp_extract_all(lower(b.text), '{TOKEN}')) >= {_WIDTH + 2})"
+_RELEVANT = f"rel AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(regexp_extract_all(lower(b.text), '{TOKEN}')) > 0)"
 
 
-def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judgements from the data: a document is relevant to a search if it holds the search's whole passage (of nine tokens or more).
+def relevant(passages: DataFrame, documents: DataFrame) -> DataFrame:
+    """``item_id, doc_id``: a document (``doc_id, text``) is relevant to a search (``item_id, text``) if it holds the search's whole passage.
 
-    They meet under the passage's second to eighth token, which nothing around
-    the passage can change, and are then compared in full.
+    They meet under the passage's second to eighth token (of a shorter passage:
+    second to last but one), which nothing around the passage can change, and
+    are then compared in full. Passages of one or two tokens have none of these;
+    they are compared with every text where it is read. A passage without a
+    token is judged by nothing.
     """
-    window = lambda t, i: F.xxhash64(F.array_join(F.slice(t, i, _WIDTH), " "))
-    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("t")).filter(F.size("t") >= _WIDTH + 2)
-    keyed = passages.select("item_id", "passage", window(F.col("t"), F.lit(2)).alias("key"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    split = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - _WIDTH + 1)), lambda i: window(F.col("t"), i))
-    meets = split.select("doc_id", F.explode_outer(F.array_distinct(windows)).alias("key")).join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    return docs.join(meets, "doc_id").join(keyed, "item_id").filter(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+    window = lambda t, i, w: F.xxhash64(F.array_join(F.slice(t, i, w), " "))
+    each = passages.select("item_id", F.col("text").alias("passage"), tokens(F.coalesce("text", F.lit(""))).alias("t")).filter(F.size("t") > 0)
+    keyed = each.filter(F.size("t") > 2).withColumn("width", F.least(F.lit(_WIDTH), F.size("t") - 2)).select("item_id", "passage", "width", window(F.col("t"), F.lit(2), F.col("width")).alias("key"))
+    # At most the numbers 1 to 7.
+    widths = sorted(r[0] for r in keyed.select("width").distinct().collect())
+    split = documents.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    windows = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - w + 1)), lambda i: F.struct(F.lit(w).alias("width"), window(F.col("t"), i, w).alias("key")))
+    found = keyed.limit(0).select("item_id", F.lit(None).cast("long").alias("doc_id"))
+    if widths:
+        met = split.select("doc_id", F.explode_outer(F.array_distinct(F.concat(*map(windows, widths)))).alias("k")).select("doc_id", "k.*")
+        pairs = met.join(keyed.select("width", "key", "item_id"), ["width", "key"]).select("doc_id", "item_id").distinct()
+        found = documents.join(pairs, "doc_id").join(keyed.select("item_id", "passage"), "item_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
+    short = each.filter(F.size("t") <= 2).select("item_id", "passage")
+    if short.isEmpty():
+        return found.distinct()
+    # The stated searches of one or two tokens, in one array that every text meets where it is read.
+    stated = short.agg(F.collect_list(F.struct("item_id", "passage"))).scalar()
+    direct = documents.filter("text IS NOT NULL").withColumn("stated", stated).select("doc_id", F.explode(F.filter("stated", lambda p: F.contains(F.col("text"), p["passage"]))).alias("p"))
+    return found.union(direct.select("p.item_id", "doc_id")).distinct()
+
+
+def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relevant(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(

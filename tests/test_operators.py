@@ -268,3 +268,25 @@ def test_units_go_in_together_or_not_at_all(spark):
 def test_tokens_by_letter_number_mark(spark):
     df = spark.createDataFrame([("Ab-c_1 É́x 日本 ½",)], "t string")
     assert df.select(tokens(F.col("t"))).first()[0] == ["ab", "c", "1", "é́x", "日本", "½"]
+
+
+def test_short_passages_are_judged_by_full_comparison(spark):
+    """Passages of any number of tokens against containment of the whole passage; one without a token is judged by nothing."""
+    from groundline.plans.ranking import relevant
+
+    texts = ["the cat sat on the mat today", "cat", "a cat, sat", "concatenate", "", None, "one two three four five six seven eight nine ten", "xone two three four five six seven eight nineteen", "Cat sat"]
+    passages = ["cat", "cat sat", "cat, sat", "cat sat on", "sat on the mat", "one two three four five six seven eight nine", "...", "", None, "e two three four five six seven eight nin", "Cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    got = sorted(map(tuple, relevant(asked, docs).select("item_id", "doc_id").collect()))
+    want = sorted((i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if p and any(c.isalnum() for c in p) and t is not None and p in t)
+    assert got == want and len(want) > 10
+    assert relevant(asked.filter("item_id < 3"), docs).count() == sum(i < 3 for i, _ in want) and relevant(asked.limit(0), docs).count() == 0
+
+
+def test_contradictions_are_found_in_the_facts(spark):
+    from groundline.plans.evidence import contradictions
+
+    rows = [(1, 5, "x", 1), (1, 5, "x", 1), (1, 6, "x", 1), (1, 6, "y", 1), (2, 6, "x", 1), (1, 7, None, 1), (1, 7, "x", 1), (1, 8, None, None), (1, 8, None, None), (3, 9, "x", 1), (3, 9, "x", 2)]
+    refs = spark.createDataFrame(rows, "bundle int, ref int, digest string, n int")
+    assert sorted((r["bundle"], r["ref"]) for r in contradictions(refs, "bundle", ["ref"], ["digest", "n"]).collect()) == [(1, 6), (1, 7), (3, 9)]
