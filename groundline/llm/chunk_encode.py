@@ -3,7 +3,7 @@
 A rolling hash over the text's bytes picks cut points, so a passage that
 recurs in another document falls into the same chunks there. A chunk is
 encoded once per Python worker, which lives for many tasks, and remembered
-(within a bounded memory), and so are its words.
+(within a bounded memory). Words are remembered for the length of a task.
 
 Encodings of chunks do not simply concatenate. But the BPE first splits a text
 into words, and at some positions a word begins whatever stands around: at a
@@ -24,6 +24,7 @@ which makes the whole sequence the encoding of the whole run.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
@@ -123,6 +124,12 @@ class ChunkEncoder:
         letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}  # the usual printable form of each byte
         self.token_bytes = {i: added[i].encode() if i in added else bytes(letter[c] for c in t) for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
 
+    def rest(self, keep: int = 16 << 20) -> None:
+        """Forgets words beyond ``keep`` bytes between tasks: a worker that waits leaves the memory to others. Chunks stay."""
+        if self.word_used > keep:
+            self.words, self.lossy, self.word_used = {}, {}, 0
+            gc.collect()
+
     def _learn(self, words: set[bytes]) -> None:
         """Encodes words not yet remembered, in one batch of the library, and decodes them again."""
         new = []
@@ -258,23 +265,26 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, *, mean_chunk: i
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoder(tokenizer_path, mean_chunk)
-        for batch in it:
-            doc_ids, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < batch.num_rows:
-                part, size, begin = [], 0, at
-                while at < batch.num_rows and (not part or size < batch_bytes):
-                    part.append(texts[at].as_py() or "")
-                    size += len(part[-1])
-                    at += 1
-                rows = encoder.encode(part)
-                counts = [ids.count(b",") + 1 if ids else 0 for ids, _ in rows]
-                arrays = [doc_ids[begin:at], pa.array(counts, pa.int64()), pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in rows]), pa.array([hashlib.sha256(body.decode("utf-8", "replace").encode()).hexdigest() for _, body in rows])]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    arrays.append(pa.array([[int(i) for i in ids.split(b",")] if ids else [] for ids, _ in rows], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        try:
+            for batch in it:
+                doc_ids, texts = batch.column(0), batch.column(1)
+                at = 0
+                while at < batch.num_rows:
+                    part, size, begin = [], 0, at
+                    while at < batch.num_rows and (not part or size < batch_bytes):
+                        part.append(texts[at].as_py() or "")
+                        size += len(part[-1])
+                        at += 1
+                    rows = encoder.encode(part)
+                    counts = [ids.count(b",") + 1 if ids else 0 for ids, _ in rows]
+                    arrays = [doc_ids[begin:at], pa.array(counts, pa.int64()), pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in rows]), pa.array([hashlib.sha256(body.decode("utf-8", "replace").encode()).hexdigest() for _, body in rows])]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if with_ids:
+                        arrays.append(pa.array([[int(i) for i in ids.split(b",")] if ids else [] for ids, _ in rows], pa.list_(pa.int32())))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+        finally:
+            encoder.rest()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, schema)
