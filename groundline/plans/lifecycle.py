@@ -6,12 +6,16 @@ event_id the generation and event_type the state.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundline.operators.ranking import numbered_by
 from groundline.plans.registry import query
+from groundline.sources.checkpoints import ensure_checkpoint_dir
 from groundline.sources.tables import table
+from groundline.streaming.lifecycle import OUT, checked_steps
 
 
 def latest(log: DataFrame, key: str, *sequence: str) -> DataFrame:
@@ -129,3 +133,25 @@ def vector_generation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.countDistinct("source").alias("n_sources"),
         F.when(F.sum("bad") == 0, "valid").otherwise("invalid").alias("verdict"),
     )
+
+
+_STEPS_SQL = """log AS (SELECT user_id AS g, (ts, event_id) AS spot, event_id, CASE event_type WHEN 'signup' THEN 'DB_CANDIDATE' WHEN 'click' THEN 'FILES_FINALIZED' ELSE 'STALE' END AS state FROM events),
+one AS (SELECT g, min(spot) AS one FROM log WHERE state = 'DB_CANDIDATE' GROUP BY g),
+two AS (SELECT g, min(spot) AS two, arg_min(state, spot) AS second FROM log JOIN one USING (g) WHERE spot > one AND state IN ('FILES_FINALIZED', 'STALE') GROUP BY g),
+three AS (SELECT g, min(spot) AS three FROM log JOIN two USING (g) WHERE spot > two AND second = 'FILES_FINALIZED' AND state = 'STALE' GROUP BY g)"""
+
+
+@query(
+    f"""WITH {_STEPS_SQL}
+    SELECT g AS generation_id, event_id, CASE WHEN one IS NULL OR spot <= one THEN NULL WHEN two IS NULL OR spot <= two THEN 'DB_CANDIDATE' WHEN three IS NULL OR spot <= three THEN second ELSE 'STALE' END AS before, state,
+      CASE WHEN coalesce(spot = one, false) OR coalesce(spot = two, false) OR coalesce(spot = three, false) THEN 'legal' ELSE 'illegal' END AS outcome FROM log LEFT JOIN one USING (g) LEFT JOIN two USING (g) LEFT JOIN three USING (g)"""
+)
+def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream with the state of each generation: every step with the state before it and whether it is legal."""
+    source = table(spark, sf_dir, "events")
+    state = F.when(F.col("event_type") == "signup", "DB_CANDIDATE").when(F.col("event_type") == "click", "FILES_FINALIZED").otherwise("STALE")
+    log = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]").select(F.col("user_id").alias("generation_id"), "ts", "event_id", state.alias("state"))
+    root = f"{ensure_checkpoint_dir(spark)}/lifecycle-{uuid.uuid4().hex}"
+    run = checked_steps(log).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{root}/out")
