@@ -81,3 +81,47 @@ def bundle_state(n_packed: Column, n_candidates: Column) -> Column:
 def sealed(body: Column) -> Column:
     """The fingerprint of a canonical JSON text, null if the text is over the bound: all or nothing."""
     return F.when(F.octet_length(body) <= MAX_JSON_BYTES, F.sha2(body, 256))
+
+
+#: The policy under which proposals are verified, and the most bytes of a proposed value. Fixed values.
+POLICY, MAX_VALUE_BYTES = "exact-source-text-v1", 2000
+
+
+def verify_proposals(proposals: DataFrame, entries: DataFrame, fingerprints: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """``key, outcome, code`` of each proposal (``key, policy, fingerprint, labels, value``; one per key) against its bundle.
+
+    ``entries`` has ``key, label, unit, doc_id, text`` of the packed entries,
+    ``fingerprints`` the bundle's ``key, fingerprint``, ``current`` the ``doc_id``
+    of documents that are current now. The first rule that is broken gives the
+    code of a rejection: the request's form, its policy, its size, the bundle and
+    the labels that it cites (known, each once), whole units, sources that are
+    current at this moment. What is left is verified if the value is, byte for
+    byte, the text of every cited entry, and else abstained from; so are values
+    under units of two entries, which no rule projects to one.
+    """
+    labels = F.coalesce("labels", F.array().cast("array<string>"))
+    asked = proposals.select(key, "policy", "fingerprint", F.coalesce("value", F.lit("")).alias("value"), labels.alias("labels"))
+    sizes = entries.groupBy(key, "unit").agg(F.count("*").alias("unit_size"))
+    known = entries.join(sizes, [key, "unit"]).join(current.withColumn("is_current", F.lit(True)), "doc_id", "left")
+    cited = asked.select(key, "value", F.explode(F.array_distinct("labels")).alias("label")).join(known, [key, "label"], "left")
+    exact = F.encode("value", "UTF-8") == F.encode("text", "UTF-8")
+    per_unit = cited.groupBy(key, "unit", "unit_size").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull()).alias("unknown"), F.count_if(F.col("is_current").isNull()).alias("stale"), F.bool_and(exact).alias("exact"))
+    found = per_unit.groupBy(key).agg(F.sum("unknown").alias("unknown"), F.bool_or(F.col("n") < F.col("unit_size")).alias("incomplete"), F.sum("stale").alias("stale"), F.max("unit_size").alias("largest"), F.bool_and("exact").alias("exact"))
+    all_ = asked.join(found, key, "left").join(fingerprints.select(key, F.col("fingerprint").alias("true_fingerprint")), key, "left")
+    faulty = ~F.col("fingerprint").eqNullSafe(F.col("true_fingerprint")) | (F.size(F.array_distinct("labels")) < F.size("labels")) | (F.col("unknown") > 0)
+    rules = {
+        "INVALID_REQUEST": (F.size("labels") == 0) | (F.trim("value") == "") | F.col("policy").isNull(),
+        "POLICY_MISMATCH": F.col("policy") != POLICY,
+        "RESOURCE_LIMIT": F.octet_length("value") > MAX_VALUE_BYTES,
+        "EVIDENCE_REFERENCE_INVALID": faulty,
+        "EVIDENCE_GROUP_INCOMPLETE": F.col("incomplete"),
+        "SOURCE_NOT_CURRENT": F.col("stale") > 0,
+        "EVIDENCE_GROUP_VALUE_PROJECTION_UNSUPPORTED": F.col("largest") > 1,
+        "VALUE_NOT_EXACT_SOURCE_TEXT": ~F.col("exact"),
+    }
+    code = None
+    for name, broken in rules.items():
+        code = F.when(broken, name) if code is None else code.when(broken, name)
+    abstained = list(rules)[-2:]
+    outcome = F.when(F.col("code").isNull(), "verified").when(F.col("code").isin(abstained), "abstained").otherwise("rejected")
+    return all_.select(key, code.alias("code")).select(key, outcome.alias("outcome"), "code")

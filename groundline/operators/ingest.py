@@ -23,21 +23,42 @@ def pages(documents: DataFrame) -> DataFrame:
     return cut.withColumn("page_text", F.array_join("page_words", " "))
 
 
-def offsets(word_array: Column) -> Column:
-    """Start of each word in the words joined by single spaces."""
-    fold = F.aggregate(
-        word_array,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
-    )
-    return fold["starts"]
-
-
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once (inside a lambda Spark evaluates outer expressions anew)."""
     return F.transform(F.array(value), body)[0]
 
 
+def running_sums(values: Column, depth: int = 2, block: int = 32) -> Column:
+    """For each number the sum of those before it.
+
+    A fold that appends copies its array for every element, so it runs over
+    blocks of ``block`` numbers only; their sums are the blocks' bases, found in
+    the same way ``depth`` times.
+    """
+
+    def folded(numbers: Column, base: Column) -> Column:
+        start = F.struct(base.cast("int").alias("at"), F.array().cast("array<int>").alias("sums"))
+        return F.aggregate(numbers, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["sums"], F.array(acc["at"])).alias("sums")))["sums"]
+
+    if depth == 0:
+        return folded(values, F.lit(0))
+
+    def blocked(numbers: Column) -> Column:
+        starts = F.when(F.size(numbers) > 0, F.sequence(F.lit(1), F.size(numbers), F.lit(block))).when(F.size(numbers) == 0, F.array().cast("array<int>"))
+        return let(F.transform(starts, lambda at: F.slice(numbers, at, block)), joined)
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda acc, n: acc + n))
+        return F.flatten(F.zip_with(blocks, running_sums(totals, depth - 1, block), folded))
+
+    return let(values, blocked)
+
+
+def offsets(word_array: Column) -> Column:
+    """Start of each word in the words joined by single spaces."""
+    return running_sums(F.transform(word_array, lambda w: F.length(w) + 1), 1)
+
+
 def chunk_cuts(word_array: Column) -> Column:
     """Ends of greedy chunks: CHUNK_WORDS words, or earlier after the last sentence end from the BOUNDARY_WORDS-th word on."""
 
@@ -47,13 +68,13 @@ def chunk_cuts(word_array: Column) -> Column:
         def step(acc: Column, _: Column) -> Column:
             late = F.array_max(F.filter(ends, lambda e: (e >= acc["start"] + BOUNDARY_WORDS) & (e <= acc["start"] + CHUNK_WORDS)))
             end = F.when(n - acc["start"] <= CHUNK_WORDS, n).otherwise(F.coalesce(late, acc["start"] + CHUNK_WORDS))
-            return F.when(acc["start"] >= n, acc).otherwise(_let(end, lambda e: F.struct(e.alias("start"), F.concat(acc["cuts"], F.array(e)).alias("cuts"))))
+            return F.when(acc["start"] >= n, acc).otherwise(let(end, lambda e: F.struct(e.alias("start"), F.concat(acc["cuts"], F.array(e)).alias("cuts"))))
 
         return F.aggregate(F.sequence(F.lit(1), F.ceil(n / BOUNDARY_WORDS).cast("int") + 1), start, step)["cuts"]
 
     # Each word is looked at once per page, not once per window.
     marked = F.transform(word_array, lambda w, i: F.when(w.rlike(SENTENCE_END), i + 1))
-    return _let(F.struct(F.size(word_array).alias("n"), F.array_compact(marked).alias("ends")), folded)
+    return let(F.struct(F.size(word_array).alias("n"), F.array_compact(marked).alias("ends")), folded)
 
 
 def adequate(page_rows: DataFrame) -> DataFrame:
@@ -125,4 +146,4 @@ def line_order(placed: Column, tolerance: float = 3.0) -> Column:
 
         return F.transform(first, line)
 
-    return _let(placed, lambda words: _let(starts(words), lambda first: lines(words, first)))
+    return let(placed, lambda words: let(starts(words), lambda first: lines(words, first)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundline.operators.ingest import chunk_cuts, cut_pages, pages
+from groundline.operators.ingest import chunk_cuts, cut_pages, let, pages
 from groundline.operators.ranking import exact_percentiles
 from groundline.plans.ingest import CHUNKS_SQL
 from groundline.plans.ranking import LEXICAL_SQL, lexical
@@ -22,37 +24,44 @@ anchors AS (
 """
 
 
-def _with_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with the anchors of their page, which come from the same row: nothing is shuffled."""
+def _per_chunk(spark: SparkSession, sf_dir: str, made: Callable[[Column, Column], Column]) -> DataFrame:
+    """``doc_id, page_index`` and the fields of ``made(chunk, anchors)`` for each chunk, found in its page's row: no anchor leaves it."""
     cut_ = cut_pages(pages(table(spark, sf_dir, "documents")))
-    anchors = F.transform("page_words", lambda w, i: F.struct(i.alias("word_index"), F.get("starts", i).alias("a_start"), (F.get("starts", i) + F.length(w)).alias("a_end"), w.endswith(".").alias("ends")))
-    return cut_.withColumn("anchors", anchors).select("doc_id", "page_index", "anchors", F.explode_outer("chunks").alias("c")).filter("c IS NOT NULL")
+    anchors = F.zip_with("page_words", "starts", lambda w, at: F.struct(at.alias("a_start"), (at + F.length(w)).alias("a_end"), w.endswith(".").alias("ends")))
+    numbered = let(anchors, lambda every: F.transform(every, lambda a, i: F.struct(i.alias("word_index"), a["a_start"].alias("a_start"), a["a_end"].alias("a_end"), a["ends"].alias("ends"))))
+    each = let(numbered, lambda every: F.transform("chunks", lambda c: made(c, every)))
+    return cut_.select("doc_id", "page_index", F.explode_outer(each).alias("m")).filter("m IS NOT NULL").select("doc_id", "page_index", "m.*")
 
 
-def _overlapping(a: Column) -> Column:
-    return (a["a_start"] < F.col("c.end_offset")) & (a["a_end"] > F.col("c.start_offset"))
+def _overlapping(c: Column, a: Column) -> Column:
+    return (a["a_start"] < c["end_offset"]) & (a["a_end"] > c["start_offset"])
 
 
 @query(CHUNKS_SQL + ANCHORS_SQL + "SELECT c.doc_id, c.page_index::INT AS page_index, c.ordinal::INT AS ordinal, count(*) AS n_anchors, min(a.word_index)::INT AS first_word, max(a.word_index)::INT AS last_word FROM chunks_ c JOIN anchors a ON a.doc_id = c.doc_id AND a.page_index = c.page_index AND a.a_start < c.start_offset + length(c.chunk_text) AND a.a_start + length(a.word) > c.start_offset GROUP BY ALL")
 def anchors_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors that overlap each chunk: a range condition among the anchors of its page."""
-    met = _with_anchors(spark, sf_dir).withColumn("met", F.filter("anchors", _overlapping)).filter(F.size("met") > 0)
-    place = F.transform("met", lambda a: a["word_index"])
-    return met.select("doc_id", "page_index", "c.ordinal", F.size("met").cast("long").alias("n_anchors"), F.array_min(place).alias("first_word"), F.array_max(place).alias("last_word"))
+
+    def met(c: Column, anchors: Column) -> Column:
+        # Anchors are in order: none but the chunk's own and their neighbours can overlap it.
+        near = F.slice(anchors, F.greatest(F.lit(1), c["start_word"]), c["n_words"] + 2)
+        places = F.transform(F.filter(near, lambda a: _overlapping(c, a)), lambda a: a["word_index"])
+        return let(places, lambda p: F.struct(c["ordinal"].alias("ordinal"), F.size(p).cast("long").alias("n_anchors"), F.array_min(p).alias("first_word"), F.array_max(p).alias("last_word")))
+
+    return _per_chunk(spark, sf_dir, met).filter("n_anchors > 0")
 
 
 @query(CHUNKS_SQL + ANCHORS_SQL + "SELECT c.doc_id, c.page_index::INT AS page_index, c.ordinal::INT AS ordinal, count(*) AS n_anchors FROM chunks_ c JOIN anchors a ON a.doc_id = c.doc_id AND a.page_index = c.page_index AND a.a_start >= c.start_offset AND a.a_start + length(a.word) <= c.start_offset + length(c.chunk_text) GROUP BY ALL")
 def anchors_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors that lie wholly within each chunk."""
-    inside = F.filter("anchors", lambda a: (a["a_start"] >= F.col("c.start_offset")) & (a["a_end"] <= F.col("c.end_offset")))
-    return _with_anchors(spark, sf_dir).select("doc_id", "page_index", "c.ordinal", F.size(inside).cast("long").alias("n_anchors")).filter("n_anchors > 0")
+    inside = lambda c, anchors: F.size(F.filter(anchors, lambda a: (a["a_start"] >= c["start_offset"]) & (a["a_end"] <= c["end_offset"])))
+    return _per_chunk(spark, sf_dir, lambda c, anchors: F.struct(c["ordinal"].alias("ordinal"), inside(c, anchors).cast("long").alias("n_anchors"))).filter("n_anchors > 0")
 
 
 @query(CHUNKS_SQL + ANCHORS_SQL + ", far AS (SELECT * FROM anchors WHERE word LIKE '%.') SELECT doc_id, page_index::INT AS page_index, ordinal::INT AS ordinal FROM chunks_ c WHERE NOT EXISTS (SELECT 1 FROM far a WHERE a.doc_id = c.doc_id AND a.page_index = c.page_index AND a.a_start < c.start_offset + length(c.chunk_text) AND a.a_start + length(a.word) > c.start_offset)")
 def chunks_without_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks in which no sentence ends: no such anchor overlaps them."""
-    some = F.exists("anchors", lambda a: a["ends"] & _overlapping(a))
-    return _with_anchors(spark, sf_dir).select("doc_id", "page_index", "c.ordinal", some.alias("some")).filter("NOT some").drop("some")
+    some = lambda c, anchors: F.exists(anchors, lambda a: a["ends"] & _overlapping(c, a))
+    return _per_chunk(spark, sf_dir, lambda c, anchors: F.struct(c["ordinal"].alias("ordinal"), some(c, anchors).alias("some"))).filter("NOT some").drop("some")
 
 
 @query(

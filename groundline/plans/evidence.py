@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundline.functions.text import TOKEN, query_terms
-from groundline.operators.evidence import best_chunks, bundle_state, entry_json, pack, resolution_code, sealed
+from groundline.operators.evidence import POLICY, best_chunks, bundle_state, entry_json, pack, resolution_code, sealed, verify_proposals
 from groundline.operators.ingest import chunks, pages
 from groundline.plans.ingest import CHUNKS_SQL, PAGES_SQL, identified
 from groundline.plans.ranking import LEXICAL_SQL, TOP, lexical
@@ -261,14 +261,68 @@ def evidence_groups_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_id", F.col("a.doc_id").alias("first_doc_id"), F.col("b.doc_id").alias("second_doc_id"), "kind", F.when(F.col("kind") == "group", F.col("group_id")).alias("group_id"))
 
 
+def _group_units(spark: SparkSession, sf_dir: str, evidence: DataFrame) -> DataFrame:
+    """``item_id, rank, doc_id, unit, text``: the members of groups under one unit, other hits under their own."""
+    pairs = _pairs(spark, sf_dir, evidence)
+    members = pairs.select("item_id", F.explode(F.when(F.col("kind") == "group", F.array(*(F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col("a.rank").alias("unit")) for x in "ab"))).otherwise(F.array_distinct(F.array(*(F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col(f"{x}.rank").alias("unit")) for x in "ab"))))).alias("m"))
+    return evidence.join(members.select("item_id", "m.*"), ["item_id", "doc_id"]).select("item_id", "rank", "doc_id", "unit", F.col("chunk_text").alias("text"))
+
+
 @query(EVIDENCE_SQL + GROUPS_SQL + "," + pack_sql(_UNITS_SQL) + "SELECT item_id, doc_id, rank::INT AS rank, label, disposition FROM packed")
 def evidence_group_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups packed as units, both entries or none, between hits that stand alone."""
+    return pack(_group_units(spark, sf_dir, cut(_evidence(spark, sf_dir))), "item_id", max_bytes=MAX_BYTES, max_entries=MAX_ENTRIES, unit="unit")
+
+
+#: What each search proposes by the remainder of its id: values and citations, some of which break a rule.
+_PROPOSED = """props AS (SELECT b.item_id, CASE WHEN b.item_id % 10 = 4 THEN 'other-policy' ELSE 'exact-source-text-v1' END AS policy, CASE WHEN b.item_id % 10 = 5 THEN sha256(f.fingerprint) ELSE f.fingerprint END AS fingerprint,
+  CASE b.item_id % 10 WHEN 1 THEN f.text || ' ' WHEN 7 THEN repeat(f.text, 40) ELSE f.text END AS value,
+  CASE b.item_id % 10 WHEN 2 THEN ['E1', 'E99'] WHEN 3 THEN ['E1', 'E1'] WHEN 6 THEN [] WHEN 8 THEN [f.last] WHEN 9 THEN ['E1', 'E2', 'E3'] ELSE f.unit_labels END AS labels FROM benchmark b JOIN firsts f USING (item_id))"""
+
+
+@query(
+    EVIDENCE_SQL
+    + GROUPS_SQL
+    + ","
+    + pack_sql(_UNITS_SQL)
+    + """, es AS (SELECT p.item_id, p.label, p.unit, p.doc_id, e.chunk_text AS text, p.rank, count(*) OVER (PARTITION BY p.item_id, p.unit) AS unit_size FROM packed p JOIN evidence e ON e.item_id = p.item_id AND e.doc_id = p.doc_id JOIN documents d ON d.doc_id = p.doc_id WHERE p.label IS NOT NULL),
+    newest AS (SELECT text AS t, max(doc_id) AS newest FROM documents GROUP BY text),
+    ec AS (SELECT es.*, n.newest = es.doc_id AS is_current FROM es JOIN documents d ON d.doc_id = es.doc_id JOIN newest n ON n.t = d.text),
+    firsts AS (SELECT item_id, sha256(string_agg(label || ':' || doc_id, ',' ORDER BY rank)) AS fingerprint, arg_min(text, rank) AS text, arg_max(label, rank) AS last, list(label ORDER BY rank) FILTER (unit = 1) AS unit_labels FROM ec GROUP BY item_id),
+    """
+    + _PROPOSED
+    + """, cited AS (SELECT p.item_id, p.value, c.label, ec.unit, ec.unit_size, ec.text, ec.is_current FROM (SELECT item_id, value, unnest(list_distinct(labels)) AS label FROM props) c JOIN props p USING (item_id) LEFT JOIN ec ON ec.item_id = c.item_id AND ec.label = c.label),
+    u AS (SELECT item_id, unit, any_value(unit_size) AS unit_size, count(*) AS n, count(*) FILTER (text IS NULL) AS unknown, count(*) FILTER (NOT is_current) AS stale, bool_and(value = text) AS exact FROM cited GROUP BY item_id, unit),
+    f AS (SELECT item_id, sum(unknown) AS unknown, bool_or(n < unit_size) AS incomplete, sum(stale) AS stale, max(unit_size) AS largest, bool_and(exact) AS exact FROM u GROUP BY item_id),
+    coded AS (SELECT p.item_id, CASE WHEN len(p.labels) = 0 OR trim(p.value) = '' THEN 'INVALID_REQUEST' WHEN p.policy <> 'exact-source-text-v1' THEN 'POLICY_MISMATCH' WHEN strlen(p.value) > 2000 THEN 'RESOURCE_LIMIT'
+      WHEN p.fingerprint <> firsts.fingerprint OR len(list_distinct(p.labels)) < len(p.labels) OR f.unknown > 0 THEN 'EVIDENCE_REFERENCE_INVALID' WHEN f.incomplete THEN 'EVIDENCE_GROUP_INCOMPLETE' WHEN f.stale > 0 THEN 'SOURCE_NOT_CURRENT'
+      WHEN f.largest > 1 THEN 'EVIDENCE_GROUP_VALUE_PROJECTION_UNSUPPORTED' WHEN NOT f.exact THEN 'VALUE_NOT_EXACT_SOURCE_TEXT' END AS code FROM props p JOIN firsts USING (item_id) LEFT JOIN f USING (item_id))
+    SELECT item_id, CASE WHEN code IS NULL THEN 'verified' WHEN code IN ('EVIDENCE_GROUP_VALUE_PROJECTION_UNSUPPORTED', 'VALUE_NOT_EXACT_SOURCE_TEXT') THEN 'abstained' ELSE 'rejected' END AS outcome, code FROM coded"""
+)
+def proposal_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals of every search against its bundle of groups and single entries: verified, rejected with a code, or abstained from."""
     evidence = cut(_evidence(spark, sf_dir))
-    pairs = _pairs(spark, sf_dir, evidence)
-    members = pairs.select("item_id", F.explode(F.when(F.col("kind") == "group", F.array(*(F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col("a.rank").alias("unit")) for x in "ab"))).otherwise(F.array_distinct(F.array(*(F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col(f"{x}.rank").alias("unit")) for x in "ab"))))).alias("m"))
-    units = evidence.join(members.select("item_id", "m.*"), ["item_id", "doc_id"]).select("item_id", "rank", "doc_id", "unit", F.col("chunk_text").alias("text"))
-    return pack(units, "item_id", max_bytes=MAX_BYTES, max_entries=MAX_ENTRIES, unit="unit")
+    units = cut(_group_units(spark, sf_dir, evidence))
+    packed = pack(units, "item_id", max_bytes=MAX_BYTES, max_entries=MAX_ENTRIES, unit="unit").filter("label IS NOT NULL")
+    entries = cut(packed.select("item_id", "doc_id", "label").join(units, ["item_id", "doc_id"]))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    cited = docs.join(entries.select("doc_id").distinct(), "doc_id", "left_semi")
+    newest = docs.join(cited.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.max("doc_id").alias("doc_id"))
+    named = F.struct("rank", "label", "doc_id", "unit", "text")
+    firsts = entries.groupBy("item_id").agg(F.sort_array(F.collect_list(named)).alias("e"))
+    mine = F.filter("e", lambda x: x["unit"] == F.get("e", F.lit(0))["unit"])
+    fingerprint = F.sha2(F.array_join(F.transform("e", lambda x: F.concat(x["label"], F.lit(":"), x["doc_id"].cast("string"))), ","), 256)
+    firsts = cut(firsts.select("item_id", fingerprint.alias("fingerprint"), F.get("e", F.lit(0))["text"].alias("text"), F.element_at("e", -1)["label"].alias("last"), F.transform(mine, lambda x: x["label"]).alias("unit_labels")))
+    kind = F.col("item_id") % 10
+    cite = lambda *labels: F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>")
+    proposals = table(spark, sf_dir, "benchmark").select("item_id").join(firsts, "item_id").select(
+        "item_id",
+        F.when(kind == 4, "other-policy").otherwise(POLICY).alias("policy"),
+        F.when(kind == 5, F.sha2("fingerprint", 256)).otherwise(F.col("fingerprint")).alias("fingerprint"),
+        F.when(kind == 1, F.concat("text", F.lit(" "))).when(kind == 7, F.repeat("text", 40)).otherwise(F.col("text")).alias("value"),
+        F.when(kind == 2, cite("E1", "E99")).when(kind == 3, cite("E1", "E1")).when(kind == 6, cite()).when(kind == 8, F.array("last")).when(kind == 9, cite("E1", "E2", "E3")).otherwise(F.col("unit_labels")).alias("labels"),
+    )
+    return verify_proposals(proposals, entries, firsts, newest.select("doc_id"), "item_id")
 
 
 #: Proposals of one value under cited labels: the text of E1, spoilt in some, cited with E2, with a label that is not there, or twice in others.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundline.functions.text import TOKEN, WHITE, collapse, content_id, normalized, quality, tokens, words
-from groundline.operators.ingest import PAGE_WORDS, budget_spans, chunks, offsets, pages
+from groundline.operators.ingest import PAGE_WORDS, budget_spans, chunks, let, pages, running_sums
 from groundline.plans.registry import query
 from groundline.sources.tables import table
 
@@ -69,14 +69,10 @@ FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS word_in
       FROM (SELECT doc_id, list_filter(string_split({CANON}, ' '), lambda x: x <> '') AS w FROM documents))"""
 )
 def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word with its place in the canonical text, by running sums over its pages: no text leaves its row."""
-    page_rows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 1), F.lit(PAGE_WORDS)), lambda s: F.slice("w", s + 1, PAGE_WORDS))
-    cut = table(spark, sf_dir, "documents").select("doc_id", words(collapse(F.col("text"))).alias("w")).withColumn("p", page_rows)
-    lengths = F.transform("p", lambda page: F.aggregate(page, F.lit(0), lambda acc, w: acc + F.length(w) + 1))
-    based = cut.withColumn("lengths", lengths).withColumn("bases", F.aggregate("lengths", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + n))))
-    pages_ = based.select("doc_id", "bases", F.posexplode_outer("p").alias("page_index", "page_words")).select("doc_id", "page_index", "page_words", F.get("bases", F.col("page_index")).alias("base"), offsets(F.col("page_words")).alias("starts"))
-    placed = F.transform("page_words", lambda w, i: F.struct((F.col("page_index") * PAGE_WORDS + i).alias("word_index"), w.alias("word"), (F.col("base") + F.get("starts", i)).alias("char_start")))
-    return pages_.select("doc_id", F.explode_outer(placed).alias("x")).filter("x IS NOT NULL").select("doc_id", "x.*")
+    """Every word with its place in the canonical text, by running sums within its row: no text leaves it."""
+    placed = lambda w: F.zip_with(w, running_sums(F.transform(w, lambda x: F.length(x) + 1)), lambda x, at: F.struct(x.alias("word"), at.alias("char_start")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", let(words(collapse(F.col("text"))), placed).alias("p"))
+    return docs.select("doc_id", F.posexplode_outer("p").alias("word_index", "x")).filter("x IS NOT NULL").select("doc_id", "word_index", "x.*")
 
 
 @query(

@@ -290,3 +290,46 @@ def test_contradictions_are_found_in_the_facts(spark):
     rows = [(1, 5, "x", 1), (1, 5, "x", 1), (1, 6, "x", 1), (1, 6, "y", 1), (2, 6, "x", 1), (1, 7, None, 1), (1, 7, "x", 1), (1, 8, None, None), (1, 8, None, None), (3, 9, "x", 1), (3, 9, "x", 2)]
     refs = spark.createDataFrame(rows, "bundle int, ref int, digest string, n int")
     assert sorted((r["bundle"], r["ref"]) for r in contradictions(refs, "bundle", ["ref"], ["digest", "n"]).collect()) == [(1, 6), (1, 7), (3, 9)]
+
+
+def test_every_rejection_and_abstention_is_reached_by_facts(spark):
+    from groundline.operators.evidence import POLICY, verify_proposals
+
+    entries = spark.createDataFrame([(k, *e) for k in range(20) for e in (("E1", 1, 10, "one"), ("E2", 2, 20, "two"), ("E3", 2, 21, "two"), ("E4", 3, 30, "one"), ("E5", 4, 40, "gone"))], "item int, label string, unit int, doc_id long, text string")
+    prints = spark.createDataFrame([(k, "f") for k in range(20)], "item int, fingerprint string")
+    current = spark.createDataFrame([(10,), (20,), (21,), (30,)], "doc_id long")
+    cases = [
+        (POLICY, "f", ["E1"], "one", "verified", None),
+        (POLICY, "f", ["E1", "E4"], "one", "verified", None),
+        (POLICY, "f", ["E1"], "One", "abstained", "VALUE_NOT_EXACT_SOURCE_TEXT"),
+        (POLICY, "f", ["E2", "E3"], "two", "abstained", "EVIDENCE_GROUP_VALUE_PROJECTION_UNSUPPORTED"),
+        (POLICY, "f", ["E5"], "gone", "rejected", "SOURCE_NOT_CURRENT"),
+        (POLICY, "f", ["E2"], "two", "rejected", "EVIDENCE_GROUP_INCOMPLETE"),
+        (POLICY, "f", ["E1", "E3"], "one", "rejected", "EVIDENCE_GROUP_INCOMPLETE"),
+        (POLICY, "f", ["E1", "E1"], "one", "rejected", "EVIDENCE_REFERENCE_INVALID"),
+        (POLICY, "f", ["E1", "E9"], "one", "rejected", "EVIDENCE_REFERENCE_INVALID"),
+        (POLICY, "g", ["E1"], "one", "rejected", "EVIDENCE_REFERENCE_INVALID"),
+        (POLICY, None, ["E1"], "one", "rejected", "EVIDENCE_REFERENCE_INVALID"),
+        (POLICY, "f", ["E1"], "x" * 2001, "rejected", "RESOURCE_LIMIT"),
+        ("p", "f", ["E1"], "one", "rejected", "POLICY_MISMATCH"),
+        (None, "f", ["E1"], "one", "rejected", "INVALID_REQUEST"),
+        (POLICY, "f", [], "one", "rejected", "INVALID_REQUEST"),
+        (POLICY, "f", None, "one", "rejected", "INVALID_REQUEST"),
+        (POLICY, "f", ["E1"], " ", "rejected", "INVALID_REQUEST"),
+        (POLICY, "f", ["E1"], None, "rejected", "INVALID_REQUEST"),
+    ]
+    proposals = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "item int, policy string, fingerprint string, labels array<string>, value string")
+    got = {r["item"]: (r["outcome"], r["code"]) for r in verify_proposals(proposals, entries, prints, current, "item").collect()}
+    assert got == {k: c[4:] for k, c in enumerate(cases)}
+
+
+def test_running_sums(spark):
+    from groundline.operators.ingest import offsets, running_sums
+
+    lists = [[], [5], list(range(1, 100)), [1] * 3000, None]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    for depth in (0, 1, 2):
+        got = [r[0] for r in df.select(running_sums(F.col("x"), depth)).collect()]
+        assert got == [None if x is None else [sum(x[:i]) for i in range(len(x))] for x in lists], depth
+    words = ["größe", "a", "the"] * 40
+    assert spark.createDataFrame([(words,)], "w array<string>").select(offsets(F.col("w"))).first()[0] == [len(" ".join(words[:i])) + (i > 0) for i in range(len(words))]
