@@ -178,7 +178,7 @@ def exact_percentiles(rows: DataFrame, key: str, value: str, parts: list[float],
         near = F.col("rest") / (F.col("m") - 1) * knots
         ends = sketch.select("key", "rank", F.get("k", F.greatest(F.lit(0), F.floor(near).cast("int") - 1)).alias("a"), F.get("k", F.least(F.lit(knots), F.ceil(near).cast("int") + 1)).alias("b"))
         zone = F.when(F.col("v") < F.col("a"), 0).when(F.col("v") == F.col("a"), 1).when(F.col("v") < F.col("b"), 2).when(F.col("v") == F.col("b"), 3).otherwise(4)
-        zones = inside.join(F.broadcast(ends), ["key", "rank"]).groupBy("key", "rank", "rest", zone.alias("zone")).agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        zones = inside.join(ends, ["key", "rank"]).groupBy("key", "rank", "rest", zone.alias("zone")).agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
         before = F.sum("m").over(Window.partitionBy("key", "rank").orderBy("zone")) - F.col("m")
         narrowed = zones.withColumn("before", before).filter("rest >= before AND rest < before + m")
         ranges = cut(ranges.filter(~wide).union(narrowed.select("key", "rank", "m", "low", "high", (F.col("rest") - F.col("before")).alias("rest"))))
