@@ -84,7 +84,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, in_a_part: int | None = None) -> DataFrame:
     """Labels the nodes of an undirected graph with the smallest node they reach.
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type. Returns
@@ -95,10 +95,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Whatever the graph looks like, only a part of the places is expected to be
     left, so the rounds grow with the logarithm of the largest component. A
     round is one query; its table is checkpointed and replaces the last one's,
-    so a lost executor costs one round at most.
+    so a lost executor costs one round at most. With ``in_a_part``, that table
+    has no more parts than its rows need at so many a part, however many
+    partitions shuffles have: rounds of few edges are not hundreds of tiny files.
     """
     live = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")))
-    rounds = 0
+    rounds, parts = 0, in_a_part and -(-live.count() // in_a_part)
     while not live.filter("x <> y").isEmpty():
         order = lambda c, k=rounds: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("v"))
         ends = live.filter("x <> y").select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("other")), F.struct(F.col("y").alias("node"), F.col("x").alias("other")))).alias("e")).select("e.*")
@@ -107,9 +109,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         for end in ("x", "y"):
             # A place without a move is settled.
             live = live.join(moves.select(F.col("node").alias(end), F.col("on").alias(f"{end}_on")), end, "left").withColumn(end, F.coalesce(f"{end}_on", end)).drop(f"{end}_on")
-        live = cut(live.select("a", "b", "x", "y"))
+        live = live.select("a", "b", "x", "y")
+        live = cut(live.coalesce(parts) if parts else live)
         rounds += 1
     # The ends of an edge are at one place now; it stands for the least node there.
     found = live.select(F.explode(F.array("a", "b")).alias("node"), F.col("x").alias("place")).distinct()
     least = live.groupBy(F.col("x").alias("place")).agg(F.min(F.least("a", "b")).alias("label"))
-    return cut(found.join(least, "place").select("node", "label"))
+    found = found.join(least, "place").select("node", "label")
+    return cut(found.coalesce(parts) if parts else found)
