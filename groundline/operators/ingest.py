@@ -15,14 +15,34 @@ PAGE_WORDS = 300
 CHUNK_WORDS, BOUNDARY_WORDS = 120, 90
 
 
+def _page_starts(word_array: Column) -> Column:
+    return F.when(F.size(word_array) > 0, F.sequence(F.lit(0), F.size(word_array) - 1, F.lit(PAGE_WORDS))).otherwise(F.array(F.lit(0)))
+
+
 def pages(documents: DataFrame) -> DataFrame:
     """``doc_id, source, page_index, page_words, page_text``: slices of PAGE_WORDS words of the canonical text."""
     split = documents.select("doc_id", "source", words(collapse(F.col("text"))).alias("w"))
-    starts = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1, F.lit(PAGE_WORDS))).otherwise(F.array(F.lit(0)))
-    cut = split.select("doc_id", "source", F.posexplode(F.transform(starts, lambda s: F.slice(F.col("w"), s + 1, PAGE_WORDS))).alias("page_index", "page_words"))
+    cut = split.select("doc_id", "source", F.posexplode(F.transform(_page_starts(F.col("w")), lambda s: F.slice(F.col("w"), s + 1, PAGE_WORDS))).alias("page_index", "page_words"))
     return cut.withColumn("page_text", F.array_join("page_words", " "))
 
 
+def placed_pages(documents: DataFrame) -> DataFrame:
+    """``doc_id, page_index, page_base, document_length``: where each page starts in its document, in characters.
+
+    Pages are joined by one separator, which counts. All sums are over the pages
+    of one row, so nothing is shuffled; a null or blank text is one empty page.
+    """
+    page_lengths = F.transform(_page_starts(F.col("w")), lambda s: F.length(F.array_join(F.slice(F.col("w"), s + 1, PAGE_WORDS), " ")))
+    sums = lambda n: F.struct(running_sums(F.transform(n, lambda x: x + 1)).alias("bases"), (F.aggregate(n, F.lit(0), lambda a, x: a + x) + F.size(n) - 1).alias("total"))
+    split = documents.select("doc_id", words(collapse(F.col("text"))).alias("w")).select("doc_id", let(page_lengths, sums).alias("x"))
+    return split.select("doc_id", F.posexplode("x.bases").alias("page_index", "page_base"), F.col("x.total").cast("long").alias("document_length")).withColumn("page_base", F.col("page_base").cast("long"))
+
+
+def starts_early(start: Column, length: Column) -> Column:
+    """Whether a place lies in the first quarter of its document, by whole numbers: 4 x start < length."""
+    return 4 * start < length
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once (inside a lambda Spark evaluates outer expressions anew)."""
     return F.transform(F.array(value), body)[0]

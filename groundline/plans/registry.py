@@ -27,7 +27,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from groundline.plans import audits, contracts, evidence, indexing, ingest, lifecycle, nested, ranking, vectors  # noqa: F401  (they register themselves)
+    from groundline.plans import audits, contracts, evidence, indexing, ingest, lifecycle, nested, positions, ranking, vectors  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict[str, Query]:
