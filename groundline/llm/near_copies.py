@@ -1,6 +1,13 @@
 """Near copies: all pairs of documents whose sets of word shingles have a Jaccard similarity of ``least`` or more.
 
-An exact join, not a sketch. Every document's shingle hashes are put in one
+SimHash comes first: 64-bit fingerprints of the same shingles, tables of their
+two 32-bit segments looked up by balls, whole distance, then the whole sets
+(``simhash_pairs``). That joins the nearest of the near copies. No radius reaches
+all of them: at a similarity of 0.8 fingerprints lie about ten bits apart, and
+tables that reach this far make candidates with the square of the corpus.
+
+An exact join follows, for the pairs that are still in different components.
+Every document's shingle hashes are put in one
 global order: hash order, but those that a sample finds frequent come last, the
 most frequent at the end. Of two sets A and B with |A & B| >= least |A or B|, the
 first |A| - ceil(least |A|) + 1 shingles of A and the like of B share one (prefix
@@ -19,7 +26,7 @@ key. Each row carries a sketch there, too: the parities of how many of its
 shingles fall on each of 512 bits. Sketches differ in no more bits than sets in
 shingles, so most pairs that are too far apart are never formed.
 
-Pairs are taken in two rounds, both verified by the whole sets. In the first,
+The exact join takes pairs in two rounds, both verified by the whole sets. In the first,
 each document under a shingle is compared with the smallest there and with the
 one before it (for frequent shingles: with the one of its size band that has the
 fewest rare shingles, and these band by band), which joins groups of near copies
@@ -40,11 +47,13 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut, most_frequent
 from .repeats import _among
+from .simhash import majority, wide_candidates
 
 _ENTRY = "key long, row long, n int, f int, rest int"
 #: Longs of a sketch.
 _SKETCH = 8
 _SKETCHED = _ENTRY + "".join(f", b{k} long" for k in range(_SKETCH))
+_PRINT = "row long, fp long, n int" + "".join(f", b{k} long" for k in range(_SKETCH))
 #: Edges in a part of the tables from round to round of the components.
 _EDGES = 200_000
 #: Sizes within this factor are one band.
@@ -167,6 +176,76 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Da
     return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
+def _sized(least: float) -> Column:
+    """Whether the sizes of ``s`` and ``l`` (structs with n) fit."""
+    return F.least("s.n", "l.n") >= least * F.greatest("s.n", "l.n") - 1e-9
+
+
+def _most_apart(together: Column, least: float) -> Column:
+    """In how many shingles two near sets of ``together`` shingles can differ."""
+    return together - 2 * F.ceil(least / (1 + least) * together - 1e-9)
+
+
+def _differing(s: list[Column], l: list[Column]) -> Column:  # noqa: E741
+    """The bits in which two sketches differ."""
+    each = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(s, l)]
+    return sum(each[1:], each[0])
+
+
+def _prints(width: int) -> Callable:
+    """``row, fp, n, b0 ...`` of each text (columns row, text): its set's SimHash fingerprint, size and sketch."""
+
+    def of_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            fps, sizes = np.empty(batch.num_rows, dtype=np.uint64), np.empty(batch.num_rows, dtype=np.int32)
+            bits = np.empty((_SKETCH, batch.num_rows), dtype=np.int64)
+            for k, text in enumerate(batch.column(1)):
+                keys = shingle_set(text.as_py(), width)
+                fps[k], sizes[k], bits[:, k] = majority(keys), len(keys), sketch(keys)
+            columns = [batch.column(0), *(pa.array(x) for x in (fps.view(np.int64), sizes, *bits))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PRINT.split(", ")])
+
+    return of_texts
+
+
+def simhash_pairs(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Pairs ``a, b`` of rows (``row, text``) that SimHash proposes: of equal fingerprints, each with the first; of near ones, the first rows.
+
+    Left out are those whose sizes or sketches show that their sets are too far apart.
+    """
+    prints = cut(docs.select("row", "text").mapInArrow(_prints(width), _PRINT))
+    side = F.struct("row", "n", *(f"b{k}" for k in range(_SKETCH)))
+    unique = cut(prints.groupBy("fp").agg(F.min(side).alias("head"), F.count("*").alias("rows")))
+    equal = prints.join(unique.filter("rows > 1"), "fp").filter(F.col("row") != F.col("head.row")).select(F.col("head").alias("s"), side.alias("l"))
+    near = wide_candidates(unique.select("fp"))
+    for end, name in (("a", "s"), ("b", "l")):
+        near = near.join(unique.select(F.col("fp").alias(end), F.col("head").alias(name)), end)
+    bits = [[F.col(f"{name}.b{k}") for k in range(_SKETCH)] for name in ("s", "l")]
+    could = _sized(least) & (_differing(*bits) <= _most_apart(F.col("s.n") + F.col("l.n"), least))
+    return equal.union(near.select("s", "l")).filter(could).select(F.col("s.row").alias("a"), F.col("l.row").alias("b"))
+
+
+def _further(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with the components that ``edges`` (a, b) join made one."""
+    if edges.isEmpty():
+        return labels
+    # Only the components that the new pairs join are joined, not their rows anew.
+    for end in ("a", "b"):
+        named = labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        edges = edges.join(named, end, "left").withColumn(end, F.coalesce(f"{end}_label", end)).drop(f"{end}_label")
+    joined = connected_components(edges, _EDGES).select(F.col("node").alias("label"), F.col("label").alias("further"))
+    # A row without a pair before is a component of its own.
+    alone = joined.select(F.col("label").alias("node")).join(labels.select("node"), "node", "left_anti").withColumn("label", F.col("node"))
+    return labels.unionByName(alone).join(joined, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+    return pairs.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+
+
 def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(_BAND)).cast("int")
 
@@ -181,6 +260,7 @@ def near_components(docs: DataFrame, *, width: int = 5, least: float = 0.8, one_
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
     docs = docs.select("row", "text")
+    by_simhash = connected_components(cut(_verified(cut(simhash_pairs(docs, width, least)), docs, width, least)), _EDGES)
     order = _frequent(docs, width, one_in, times, most)
     side = lambda: F.struct(F.col("n").alias("n"), F.col("row").alias("row"), F.col("rest").alias("rest"))
     reach = lambda f: (1 + least) / least * f + 1e-6  # noqa: E731  (the most that the sizes of a pair may sum to)
@@ -201,14 +281,13 @@ def near_components(docs: DataFrame, *, width: int = 5, least: float = 0.8, one_
         need = F.ceil(least / (1 + least) * F.col("sum") - 1e-9) - F.col("rest")
         return sized.filter(F.col("met") >= part * need).select("a", "b")
 
-    fits = (F.least("s.n", "l.n") >= least * F.greatest("s.n", "l.n") - 1e-9) & (F.col("s.row") != F.col("l.row"))
+    fits = _sized(least) & (F.col("s.row") != F.col("l.row"))
     by_rare = rare.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("s"), side().alias("l")).filter("s IS NOT NULL")
     by_head = late.join(heads, ["key", "band"]).select(F.col("head").alias("s"), side().alias("l"))
     by_step = heads.join(steps, ["key", "band"]).select(F.col("lower").alias("s"), F.col("head").alias("l"))
     # Not all common shingles are counted here: what is left out is taken in the second round.
-    tried = cut(enough(by_rare.union(by_head).union(by_step).filter(fits), 1 / 3))
-    found = cut(_verified(tried, docs, width, least))
-    labels = connected_components(found, _EDGES)
+    tried = cut(_apart(enough(by_rare.union(by_head).union(by_step).filter(fits), 1 / 3), by_simhash))
+    labels = cut(_further(by_simhash, cut(_verified(tried, docs, width, least))))
 
     def parted(entries: DataFrame) -> DataFrame:
         return entries.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("label", "row")).drop("label")
@@ -227,20 +306,10 @@ def near_components(docs: DataFrame, *, width: int = 5, least: float = 0.8, one_
     large = able.filter(most_small >= F.ceil(least * F.col("n") - 1e-9)).withColumn("open", F.sequence(_band(F.ceil(least * F.col("n") - 1e-9)), _band(F.floor(most_small))))
     large = large.select(*role("l", "key", F.explode("open").alias("band"), F.col("f").alias("l_f"), *bits("l")))
     together = F.col("s.n") + F.col("l.n")
-    apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"l{k}"))) for k in range(1, _SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("l0"))))
-    few = across & (together <= reach(F.least("s_f", "l_f"))) & (apart <= together - 2 * F.ceil(least / (1 + least) * together - 1e-9))
+    apart = _differing(*([F.col(f"{name}{k}") for k in range(_SKETCH)] for name in ("s", "l")))
+    few = across & (together <= reach(F.least("s_f", "l_f"))) & (apart <= _most_apart(together, least))
     rest = rest.union(enough(small.join(large, ["key", "band"]).filter(few))).distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(_verified(cut(rest), docs, width, least))
-    if more.isEmpty():
-        return labels
-    # Only the components that the new pairs join are joined, not their rows anew.
-    for end in ("a", "b"):
-        named = labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-        more = more.join(named, end, "left").withColumn(end, F.coalesce(f"{end}_label", end)).drop(f"{end}_label")
-    joined = connected_components(more, _EDGES).select(F.col("node").alias("label"), F.col("label").alias("further"))
-    # A row without a pair before is a component of its own.
-    alone = joined.select(F.col("label").alias("node")).join(labels.select("node"), "node", "left_anti").withColumn("label", F.col("node"))
-    return labels.unionByName(alone).join(joined, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    return _further(labels, cut(_verified(cut(rest), docs, width, least)))
 
 
 def near_copies(docs: DataFrame, **how) -> DataFrame:

@@ -14,6 +14,9 @@ in another exact way: by balls of radius 1 around whole fingerprints. Two that
 are at distance 2 or less share a point there, and no point is shared by more
 than 65, so no group is unbounded. Equal fingerprints are merged before the
 search: copies cost one entry.
+
+``wide_candidates`` looks further with the same two tables, for callers that
+verify texts: see there.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut
@@ -40,7 +43,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     digest = xxhash.xxh64_intdigest
     joined = [b" ".join(x) for x in zip(*(words[k:] for k in range(width)))]
-    hashes = np.fromiter((digest(x, seed) for x in joined), dtype=np.uint64, count=len(joined))
+    return majority(np.fromiter((digest(x, seed) for x in joined), dtype=np.uint64, count=len(joined)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of hashes (64 bits each): a bit is 1 if set in over half of them."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _BLOCK):
         bits = np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -103,6 +110,30 @@ def links(unique: DataFrame, max_distance: int = 2, most: int = 256) -> DataFram
     return found.filter((F.col("a") != F.col("b")) & (distance <= max_distance)).distinct()
 
 
+def wide_candidates(unique: DataFrame, max_distance: int = 11) -> DataFrame:
+    """Candidates ``a, b`` among distinct fingerprints (column ``fp``): at most 2 bits apart in one of the segments, ``max_distance`` as a whole.
+
+    A fingerprint is entered in a segment's table at the 33 points within one
+    bit of its value: two values share a point if they are 2 bits apart at
+    most, which holds in a segment for every pair at distance 5 or less and for
+    a part of those further apart. At a point each fingerprint meets the least
+    there and the one before it, and is proposed with the nearest and the least
+    that it met anywhere: so candidates are linear in the fingerprints, however
+    many meet at a point. These are proposals: what they miss is for the caller
+    to find.
+    """
+    bits = F.array(*(F.lit(b).cast("long") for b in [0, *(1 << k for k in range(32))]))
+    values = F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    # The segment in the bit above its values: one key for both tables.
+    points = F.flatten(F.transform(values, lambda v, segment: F.transform(bits, lambda bit: v.bitwiseXOR(bit).bitwiseOR(F.shiftleft(segment.cast("long"), 32)))))
+    at = Window.partitionBy("point").orderBy("fp")
+    entries = unique.select("fp", F.explode(points).alias("point")).select("fp", F.first("fp").over(at).alias("first"), F.lag("fp").over(at).alias("before"))
+    met = entries.filter("before IS NOT NULL").select(F.col("fp").alias("b"), F.explode(F.array("first", "before")).alias("a"))
+    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    best = met.filter(distance <= max_distance).groupBy("b").agg(F.min(F.struct(distance.alias("d"), F.col("a"))).alias("nearest"), F.min("a").alias("least"))
+    return best.select(F.explode(F.array_distinct(F.array("nearest.a", "least"))).alias("a"), "b")
+
+
 def near_duplicates(documents: DataFrame, *, width: int = 3, seed: int = 42, max_distance: int = 2) -> DataFrame:
     """``doc_id, row, fp, component_id, kept`` of every row of ``documents``.
 
