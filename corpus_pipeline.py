@@ -47,7 +47,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8 or more), the row with the least doc_id, then place.
 
-    Null ids come last; texts without words are copies of each other.
+    SimHash fingerprints find near copies first, an exact join those that they leave apart. Null ids come last; texts
+    without words are copies of each other.
     """
     gone = near_copies(numbered(docs.select("doc_id", "text")))
     return numbered(docs.select(_carried(docs))).join(gone, "row", "left_anti").select("carried.*")
