@@ -24,9 +24,11 @@ which makes the whole sequence the encoding of the whole run.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import re
+import sys
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -250,6 +252,17 @@ def _encoder(path: str, mean_chunk: int) -> ChunkEncoder:
     return kept[path, mean_chunk]
 
 
+def forget_encoders() -> None:
+    """Frees the encoders that this Python worker keeps, for tasks of other operators that follow in it."""
+    library = sys.modules.get("tokenizers")
+    if library is not None and vars(library).pop("_kept_chunk_encoders", None):
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        # What the library has freed returns to the system only so, where the C library can.
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def encode_documents(documents: DataFrame, tokenizer_path: str, *, mean_chunk: int = 512, batch_bytes: int = 2 << 20, with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``, an array, on request) of every row.
 

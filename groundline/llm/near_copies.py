@@ -45,6 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunk_encode import forget_encoders
 from .common import connected_components, cut, most_frequent
 from .repeats import _among
 from .simhash import majority, wide_candidates
@@ -96,6 +97,7 @@ def _all_shingles(width: int) -> Callable:
     """``key`` of every shingle of each text (columns row, text)."""
 
     def of_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in it:
             for text in batch.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width))], names=["key"])
@@ -129,6 +131,7 @@ def _entries(width: int, least: float, order: tuple[np.ndarray, np.ndarray], fre
     """
 
     def of_texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        forget_encoders()
         for batch in it:
             for row, text in zip(batch.column(0), batch.column(1)):
                 keys = shingle_set(text.as_py(), width)
@@ -161,6 +164,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Da
     """Those of ``pairs`` (a, b) whose texts are near."""
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in it:
             near, last = [], (None, None)
             for a, left, right in zip(batch.column(0), batch.column(2), batch.column(3)):
@@ -196,6 +200,7 @@ def _prints(width: int) -> Callable:
     """``row, fp, n, b0 ...`` of each text (columns row, text): its set's SimHash fingerprint, size and sketch."""
 
     def of_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in it:
             fps, sizes = np.empty(batch.num_rows, dtype=np.uint64), np.empty(batch.num_rows, dtype=np.int32)
             bits = np.empty((_SKETCH, batch.num_rows), dtype=np.int64)

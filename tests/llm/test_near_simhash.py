@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import public_tokenizers
 import pytest
 from test_near_copies import brute_force, planted
 
@@ -76,3 +78,20 @@ def test_exact_join_follows_for_pairs_that_fingerprints_do_not_join(spark, tmp_p
     label = {ids[r["node"]]: r["label"] for r in near_components(docs).collect()}
     assert label[0] == label[1] and label[2] == label[3] and len(label) == 4
     assert rounds == [{frozenset((0, 1))}, {frozenset((2, 3))}, set()]
+
+
+def test_workers_forget_encoders_before_near_copies():
+    """What a worker keeps for BPE encoding is freed when tasks of the near stage come to it."""
+    import pyarrow as pa
+    import tokenizers
+
+    from groundline.llm.chunk_encode import _encoder
+    from groundline.llm.near_copies import _all_shingles, _entries, _prints
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d e f g", None])], names=["row", "text"])
+    order = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for task in (_all_shingles(5), _entries(5, 0.8, order, False), _prints(5)):
+        _encoder(public_tokenizers.path("byte_bpe_50k.json"), 512)
+        assert vars(tokenizers)["_kept_chunk_encoders"]
+        assert sum(b.num_rows for b in task(iter([batch])))
+        assert not vars(tokenizers).get("_kept_chunk_encoders")

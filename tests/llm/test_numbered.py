@@ -45,3 +45,10 @@ def test_rows_that_are_no_scan_keep_their_numbers(spark, packed):
     twice = numbered(docs.union(docs))
     assert sorted(map(tuple, twice.select("row", "doc_id").collect())) == sorted(map(tuple, twice.select("row", "doc_id").collect()))
     assert twice.select("row").distinct().count() == 2 * docs.count()
+
+
+def test_file_numbers_need_no_python_worker(packed):
+    """The list of files is a local table of Spark's, not rows that Python workers deserialise."""
+    docs, _ = packed
+    plan = numbered(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
