@@ -284,6 +284,24 @@ def test_short_passages_are_judged_by_full_comparison(spark):
     assert relevant(asked.filter("item_id < 3"), docs).count() == sum(i < 3 for i, _ in want) and relevant(asked.limit(0), docs).count() == 0
 
 
+def test_passages_meet_texts_by_their_rarest_inner_token(spark):
+    """Passages of function words, of upper-case letters beyond ASCII and of common tokens; a long text costs no more than its length."""
+    import time
+
+    from groundline.plans.ranking import relevant
+
+    # A text of 60,000 different words: its windows compared with each other are two billion pairs.
+    long = " ".join(f"w{i}" for i in range(60_000))
+    texts = ["so that is what this is for, of all", "In der Größe ÄNDERT sich Öl wenig", "of that this is what for", "x the cat sat on the mat y", "the mat the cat sat on", long, None, "What is the of, in the end"]
+    passages = ["that is what this is for", "Größe ÄNDERT sich Öl", "the cat sat on the mat", "w59990 w59991 w59992 w59993", "w1 w3 w5 w7", "is the of, in"]
+    docs = spark.createDataFrame([*enumerate(texts), (1, "in der Größe ändert sich öl"), (3, "cat")], "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    relevant(asked, docs.filter("doc_id < 3")).collect()
+    began = time.monotonic()
+    assert sorted(map(tuple, relevant(asked, docs).collect())) == [(0, 0), (1, 1), (2, 3), (3, 5), (5, 7)]
+    assert time.monotonic() - began < 15
+
+
 def test_contradictions_are_found_in_the_facts(spark):
     from groundline.plans.evidence import contradictions
 
