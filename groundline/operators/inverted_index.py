@@ -17,30 +17,37 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline.functions.text import tokens
 from groundline.operators.ranking import posting_sums
-from groundline.sources.checkpoints import cut
+from groundline.sources.checkpoints import cut, tidy
 from groundline.sources.publish import PublicationConflict, _files, write_once
 
 POSTINGS = "term string, doc_id bigint, tf bigint, dl int"
 DOCUMENTS = "doc_id bigint, dl int, text_sha256 string"
 SUPERSEDED = "doc_id bigint, old_part string"
+#: Postings that an audit compares at a time at least, and its rounds at most (each reads all stored postings).
+_ROUND, _MOST_ROUNDS = 2_000_000, 4
 
 
 @dataclass(frozen=True)
 class Generation:
-    """A manifest: number and folder of a generation, the buckets of the index, the live documents and their tokens."""
+    """A manifest: number and folder of a generation, the buckets of the index, the live documents and their tokens.
+
+    ``n_added`` is how many documents it brings, ``n_superseded`` how many it supersedes of each earlier folder.
+    """
 
     number: int
     part: str
     n_buckets: int
     n_documents: int
     n_tokens: int
+    n_added: int = 0
+    n_superseded: dict[str, int] = field(default_factory=dict)
 
 
 def generations(spark: SparkSession, root: str) -> list[Generation]:
@@ -65,29 +72,46 @@ def _read(spark: SparkSession, root: str, name: str, schema: str, known: list[Ge
     return spark.read.schema(f"{schema}, {keys}").option("basePath", f"{root}/{name}").parquet(*paths)
 
 
+def _live(spark: SparkSession, root: str, name: str, schema: str, known: list[Generation]) -> DataFrame:
+    """One table of the given generations without the rows of superseded documents.
+
+    A generation of which all documents are superseded is not read, and one of
+    which none is, is read as it is.
+    """
+    gone = {g.part: sum(later.n_superseded.get(g.part, 0) for later in known) for g in known}
+    whole = _read(spark, root, name, schema, [g for g in known if not gone[g.part]])
+    some = [g for g in known if 0 < gone[g.part] < g.n_added]
+    if not some:
+        return whole
+    left = _read(spark, root, "superseded", SUPERSEDED, [g for g in known if g.n_superseded]).select("doc_id", F.col("old_part").alias("part"))
+    return whole.unionByName(_read(spark, root, name, schema, some).join(left.filter(F.col("part").isin([g.part for g in some])), ["doc_id", "part"], "left_anti"))
+
+
 def live_documents(spark: SparkSession, root: str, known: list[Generation] | None = None) -> DataFrame:
     """``doc_id, dl, text_sha256, part`` of the documents that no later generation supersedes."""
     known = generations(spark, root) if known is None else known
-    gone = _read(spark, root, "superseded", SUPERSEDED, known).select("doc_id", F.col("old_part").alias("part"))
-    return _read(spark, root, "documents", DOCUMENTS, known).join(gone, ["doc_id", "part"], "left_anti")
+    return _live(spark, root, "documents", DOCUMENTS, known).select("doc_id", "dl", "text_sha256", "part")
 
 
 def live_postings(spark: SparkSession, root: str, known: list[Generation] | None = None, buckets: list[int] | None = None) -> DataFrame:
     """``term, doc_id, tf, dl`` of live documents, from some buckets or all."""
     known = generations(spark, root) if known is None else known
-    found = _read(spark, root, "postings", POSTINGS, known)
+    found = _live(spark, root, "postings", POSTINGS, known)
     if buckets is not None:
         found = found.filter(F.col("bucket").isin(buckets))
-    gone = _read(spark, root, "superseded", SUPERSEDED, known).select("doc_id", F.col("old_part").alias("part"))
-    return found.join(gone, ["doc_id", "part"], "left_anti").select("term", "doc_id", "tf", "dl")
+    return found.select("term", "doc_id", "tf", "dl")
 
 
 def document_postings(documents: DataFrame) -> DataFrame:
-    """``term, doc_id, tf, dl``: the terms of each text with their counts, counted within its row."""
-    sorted_terms = F.array_sort(tokens(F.coalesce("text", F.lit(""))))
-    rows = documents.select("doc_id", sorted_terms.alias("t"))
-    rows = rows.select("doc_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).filter("term IS NOT NULL")
-    return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
+    """``term, doc_id, tf, dl``: the terms of each text with their counts, counted within its row as runs of its sorted tokens."""
+    rows = documents.select("doc_id", F.sort_array(tokens(F.coalesce("text", F.lit("")))).alias("t"))
+    begins = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("t") - 1)), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.select("doc_id", "t", begins.alias("s"))
+    runs = F.transform("s", lambda at, k: F.struct(F.get("t", at).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - at).cast("long").alias("tf")))
+    # The tokens end here: what stands beside an explode is copied into each of its rows.
+    rows = rows.select("doc_id", F.size("t").alias("dl"), runs.alias("runs"))
+    # An outer explode: for an inner one, Spark would add a filter that tokenises every text once more.
+    return rows.select("doc_id", "dl", F.explode_outer("runs").alias("x")).select("x.term", "doc_id", "x.tf", "dl").filter("term IS NOT NULL")
 
 
 def publish_generation(changed: DataFrame, root: str, *, removed: DataFrame | None = None, n_buckets: int = 64, expected: int | None = None) -> Generation:
@@ -112,14 +136,17 @@ def publish_generation(changed: DataFrame, root: str, *, removed: DataFrame | No
     if not added.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty():
         raise ValueError("ids of documents must be unique and not null")
     postings = document_postings(changed).withColumn("bucket", bucket(F.col("term"), last.n_buckets))
-    # Rebalancing splits a bucket with a very frequent term over several files.
-    postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{root}/postings/part={part}")
+    with tidy(spark):
+        # Rebalancing splits a bucket with a very frequent term over several files.
+        postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{root}/postings/part={part}")
     leaving = added.select("doc_id") if removed is None else added.select("doc_id").union(removed.select(F.col("doc_id").cast("long").alias("doc_id"))).distinct()
     old = cut(live_documents(spark, root, known).join(leaving, "doc_id", "left_semi").select("doc_id", "dl", F.col("part").alias("old_part")))
     old.select("doc_id", "old_part").write.parquet(f"{root}/superseded/part={part}")
     sizes = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0))).first()
     (n_new, t_new), (n_old, t_old) = sizes(added), sizes(old)
-    made = Generation(last.number + 1, part, last.n_buckets, last.n_documents + n_new - n_old, last.n_tokens + t_new - t_old)
+    # One number for each generation at most.
+    by_part = {r["old_part"]: r["count"] for r in old.groupBy("old_part").count().collect()}
+    made = Generation(last.number + 1, part, last.n_buckets, last.n_documents + n_new - n_old, last.n_tokens + t_new - t_old, n_new, by_part)
     if not write_once(spark, f"{root}/manifests/{made.number:08d}.json", json.dumps(asdict(made))):
         raise PublicationConflict(f"another publisher has added generation {made.number}")
     return made
@@ -144,9 +171,25 @@ def index_bm25(spark: SparkSession, root: str, queries: DataFrame, *, query_key:
 
 
 def posting_faults(stored: DataFrame, documents: DataFrame) -> DataFrame:
-    """``term, doc_id, fault`` of postings against the texts they should be of: missing, unexpected, duplicated or different."""
-    have = stored.groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.min(F.struct("tf", "dl")).alias("low"), F.max(F.struct("tf", "dl")).alias("high"))
+    """``term, doc_id, fault`` of postings against the texts they should be of: missing, unexpected, duplicated or different.
+
+    A part of the documents is compared at a time, so that the disk holds a part
+    of the postings in shuffles; each text is tokenised once.
+    """
+    rounds = min(_MOST_ROUNDS, 1 + stored.count() // _ROUND)
+    faults = None
+    for at in range(rounds):
+        mine = F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == at
+        found = cut(_faults(stored.filter(mine), documents.filter(mine)))
+        faults = found if faults is None else faults.union(found)
+    return faults
+
+
+def _faults(stored: DataFrame, documents: DataFrame) -> DataFrame:
+    # Where there is one, the least is it.
+    have = stored.groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.min("tf").alias("tf"), F.min("dl").alias("dl"))
     want = document_postings(documents).select("term", "doc_id", F.struct("tf", "dl").alias("want"))
     both = have.join(want, ["term", "doc_id"], "full_outer")
-    fault = F.when(F.col("n").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(F.col("n") > 1, "duplicated").when((F.col("low") != F.col("want")) | (F.col("high") != F.col("want")), "different")
+    same = F.col("tf").eqNullSafe(F.col("want.tf")) & F.col("dl").eqNullSafe(F.col("want.dl"))
+    fault = F.when(F.col("n").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(F.col("n") > 1, "duplicated").when(~same, "different")
     return both.select("term", "doc_id", fault.alias("fault")).filter("fault IS NOT NULL")

@@ -91,3 +91,36 @@ def test_ids_are_unique_and_faults_are_told_apart(spark, tmp_path):
     good = document_postings(frame(spark, TEXTS))
     odd = good.filter("NOT (doc_id = 1 AND term = 'gamma')").union(good.filter("doc_id = 2")).union(spark.createDataFrame([("zeta", 1, 1, 4)], good.schema)).withColumn("tf", F.when(F.col("doc_id") == 6, 1).otherwise(F.col("tf")))
     assert rows(posting_faults(odd, frame(spark, TEXTS))) == [("alpha", 2, "duplicated"), ("gamma", 1, "missing"), ("the", 6, "different"), ("zeta", 1, "unexpected")]
+
+
+def test_audit_compares_a_part_of_the_documents_at_a_time(spark, monkeypatch):
+    """The same faults in several rounds; postings are counted within their rows, without a shuffle."""
+    import groundline.operators.inverted_index as module
+
+    docs = frame(spark, [(k, f"alpha beta{k % 7} beta{k % 7} w{k}") for k in range(60)] + [(90, None), (91, "-- !")])
+    good = document_postings(docs)
+    assert "Exchange" not in good._jdf.queryExecution().executedPlan().toString()
+    assert rows(good.filter("doc_id IN (3, 90, 91)")) == [("alpha", 3, 1, 4), ("beta3", 3, 2, 4), ("w3", 3, 1, 4)]
+    odd = good.filter("NOT (doc_id % 9 = 2 AND term = 'alpha')").union(good.filter("doc_id = 5")).withColumn("tf", F.when((F.col("doc_id") == 8) & (F.col("tf") > 1), F.lit(None)).otherwise(F.col("tf")))
+    want = sorted([("alpha", k, "missing") for k in range(60) if k % 9 == 2] + [(t, 5, "duplicated") for t in ("alpha", "beta5", "w5")] + [("beta1", 8, "different")], key=repr)
+    parts = []
+    plain = module.cut
+    monkeypatch.setattr(module, "cut", lambda df: (parts.append(1), plain(df))[1])
+    monkeypatch.setattr(module, "_ROUND", 60)
+    assert rows(posting_faults(odd, docs)) == want and len(parts) == 3
+
+
+def test_generations_without_live_documents_are_not_read(spark, tmp_path, searches):
+    """All of the first generation is superseded, none of the second, a part of the third."""
+    root = str(tmp_path / "index")
+    publish_generation(frame(spark, [(k, "alpha beta") for k in range(6)]), root, n_buckets=4)
+    publish_generation(frame(spark, [(k, "alpha") for k in (1, 3, 5)]), root)
+    publish_generation(frame(spark, [(0, "beta"), (2, "delta")]), root, removed=spark.createDataFrame([(4,)], "doc_id long"))
+    plan = lambda: live_postings(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan() and not [p for p in live_postings(spark, root).inputFiles() if "part=00000001" in p]
+    publish_generation(frame(spark, [(2, "the the")]), root)
+    assert "Join" in plan()
+    live = [(0, "beta"), (1, "alpha"), (2, "the the"), (3, "alpha"), (5, "alpha")]
+    assert rows(live_postings(spark, root)) == rows(document_postings(frame(spark, live)))
+    assert rows(index_bm25(spark, root, searches, query_key="q")) == rows(bm25(frame(spark, live), searches, query_key="q"))
+    assert [(g.n_added, sorted(g.n_superseded.values())) for g in generations(spark, root)] == [(6, []), (3, [3]), (2, [3]), (1, [1])]
