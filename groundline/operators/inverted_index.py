@@ -129,16 +129,18 @@ def publish_generation(changed: DataFrame, root: str, *, removed: DataFrame | No
         raise PublicationConflict(f"the index is at generation {last.number}, not at {expected}")
     part = f"{last.number + 1:08d}-{uuid.uuid4().hex}"
     changed = changed.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    terms = tokens(F.coalesce("text", F.lit("")))
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    changed.select("doc_id", F.size(terms).alias("dl"), digest.alias("text_sha256")).write.parquet(f"{root}/documents/part={part}")
-    added = spark.read.schema(DOCUMENTS).parquet(f"{root}/documents/part={part}")
-    if not added.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty():
+    if not changed.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty():
         raise ValueError("ids of documents must be unique and not null")
     postings = document_postings(changed).withColumn("bucket", bucket(F.col("term"), last.n_buckets))
     with tidy(spark):
         # Rebalancing splits a bucket with a very frequent term over several files.
-        postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{root}/postings/part={part}")
+        postings.hint("rebalance", "bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(f"{root}/postings/part={part}")
+        # Lengths come from the postings: each text is tokenised once.
+        lengths = spark.read.schema(POSTINGS).parquet(f"{root}/postings/part={part}").groupBy("doc_id").agg(F.first("dl").alias("dl"))
+        digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+        sized = changed.select("doc_id", digest.alias("text_sha256")).join(lengths, "doc_id", "left")
+        sized.select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"), "text_sha256").write.parquet(f"{root}/documents/part={part}")
+    added = spark.read.schema(DOCUMENTS).parquet(f"{root}/documents/part={part}")
     leaving = added.select("doc_id") if removed is None else added.select("doc_id").union(removed.select(F.col("doc_id").cast("long").alias("doc_id"))).distinct()
     old = cut(live_documents(spark, root, known).join(leaving, "doc_id", "left_semi").select("doc_id", "dl", F.col("part").alias("old_part")))
     old.select("doc_id", "old_part").write.parquet(f"{root}/superseded/part={part}")

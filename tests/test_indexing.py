@@ -124,3 +124,14 @@ def test_generations_without_live_documents_are_not_read(spark, tmp_path, search
     assert rows(live_postings(spark, root)) == rows(document_postings(frame(spark, live)))
     assert rows(index_bm25(spark, root, searches, query_key="q")) == rows(bm25(frame(spark, live), searches, query_key="q"))
     assert [(g.n_added, sorted(g.n_superseded.values())) for g in generations(spark, root)] == [(6, []), (3, [3]), (2, [3]), (1, [1])]
+
+
+def test_publishing_tokenises_each_text_once(spark, tmp_path, monkeypatch):
+    """Lengths come from the postings, also those of documents without terms."""
+    import groundline.operators.inverted_index as module
+
+    made, plain = [], module.tokens
+    monkeypatch.setattr(module, "tokens", lambda text: (made.append(1), plain(text))[1])
+    publish_generation(frame(spark, TEXTS), str(tmp_path / "index"))
+    assert len(made) == 1
+    assert rows(live_documents(spark, str(tmp_path / "index")).select("doc_id", "dl")) == [(1, 4), (2, 1), (3, 0), (4, 0), (5, 4), (6, 4)]
